@@ -20,6 +20,8 @@ _U = np.uint64
 _ODD = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Also everything ASCII that is no letter or digit: what is left are plain word forms.
+NOT_ALNUM = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -81,9 +83,9 @@ class Words:
     word and one more entry at the end, so document d owns words ``first[d]:first[d + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE):
         self.data, self.offsets = data, offsets
-        inked = ~_SPACE[data]
+        inked = ~gaps[data]
         edge = inked.copy()
         edge[1:] &= ~inked[:-1]
         cuts = offsets[:-1][offsets[:-1] < len(data)]
@@ -127,7 +129,7 @@ def ngrams(hashes: np.ndarray, n: int, seed: int = 0) -> np.ndarray:
                 out, got = step.copy(), width
             else:  # out covers the first ``got`` words; what follows is the block of ``width`` words
                 joined = out * _U(power)
-                joined[: len(joined) - got] += step[got:]
+                joined[: max(0, len(joined) - got)] += step[got:]
                 out, got = joined, got + width
         left >>= 1
         if left:
@@ -147,8 +149,10 @@ def window_starts(first: np.ndarray, n: int) -> np.ndarray:
 def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     """At i the least of ``width`` values from i on, by doubling; the last entries see fewer values."""
     out, got = values.copy(), 1
-    while got < width:
-        step = min(got, width - got)
+    while got < min(width, len(out)):
+        step = min(got, width - got, len(out) - 1)
+        if not step:
+            break
         np.minimum(out[: len(out) - step], out[step:], out=out[: len(out) - step])
         got += step
     return out
