@@ -29,7 +29,7 @@ from rosterloom.llm import store
 SHARDS = 24
 SEED = 20261
 #: The aim for a bucket's bytes of text; a bucket is what one task holds in memory.
-BUCKET_BYTES = 16 << 20
+BUCKET_BYTES = 8 << 20
 #: Beyond this many buckets they grow instead, so the driver's table of bucket sizes stays small.
 MOST_BUCKETS = 200_000
 
