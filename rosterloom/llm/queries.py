@@ -6,17 +6,29 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import decontaminate, packing, sharding, urlfilter, warc
+from rosterloom.llm import decontaminate, language, packing, sharding, topk, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.judge(table(spark, sf_dir, "documents"))
+
+
+def op3_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(spark, table(spark, sf_dir, "embeddings"), every=50)
+
+
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive(spark, table(spark, sf_dir, "pages")).drop("uri", "payload")
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
@@ -35,7 +47,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_language": op2_language,
+    "op3_topk": op3_topk,
     "op4_warc": op4_warc,
+    "op5_toxicity": op5_toxicity,
     "op6_url_filters": op6_url_filters,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
@@ -43,6 +58,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_topk": topk.ORACLE,
     "op4_warc": warc.ORACLE,
     "op6_url_filters": urlfilter.oracle(),
 }
