@@ -6,13 +6,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import decontaminate, language, packing, sharding, topk, toxicity, urlfilter, warc
+from rosterloom.llm import decontaminate, language, packing, sharding, substring, topk, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.summary(substring.dedup(spark, table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.judge(table(spark, sf_dir, "documents"))
 
@@ -47,6 +51,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_substring": op1_substring,
     "op2_language": op2_language,
     "op3_topk": op3_topk,
     "op4_warc": op4_warc,
@@ -58,6 +63,7 @@ QUERIES = {
 }
 
 ORACLES: dict[str, str] = {
+    "op1_substring": substring.ORACLE,
     "op3_topk": topk.ORACLE,
     "op4_warc": warc.ORACLE,
     "op6_url_filters": urlfilter.oracle(),
