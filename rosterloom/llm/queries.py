@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import decontaminate, language, packing, sharding, substring, topk, toxicity, urlfilter, warc
+from rosterloom.llm import decontaminate, language, neardup, packing, sharding, substring, topk, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,10 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages"))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(spark, table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
@@ -57,6 +61,7 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_toxicity": op5_toxicity,
     "op6_url_filters": op6_url_filters,
+    "op7_minhash": op7_minhash,
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
