@@ -1,5 +1,7 @@
 """All registered reconciliation queries and their SQL oracles."""
 
-FLAGSHIP = ""
-QUERIES: dict = {}
-ORACLES: dict = {}
+from rosterloom.plans import queries
+
+FLAGSHIP = "latest_tenure"
+QUERIES: dict = dict(queries.QUERIES)
+ORACLES: dict = dict(queries.ORACLES)
