@@ -177,10 +177,10 @@ def distinct_fingerprint(t):
 _CLAIMS = "c AS (SELECT p_name, p_brand, count(DISTINCT p_partkey) AS claims, min(p_partkey) AS item FROM part GROUP BY 1, 2)"
 
 
-@query(f"WITH {_CLAIMS} SELECT p_name, p_brand, claims::BIGINT AS claims, CASE WHEN claims = 1 THEN item END AS item FROM c")
+@query(f"WITH {_CLAIMS} SELECT p_name, p_brand, claims::BIGINT AS claims, CASE WHEN claims = 1 THEN item END::VARCHAR AS item FROM c")
 def unique_key_join(t):
     probe = t.part.select("p_name", "p_brand").distinct()
-    return joins.unique_key_join(probe, t.part, ["p_name", "p_brand"], "p_partkey")
+    return joins.unique_key_join(probe, t.part, ["p_name", "p_brand"], "p_partkey").withColumn("item", F.col("item").cast("string"))
 
 
 @query(f"WITH {_CLAIMS} SELECT p_name, p_brand, claims::BIGINT AS claims FROM c WHERE claims > 1")
@@ -196,10 +196,10 @@ def unique_or_drop(t):
 @query("""WITH c AS (SELECT s_suppkey, p_partkey, p_size = s_nationkey AS agrees, p_size > 45 AS contradicts, p_brand = 'Brand#12' AS seated
 FROM supplier JOIN part ON p_partkey % 997 = s_suppkey % 997), k AS (SELECT * FROM c WHERE NOT contradicts),
 n AS (SELECT s_suppkey, count(*) AS n, count_if(agrees) AS na, count_if(seated) AS ns, min(p_partkey) FILTER (agrees) AS ia, min(p_partkey) FILTER (seated) AS is_, min(p_partkey) AS i FROM k GROUP BY 1)
-SELECT s_suppkey, CASE WHEN na = 1 THEN ia WHEN na > 1 THEN NULL WHEN ns = 1 THEN is_ WHEN ns = 0 AND n = 1 THEN i END AS picked, n::BIGINT AS n, na::BIGINT AS n_agree, ns::BIGINT AS n_seated FROM n""")
+SELECT s_suppkey, CASE WHEN na = 1 THEN ia WHEN na > 1 THEN NULL WHEN ns = 1 THEN is_ WHEN ns = 0 AND n = 1 THEN i END::VARCHAR AS picked, n::BIGINT AS n, na::BIGINT AS n_agree, ns::BIGINT AS n_seated FROM n""")
 def corroborated_pick(t):
     met = t.supplier.join(t.part, F.col("p_partkey") % 997 == F.col("s_suppkey") % 997)
-    return joins.corroborated_pick(met, ["s_suppkey"], "p_partkey", F.col("p_size") == F.col("s_nationkey"), F.col("p_size") > 45, F.col("p_brand") == "Brand#12")
+    return joins.corroborated_pick(met, ["s_suppkey"], "p_partkey", F.col("p_size") == F.col("s_nationkey"), F.col("p_size") > 45, F.col("p_brand") == "Brand#12").withColumn("picked", F.col("picked").cast("string"))
 
 
 @query()
