@@ -1,7 +1,7 @@
 """All registered reconciliation queries and their SQL oracles."""
 
-from rosterloom.plans import queries
+from rosterloom.plans import queries, roster_queries
 
-FLAGSHIP = "latest_tenure"
-QUERIES: dict = dict(queries.QUERIES)
-ORACLES: dict = dict(queries.ORACLES)
+FLAGSHIP = "roster_findings"
+QUERIES: dict = {**queries.QUERIES, **roster_queries.QUERIES}
+ORACLES: dict = {**queries.ORACLES, **roster_queries.ORACLES}
