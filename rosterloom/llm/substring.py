@@ -18,9 +18,9 @@ removed if its subtree holds a suffix of a smaller document. A prefix with over
 distinct runs is lengthened to all ``LENGTH`` words: each such subtree is a single node, found by
 a plain aggregation that combines before it shuffles.
 
-Sizes: the first pass has a row of hashes for about every twentieth word; text is shuffled once (twice if there
-are more than ``MOST_BROADCAST`` border runs). Nothing is gathered on the driver but row counts. 128 bits
-of hash stand for a run or a window.
+Sizes: the first pass has a row of hashes for about every twentieth word; text is shuffled twice, to
+meet its border runs and its removed windows. Nothing is gathered on the driver. 128 bits of hash stand
+for a run or a window.
 
 Cases: null and empty texts have no words; a document with fewer than ``LENGTH`` words is kept whole;
 a null doc_id is neither smaller nor larger than others, so its document is kept whole and removes
@@ -45,8 +45,6 @@ LENGTH = 50
 PREFIX = 10
 HOT_RUNS = 20_000
 TREE_WORDS = 1_000_000
-#: Border runs (some fifty bytes each) that may be broadcast to find their documents.
-MOST_BROADCAST = 200_000
 #: The words of two windows cover a run with no more windows than this, so their hashes name it.
 MOST_WINDOWS = LENGTH
 
@@ -237,9 +235,7 @@ def removals(spark: SparkSession, docs: DataFrame, length: int = LENGTH, prefix:
     distinct = store.written(spark, distinct.select(*whole, "f.*", "last"), "distinct")
     several = distinct.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
     wanted = distinct.join(several, "key").select("doc_id", "th", F.struct("start", "n", "key", "s1", "s2", (F.col("m") > hot_runs).alias("hot")).alias("w"))
-    wanted = store.written(spark, wanted, "wanted")
     lists = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("w"))  # a document's own runs
-    lists = F.broadcast(lists) if wanted.count() <= MOST_BROADCAST else lists
     border = store.written(spark, named.join(lists, ["doc_id", "th"]).select("doc_id", "text", "w").mapInArrow(_fetched(length), BORDER), "border")
     cold = border.filter("text IS NOT NULL")
     found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(length), "key bigint, s1 bigint, s2 bigint, a array<int>, b array<int>")
