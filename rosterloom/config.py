@@ -86,3 +86,14 @@ def lookup(table: dict[str, str], key: Column) -> Column:
         return F.lit(None).cast("string")
     known = F.create_map(*[F.lit(x) for kv in table.items() for x in kv])
     return F.try_element_at(known, key)
+
+
+def load(path: str) -> Config:
+    """A configuration file in YAML."""
+    import yaml
+
+    with open(path, encoding="utf-8") as file:
+        raw = yaml.safe_load(file)
+    if not isinstance(raw, dict):
+        raise ValueError(f"{path} has no mapping of keys")
+    return Config.of(raw)

@@ -25,3 +25,21 @@ def test_departures_and_verdicts(spark):
     names = spark.createDataFrame([(str(k), f"Name{k}") for k in range(2, 8)] + [("8", "Nama8")], "person_key string, surname string")
     assert d.identity(rows, names).first()["verdict"] in ("CONFIRMED", "INCONCLUSIVE")
     assert d.overall(d.reach(rows), d.leaving_dates(other)).first()["verdict"] == "CONTRADICTED"
+
+
+def test_source_verdicts(spark):
+    from rosterloom.plans import verdicts as v
+
+    pairs = spark.createDataFrame([(D(2020, 1, 1), D(2020, 1, 1))] * 9 + [(D(2020, 1, 1), None), (D(2020, 2, 1), D(2020, 1, 1))], "a date, b date")
+    assert v.start_dates(pairs, "a", "b").first().asDict() == {"pairs": 10, "agree": 9, "ours_earlier": 0, "ours_later": 1, "first_of_january": 9, "verdict": "CONTRADICTED"}
+    assert v.start_dates(pairs.limit(3), "a", "b").first()["verdict"] == "INCONCLUSIVE"
+    df = spark.createDataFrame([("x", ""), ("y", "")], "a string, b string")
+    assert [v.dated_column(df, c).first()["verdict"] for c in ("a", "b", "zz")] == ["CONFIRMED", "CONTRADICTED", "INCONCLUSIVE"]
+    assert v.seat_count(df, "a", 2).first()["verdict"] == "CONFIRMED" and v.seat_count(df, "a", 3).first()["verdict"] == "CONTRADICTED"
+    assert v.identifier_gain(df, "b", "a").first()["gained"] == 2
+    e, a = spark.createDataFrame([("p", "07"), ("q", "8"), ("r", "9")], "k string, v string"), spark.createDataFrame([("p", "7"), ("q", "80")], "k string, v string")
+    assert v.identifier_values(e, a, "k", "v").first().asDict() == {"people": 3, "agree": 1, "differ": 1, "absent": 1, "verdict": "CONTRADICTED"}
+    m = spark.createDataFrame([("moved",)] * 9 + [("other",), (None,)], "why string")
+    assert v.misses(m, "why").first()["verdict"] == "CONFIRMED"
+    s, u = spark.createDataFrame([("II North",), ("South",), ("West",)], "n string"), spark.createDataFrame([("north",), ("south ",), ("east",)], "l string")
+    assert {(r["name"], r["label"], r["how"]) for r in v.labels(s, u, "n", "l").collect()} == {("II North", "north", "numeral"), ("South", "south ", "exact"), ("West", None, "unmatched"), (None, "east", "unused")}
