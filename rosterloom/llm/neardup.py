@@ -192,6 +192,7 @@ def _residual(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, known: Da
     own = own.join(hubs, (F.col("hub") == F.col("_h")) & (F.col("hub_s1") == F.col("_s"))).drop("_h", "_s").withColumn("minor", F.col("component") != F.col("main"))
     sizes = own.groupBy("hub", "hub_s1").agg(F.count("*").alias("members"), F.count_if("minor").alias("minors")).filter("minors > 0")
     sizes = sizes.select(F.col("hub").alias("_h"), F.col("hub_s1").alias("_s"), F.ceil(F.col("members") / CLUSTER).cast("int").alias("blocks"), F.ceil(F.col("minors") / CLUSTER).cast("int").alias("chunks"))
+    sizes = store.written(spark, sizes, "sizes")
     met = own.join(sizes, (F.col("hub") == F.col("_h")) & (F.col("hub_s1") == F.col("_s"))).drop("_h", "_s")
     met = met.join(nodes.select(F.col("rep").alias("_r"), F.col("s1").alias("_t"), "n", "sketch"), (F.col("id") == F.col("_r")) & (F.col("id_s1") == F.col("_t"))).drop("_r", "_t")
     rows = ["hub", "hub_s1", "block", "chunk", "role", "id", "component", "n", "sketch", "delta"]
@@ -211,6 +212,7 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     band = F.array(*[F.xxhash64(F.lit(k), F.substr("sketch", F.lit(1 + 2 * BAND * k), F.lit(2 * BAND))) for k in range(REGISTERS // BAND)])
     bands = nodes.select("rep", "s1", F.explode(band).alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min(F.struct("rep", "s1")).alias("h"), F.count("*").alias("m")).filter("m > 1").select(F.col("bucket").alias("_b"), F.col("h.rep").alias("hub"), F.col("h.s1").alias("hub_s1"))
+    hubs = store.written(spark, hubs, "hubs")  # written before it is joined, so that a hot bucket can be split
     again = bands.toDF(*bands.columns)
     met = again.join(hubs, F.col("bucket") == F.col("_b")).filter("rep <> hub OR s1 <> hub_s1")
     met = store.written(spark, met.select("hub", "hub_s1", F.col("rep").alias("id"), F.col("s1").alias("id_s1")).distinct(), "met")

@@ -228,12 +228,13 @@ def removals(spark: SparkSession, docs: DataFrame, length: int = LENGTH, prefix:
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
     named = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
     runs = store.written(spark, named.mapInArrow(_runs(length, prefix), RUN), "runs")
-    spread = runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key")
+    # aggregates are written before they are joined: a join of two plain shuffles is one whose hot keys can be split
+    spread = store.written(spark, runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"), "spread")
     shared = store.written(spark, runs.join(spread, "key", "left_semi"), "shared")
     whole = ["key", "s1", "s2", "n"]
     distinct = shared.groupBy(*whole).agg(F.min(F.struct("doc_id", "th", "start")).alias("f"), F.max("doc_id").alias("last"))
     distinct = store.written(spark, distinct.select(*whole, "f.*", "last"), "distinct")
-    several = distinct.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1")
+    several = store.written(spark, distinct.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "several")
     wanted = distinct.join(several, "key").select("doc_id", "th", F.struct("start", "n", "key", "s1", "s2", (F.col("m") > hot_runs).alias("hot")).alias("w"))
     lists = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("w"))  # a document's own runs
     border = store.written(spark, named.join(lists, ["doc_id", "th"]).select("doc_id", "text", "w").mapInArrow(_fetched(length), BORDER), "border")
@@ -288,7 +289,7 @@ def dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, prefix: in
             columns = [*[batch.column(k) for k in range(len(docs_columns))], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.binary()).cast(pa.string())]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    schema = T.StructType(docs.schema.fields)
+    schema = T.StructType(list(docs.schema.fields))  # a list of its own: the schema of docs stays as it is
     for name, kind in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType())):
         schema = schema.add(name, kind)
     return known.unionByName(unknown).mapInArrow(run, schema)
