@@ -37,7 +37,8 @@ def _parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     days = (k % 3).cast("int")
     statements = own.select(k.alias("ord"), F.concat(F.lit("S"), k).alias("statement_id"), F.concat(F.lit("Q"), k).alias("qid"), F.lit("Q1").alias("position_qid"), F.when(k % 11 != 0, F.date_add("s", days)).alias("start"), F.when(k % 4 == 0, F.col("e")).alias("end"))
     statements = shaped(statements.withColumns({"districts": null, "groups": null, "terms": null}), schema.STATEMENTS)
-    return resolve.by_identifier(members, items), items, statements
+    # every pass of the rules reads the resolved members; they are kept in memory or on disk, and made again if lost
+    return resolve.by_identifier(members, items).persist(), items, statements
 
 
 def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
