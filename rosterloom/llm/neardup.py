@@ -252,3 +252,26 @@ def clean(spark: SparkSession, docs: DataFrame) -> DataFrame:
     unless an equal set has an id."""
     out = classes(spark, docs).filter(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c")).filter("_id IS NOT NULL").select("_id").distinct()
     return docs.join(out, docs["doc_id"].cast("bigint") == out["_id"], "left_anti")
+
+
+#: The same in DuckDB SQL over the table documents: all pairs that share a shingle, and the closure of their links.
+ORACLE = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), g AS (
+  SELECT doc_id, CASE WHEN len(ws) >= 5 THEN list_distinct(list_transform(range(1, len(ws) - 3), lambda i: array_to_string(ws[i:i + 4], ' ')))
+    WHEN len(ws) > 0 THEN [array_to_string(ws, ' ')] ELSE [] END AS sh FROM w
+), n AS (
+  SELECT doc_id, len(sh)::BIGINT AS n FROM g
+), u AS (
+  SELECT doc_id, unnest(sh) AS s FROM g
+), p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM u a JOIN u b ON a.s = b.s AND a.doc_id < b.doc_id GROUP BY 1, 2
+), l AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 85 * (x.n + y.n - c)
+), e AS (
+  SELECT a, b FROM l UNION ALL SELECT b, a FROM l
+), r(doc_id, m) AS (
+  SELECT doc_id, doc_id FROM n UNION SELECT e.b, r.m FROM r JOIN e ON e.a = r.doc_id WHERE r.m < e.b
+)
+SELECT n.doc_id, n AS n_shingles, min(m) AS component_id, n.doc_id = min(m) AS kept FROM n JOIN r USING (doc_id) GROUP BY n.doc_id, n"""

@@ -72,4 +72,5 @@ ORACLES: dict[str, str] = {
     "op3_topk": topk.ORACLE,
     "op4_warc": warc.ORACLE,
     "op6_url_filters": urlfilter.oracle(),
+    "op7_minhash": neardup.ORACLE,
 }
