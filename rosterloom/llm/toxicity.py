@@ -3,8 +3,8 @@
 Features are the n-grams of the UTF-8 bytes of a text with A-Z lower-cased, hashed into ``BUCKETS``
 buckets. A text's vector has log(1 + count) in each bucket, times the bucket's log-count ratio
 log((p / |p|) / (q / |q|)) between the labelled toxic and the other texts (both smoothed by one), and
-is scaled to length one. On that vector a logistic regression is trained by full gradient steps, on
-the driver, with a somewhat larger weight for toxic texts, over at most ``MOST_ROWS`` labelled texts: those with the smallest seeded hash of their
+is scaled to length one. On that vector a logistic regression is trained by full gradient steps, in
+one task, with a somewhat larger weight for toxic texts, over at most ``MOST_ROWS`` labelled texts: those with the smallest seeded hash of their
 id, so the sample doesn't depend on how the tables are cut. Of a text of over ``MOST_CHARS``
 characters training takes pieces of it from ``PIECES`` places spread evenly over the whole text;
 scoring always takes the whole text.
@@ -41,7 +41,7 @@ SEED = 77
 STEPS = 80
 RATE = 0.5
 DECAY = 1e-7
-#: Texts whose gradient is summed at a time, which bounds the driver's memory.
+#: Texts whose gradient is summed at a time, which bounds the task's memory.
 BLOCK = 512
 #: The loss of a toxic text counts as (others / toxic) to this power: a few toxic texts among many still teach.
 BALANCE = 0.5
@@ -141,8 +141,8 @@ def train(texts: list[str], labels: list[int]) -> Model:
     return Model(ratio, weight, bias)
 
 
-def sample(docs: DataFrame, labels: DataFrame, train_on: Column, most: int = MOST_ROWS) -> list[tuple[str, int]]:
-    """At most ``most`` labelled texts, those with the least seeded hash of doc_id; ``train_on`` is a
+def sample(docs: DataFrame, labels: DataFrame, train_on: Column, most: int = MOST_ROWS) -> DataFrame:
+    """doc_id, toxic and text of at most ``most`` labelled texts, those with the least seeded hash of doc_id; ``train_on`` is a
     condition on doc_id. Long texts come as pieces."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(train_on & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
     order = F.xxhash64(F.lit(SEED), F.col("doc_id"))
@@ -152,13 +152,26 @@ def sample(docs: DataFrame, labels: DataFrame, train_on: Column, most: int = MOS
     text = F.when(n <= MOST_CHARS, F.col("text")).otherwise(cut)
     # ids in the sample are bounded, so they may be broadcast; a repeated doc_id gives one text
     rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", text.alias("text"))
-    rows = rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text")).orderBy("doc_id")
-    return [(r["text"], r["toxic"]) for r in rows.toLocalIterator()]
+    return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, train_on: Column, most: int = MOST_ROWS) -> Model:
-    rows = sample(docs, labels, train_on, most)
-    return train([t for t, _ in rows], [y for _, y in rows])
+    """A model trained in one task, over the bounded sample, so the driver holds nothing but the model."""
+    rows = sample(docs, labels, train_on, most).select("doc_id", "text", "toxic")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, marks = [], []
+        for batch in batches:
+            texts += batch.column(1).to_pylist()
+            marks += batch.column(2).to_pylist()
+        if texts:
+            m = train(texts, marks)
+            yield pa.RecordBatch.from_arrays([pa.array([m.ratio.tobytes()], pa.binary()), pa.array([m.weight.tobytes()], pa.binary()), pa.array([m.bias])], ["ratio", "weight", "bias"])
+
+    made = rows.repartition(1).sortWithinPartitions("doc_id").mapInArrow(run, "ratio binary, weight binary, bias double").collect()
+    if not made:
+        return train([], [])
+    return Model(np.frombuffer(made[0]["ratio"], np.float32), np.frombuffer(made[0]["weight"], np.float32), made[0]["bias"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
