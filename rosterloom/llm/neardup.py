@@ -2,13 +2,13 @@
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased; a document's set has its distinct shingles of
 ``SHINGLE`` words (all words as one shingle, if fewer). Sets are linked if 100 * intersection is at least
-``PERCENT`` * union. Documents with equal sets are one node from the start, however many they are.
+percent * union: ``PERCENT`` in ``classes`` if none is given, ``STAGE_PERCENT`` in ``clean``. Documents with equal sets are one node from the start, however many they are.
 
-A sketch has ``REGISTERS`` registers: each hashes every shingle to an exponential value with rate
+A sketch has ``width(percent)`` registers, ``REGISTERS`` at least: each hashes every shingle to an exponential value with rate
 ``RATE``, keeps the minimum and stores floor(1 - log_BASE(minimum)), cut to 0..``TOP``. Registers of a
 union are the maxima of its parts' registers, and two sets have equal registers about as often as
 their similarity says. Sketches are cut into bands of ``BAND`` registers; equal bands are a bucket. A
-pair at the threshold misses all its buckets with a probability below 1e-6.
+pair at the threshold misses all its buckets with a probability below ``MISS``: 20 bands do at 85, 27 at 80.
 
 A bucket never becomes pairs. Its smallest node is its hub, each other node is verified against the
 hub on the full sets, and the difference of the two sets is kept. The verified links give components.
@@ -30,6 +30,7 @@ texts are read whole; an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,8 +43,11 @@ from rosterloom.llm.components import components
 
 SHINGLE = 5
 PERCENT = 85
+#: What the stages of a pipeline take for near.
+STAGE_PERCENT = 80
 REGISTERS = 80
 BAND = 4
+MISS = 1e-6
 BASE = 1.001
 RATE = 20.0
 TOP = 65534
@@ -54,15 +58,25 @@ CLUSTER = 1024
 MOST_BROADCAST = 1_000_000
 
 _U = np.uint64
-_A = tk.mix(np.arange(REGISTERS, dtype=_U) + _U(11)) | _U(1)
-_B = tk.mix(np.arange(REGISTERS, dtype=_U) + _U(7001))
 
 
-def registers(shingles: np.ndarray) -> np.ndarray:
+def width(percent: int) -> int:
+    """The registers whose bands a pair at the threshold misses with a probability below ``MISS``."""
+    bands = int(np.ceil(np.log(MISS) / np.log1p(-((percent / 100) ** BAND)))) if percent < 100 else 1
+    return max(REGISTERS, BAND * bands)
+
+
+@lru_cache
+def _hashers(count: int) -> tuple[np.ndarray, np.ndarray]:
+    return tk.mix(np.arange(count, dtype=_U) + _U(11)) | _U(1), tk.mix(np.arange(count, dtype=_U) + _U(7001))
+
+
+def registers(shingles: np.ndarray, count: int = REGISTERS) -> np.ndarray:
     """The sketch of a set of distinct 64-bit shingle hashes, which must not be empty."""
-    least = np.full(REGISTERS, np.iinfo(_U).max, _U)
+    least = np.full(count, np.iinfo(_U).max, _U)
+    a, b = _hashers(count)
     for k in range(0, len(shingles), 1024):
-        np.minimum(least, (shingles[k : k + 1024, None] * _A + _B).min(0), out=least)
+        np.minimum(least, (shingles[k : k + 1024, None] * a + b).min(0), out=least)
     uniform = (least.astype(np.float64) + 1.0) / 2.0**64
     value = -np.log1p(-np.minimum(uniform, 1 - 2.0**-53)) / RATE
     return np.clip(np.floor(1 - np.log(value) / np.log(BASE)), 0, TOP).astype("<u2")
@@ -81,21 +95,21 @@ def _log_share(x: np.ndarray) -> np.ndarray:
     return -np.log1p(-np.clip(x, 0, 1) * (BASE - 1) / BASE) / np.log(BASE)
 
 
-def estimate(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """Jaccard similarities that maximise the joint likelihood, from the counts of registers that are
-    larger and smaller in a than in b and the sizes of the sets (arrays of one length)."""
+def estimate(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, count: int = REGISTERS) -> np.ndarray:
+    """Jaccard similarities that maximise the joint likelihood, from the counts of registers (of ``count``) that
+    are larger and smaller in a than in b and the sizes of the sets (arrays of one length)."""
     u = (n_a / (n_a + n_b))[:, None]
     most = np.minimum(u / (1 - u), (1 - u) / u)
     j = _GRID * most
     p, q = _log_share(u - (1 - u) * j), _log_share((1 - u) - u * j)
     tiny = 1e-12
-    same = REGISTERS - more - less
+    same = count - more - less
     likely = more[:, None] * np.log(np.maximum(p, tiny)) + less[:, None] * np.log(np.maximum(q, tiny)) + same[:, None] * np.log(np.maximum(1 - p - q, tiny))
     return np.take_along_axis(j, likely.argmax(1)[:, None], 1)[:, 0]
 
 
-def linked(inter: np.ndarray, n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    return 100 * inter >= PERCENT * (n_a + n_b - inter)
+def linked(inter: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
+    return 100 * inter >= percent * (n_a + n_b - inter)
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
@@ -118,14 +132,14 @@ def _name(own: np.ndarray) -> tuple[int, int]:
         return int(tk.mix(own ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)), int(tk.mix(own + _U(0x14057B7EF767814F)).sum(dtype=_U).view(np.int64))
 
 
-def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sketched(batches: Iterator[pa.RecordBatch], count: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n, one, two, sketch = [], [], [], []
         for _, _, data, offsets in tk.by_document(batch):
             for own in shingle_sets(data, offsets):
                 a, b = _name(own)
                 n.append(len(own)), one.append(a), two.append(b)
-                sketch.append(registers(own).tobytes() if len(own) else None)
+                sketch.append(registers(own, count).tobytes() if len(own) else None)
         columns = [batch.column(0), pa.array(n, pa.int64()), pa.array(one, pa.int64()), pa.array(two, pa.int64()), pa.array(sketch, pa.binary())]
         yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "s1", "s2", "sketch"])
 
@@ -150,11 +164,11 @@ def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(inter, pa.int64()), pa.array(delta, pa.binary())], ["hub", "id", "inter", "delta"])
 
 
-def _cross(table: pa.Table) -> pa.Table:
+def _cross(table: pa.Table, percent: int) -> pa.Table:
     """Links between components among the nodes of one block (role 0) and one chunk (role 1)."""
     ids, comps, n = (table[c].to_numpy() for c in ("id", "component", "n"))
     role = table["role"].to_numpy()
-    sketch = np.stack([np.frombuffer(x.as_buffer(), "<u2") for x in table["sketch"]]) if table.num_rows else np.zeros((0, REGISTERS), "<u2")
+    sketch = np.stack([np.frombuffer(x.as_buffer(), "<u2") for x in table["sketch"]]) if table.num_rows else np.zeros((0, width(percent)), "<u2")
     delta = [np.frombuffer(x.as_buffer(), _U) for x in table["delta"]]
     block, chunk = np.flatnonzero(role == 0), np.flatnonzero(role == 1)
     parent: dict[int, int] = {}
@@ -167,23 +181,23 @@ def _cross(table: pa.Table) -> pa.Table:
 
     out = []
     for k in chunk.tolist():
-        others = block[(comps[block] != comps[k]) & (100 * np.minimum(n[block], n[k]) >= PERCENT * np.maximum(n[block], n[k]))]
+        others = block[(comps[block] != comps[k]) & (100 * np.minimum(n[block], n[k]) >= percent * np.maximum(n[block], n[k]))]
         if not len(others):
             continue
         more, less = (sketch[k] > sketch[others]).sum(1), (sketch[k] < sketch[others]).sum(1)
-        likely = estimate(more, less, np.full(len(others), float(n[k])), n[others].astype(float))
-        for o in others[likely >= PERCENT / 100 - MARGIN][np.argsort(-likely[likely >= PERCENT / 100 - MARGIN], kind="stable")].tolist():
+        likely = estimate(more, less, np.full(len(others), float(n[k])), n[others].astype(float), sketch.shape[1])
+        for o in others[likely >= percent / 100 - MARGIN][np.argsort(-likely[likely >= percent / 100 - MARGIN], kind="stable")].tolist():
             a, b = root(int(comps[k])), root(int(comps[o]))
             if a == b:
                 continue
             apart = len(np.setxor1d(delta[k], delta[o], assume_unique=True))
-            if linked((n[k] + n[o] - apart) // 2, n[k], n[o]):
+            if linked((n[k] + n[o] - apart) // 2, n[k], n[o], percent):
                 out.append((int(ids[k]), int(ids[o])))
                 parent[max(a, b)] = min(a, b)
     return pa.table([pa.array([x[c] for x in out], pa.int64()) for c in range(2)], ["u", "v"])
 
 
-def _residual(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, known: DataFrame) -> DataFrame:
+def _residual(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links between the components of nodes that met under one hub."""
     comp = known.select(F.col("id").alias("_c"), "component")
     own = pairs.select("hub", "hub_s1", "id", "id_s1", "delta").unionByName(pairs.select("hub", "hub_s1", F.col("hub").alias("id"), F.col("hub_s1").alias("id_s1"), F.lit(b"").alias("delta")).distinct())
@@ -200,16 +214,17 @@ def _residual(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, known: Da
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
     blocks = met.withColumn("block", mine("blocks")).withColumn("chunk", every("chunks")).withColumn("role", F.lit(0))
     chunks = met.filter("minor").withColumn("chunk", mine("chunks")).withColumn("block", every("blocks")).withColumn("role", F.lit(1))
-    return blocks.select(rows).unionByName(chunks.select(rows)).groupBy("hub", "hub_s1", "block", "chunk").applyInArrow(_cross, "u bigint, v bigint")
+    return blocks.select(rows).unionByName(chunks.select(rows)).groupBy("hub", "hub_s1", "block", "chunk").applyInArrow(lambda table: _cross(table, percent), "u bigint, v bigint")
 
 
-def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def classes(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
+    count = width(percent)
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    sketched = store.written(spark, texts.mapInArrow(_sketched, "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch binary"), "sketches")
+    sketched = store.written(spark, texts.mapInArrow(lambda batches: _sketched(batches, count), "doc_id bigint, n bigint, s1 bigint, s2 bigint, sketch binary"), "sketches")
     nodes = sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.min("sketch").alias("sketch"))
     nodes = store.written(spark, nodes, "nodes")
-    band = F.array(*[F.xxhash64(F.lit(k), F.substr("sketch", F.lit(1 + 2 * BAND * k), F.lit(2 * BAND))) for k in range(REGISTERS // BAND)])
+    band = F.array(*[F.xxhash64(F.lit(k), F.substr("sketch", F.lit(1 + 2 * BAND * k), F.lit(2 * BAND))) for k in range(count // BAND)])
     bands = nodes.select("rep", "s1", F.explode(band).alias("bucket"))
     hubs = bands.groupBy("bucket").agg(F.min(F.struct("rep", "s1")).alias("h"), F.count("*").alias("m")).filter("m > 1").select(F.col("bucket").alias("_b"), F.col("h.rep").alias("hub"), F.col("h.s1").alias("hub_s1"))
     hubs = store.written(spark, hubs, "hubs")  # written before it is joined, so that a hot bucket can be split
@@ -231,14 +246,14 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     pairs = store.written(spark, pairs, "pairs")
     sizes = nodes.select("rep", "s1", "n")
     sized = pairs.drop("delta").join(sizes.toDF("_i", "_s", "n_id"), (F.col("id") == F.col("_i")) & (F.col("id_s1") == F.col("_s"))).join(sizes.toDF("_h", "_t", "n_hub"), (F.col("hub") == F.col("_h")) & (F.col("hub_s1") == F.col("_t")))
-    links = sized.filter(100 * F.col("inter") >= PERCENT * (F.col("n_id") + F.col("n_hub") - F.col("inter"))).select(F.col("hub").alias("u"), F.col("id").alias("v"))
+    links = sized.filter(100 * F.col("inter") >= percent * (F.col("n_id") + F.col("n_hub") - F.col("inter"))).select(F.col("hub").alias("u"), F.col("id").alias("v"))
     # rows that repeat a doc_id with several sets are one document: it links the nodes of these sets
     filled = sketched.filter("n > 0 AND doc_id IS NOT NULL").select("doc_id", "s1", "s2", "n")
     repeated = filled.distinct().groupBy("doc_id").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("doc_id").alias("_d"))
     several = filled.join(repeated, F.col("doc_id") == F.col("_d"), "left_semi").join(nodes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"]).filter("doc_id <> rep").select(F.col("rep").alias("u"), F.col("doc_id").alias("v"))
     links = store.written(spark, links.unionByName(several).distinct(), "links0")
     known = components(spark, links)
-    more = store.written(spark, _residual(spark, pairs, nodes, known), "residual")
+    more = store.written(spark, _residual(spark, pairs, nodes, known, percent), "residual")
     if not more.isEmpty():
         known = components(spark, links.unionByName(more))
     least = sketched.select("doc_id", "n", "s1", "s2").join(nodes.select("s1", "s2", "n", "rep"), ["s1", "s2", "n"], "left")
@@ -247,10 +262,10 @@ def classes(spark: SparkSession, docs: DataFrame) -> DataFrame:
     return done.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(False)).alias("kept"))
 
 
-def clean(spark: SparkSession, docs: DataFrame) -> DataFrame:
+def clean(spark: SparkSession, docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of ``docs`` of which each class keeps one document; a null doc_id is never dropped
     unless an equal set has an id."""
-    out = classes(spark, docs).filter(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c")).filter("_id IS NOT NULL").select("_id").distinct()
+    out = classes(spark, docs, percent).filter(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c")).filter("_id IS NOT NULL").select("_id").distinct()
     return docs.join(out, docs["doc_id"].cast("bigint") == out["_id"], "left_anti")
 
 

@@ -38,7 +38,7 @@ def op6_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.classes(spark, table(spark, sf_dir, "documents"))
+    return neardup.classes(spark, table(spark, sf_dir, "documents"), neardup.PERCENT)
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -118,3 +118,9 @@ def test_short_and_empty_shingle_sets():
 
     data, offsets = tk.column_bytes(pa.array(["a b", "", "a b c d e", "a b c d e f"]))
     assert [len(s) for s in neardup.shingle_sets(data, offsets)] == [1, 0, 1, 2]
+
+
+def test_miss_bound_at_each_threshold():
+    assert neardup.width(85) == neardup.REGISTERS
+    for percent in (70, 80, 85, 95):
+        assert (1 - (percent / 100) ** neardup.BAND) ** (neardup.width(percent) // neardup.BAND) < neardup.MISS

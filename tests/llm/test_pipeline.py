@@ -49,3 +49,28 @@ def test_each_stage_against_brute_force(spark):
 def test_run_is_the_stages(spark):
     assert corpus_pipeline.ORACLE_SQL is None
     assert corpus_pipeline.run(spark, SF).columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
+
+
+def survivors(rows, percent):
+    """The least doc_id of each group of documents that links of ``percent`` hold together."""
+    sets, least = {i: test_neardup.shingles(t) for i, t in rows}, {i: i for i, _ in rows}
+
+    def root(x):
+        while least[x] != x:
+            x = least[x]
+        return x
+
+    for i, x in sets.items():
+        for j, y in sets.items():
+            if j < i and x and y and 100 * len(x & y) >= percent * len(x | y):
+                p, q = root(i), root(j)
+                least[max(p, q)] = min(p, q)
+    return {i for i in sets if root(i) == i}
+
+
+def test_near_duplicates_are_taken_from_80_percent(spark):
+    rows = test_neardup.corpus(5)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = survivors(rows, 80)
+    assert want < survivors(rows, 85)
+    assert {r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()} == want
