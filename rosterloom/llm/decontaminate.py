@@ -15,14 +15,16 @@ block, so nothing of the documents is shuffled and a hot passage stays where it
 rows (document, item) leave a task.
 
 Cases: null and empty texts match nothing; items of fewer than ``SHORTEST`` tokens are too short to
-be evidence and match nothing; items shorter than a mask have one contiguous seed over all their
-tokens; repeated items are reported each, repeated documents too; a null doc_id is carried as it is;
+be evidence and match nothing; items of fewer than ``SPACED`` tokens have seeds of their own in place of
+the masks: cut into two more blocks than tokens may differ, they keep some two blocks whole in each
+passage that is accepted, and each two blocks are a seed; repeated items are reported each, repeated documents too; a null doc_id is carried as it is;
 empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +39,8 @@ IDENTITY = 0.75
 MATCHED = 12
 COVERED = 0.8
 SHORTEST = 5
+#: From this length on, each passage that is accepted holds a seed of a mask.
+SPACED = 14
 BLOCK_TOKENS = 2_000_000
 
 
@@ -55,6 +59,20 @@ def seeds(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
     return tk.mix(out)
 
 
+def needed(length: int) -> int:
+    """The agreeing tokens that make a leak of an item of this length."""
+    return min(MATCHED, max(SHORTEST, int(np.ceil(COVERED * length))))
+
+
+def short_seeds(length: int) -> list[tuple[str, int]]:
+    """Masks and their places in an item of this length, of which every passage with the ``needed`` tokens holds one."""
+    cuts = np.linspace(0, length, length - needed(length) + 3).round().astype(int).tolist()
+    out = []
+    for (a, b), (c, d) in combinations(list(zip(cuts, cuts[1:])), 2):
+        out.append(("1" * (b - a) + "0" * (c - b) + "1" * (d - c), a))
+    return out
+
+
 class Items:
     """A block of test items: their token hashes and, by mask, the sorted seeds with item and place."""
 
@@ -64,13 +82,12 @@ class Items:
         self.ids = ids
         self.tokens = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
         masks: dict[str, list] = {}
-        shortest = min(map(len, MASKS))
         for item, own in enumerate(self.tokens):
             if len(own) < SHORTEST:
                 continue
-            for mask in MASKS if len(own) >= max(map(len, MASKS)) else ["1" * min(len(own), shortest)]:
-                got = seeds(own, mask, len(mask))
-                masks.setdefault(mask, []).append(np.stack([got, np.full(len(got), item, np.uint64), np.arange(len(got), dtype=np.uint64)]))
+            for mask, place in [(mask, None) for mask in MASKS] if len(own) >= SPACED else short_seeds(len(own)):
+                got = seeds(own if place is None else own[place : place + len(mask)], mask, len(mask))
+                masks.setdefault(mask, []).append(np.stack([got, np.full(len(got), item, np.uint64), np.arange(len(got), dtype=np.uint64) + np.uint64(place or 0)]))
         self.seeds = {}
         for mask, parts in masks.items():
             rows = np.concatenate(parts, 1)
@@ -115,7 +132,7 @@ def verify(own: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     same = own[lo + diagonal : hi + diagonal] == item[lo:hi]
     a, b = segment(same)
     agreed = int(same[a:b].sum())
-    if agreed >= min(MATCHED, max(SHORTEST, int(np.ceil(COVERED * len(item))))):
+    if agreed >= needed(len(item)):
         return lo + diagonal + a, b - a, agreed
     return None
 

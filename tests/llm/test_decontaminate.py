@@ -1,7 +1,9 @@
 import random
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from rosterloom.llm import decontaminate as d
 from rosterloom.llm import textkernel as tk
@@ -74,3 +76,43 @@ def test_clean_keeps_the_rest(spark):
     kept = d.clean(docs, spark.createDataFrame([(*item, 0)], BENCH))
     assert kept.columns == docs.columns
     assert sorted(str(r["doc_id"]) + str(r["text"]) for r in kept.collect()) == ["2fine", "3None", "Noneok"]
+
+
+def accepted(length):
+    """Passages that verify accepts for an item of this length, as the sets of tokens that differ."""
+    item = np.arange(1, length + 1, dtype=np.uint64)
+    for n in range(length - d.SHORTEST + 1):
+        for at in combinations(range(length), n):
+            own = item.copy()
+            own[list(at)] = 1000
+            if d.verify(own, item, 0):
+                yield set(at)
+
+
+@pytest.mark.parametrize("length", range(5, 17))
+def test_every_accepted_passage_is_hit(length):
+    items = d.Items([0], [" ".join(f"t{k}" for k in range(length))])
+    around = tk.mix(np.arange(7000, 7003, dtype=np.uint64))
+    patterns = list(accepted(length))
+    assert set() in patterns and max(map(len, patterns)) == length - d.needed(length)
+    for at in patterns:
+        own = items.tokens[0].copy()
+        own[list(at)] = tk.mix(np.arange(900, 900 + len(at), dtype=np.uint64))
+        for text, diagonal in ((own, 0), (np.concatenate((around, own, around)), 3)):
+            found = items.hits(text, np.array([0, len(text)]))
+            assert [0, 0, diagonal] in found.tolist(), at
+
+
+def test_short_items_that_differ_or_are_cut_off_are_found(spark):
+    rng = random.Random(8)
+    items = [words(rng, n) for n in range(6, 14)]
+    docs = []
+    for k, item in enumerate(items):
+        own = list(item)
+        own[len(own) // 2] = "changed"
+        docs.append((2 * k, " ".join(words(rng, 50) + own + words(rng, 50))))
+        docs.append((2 * k + 1, " ".join(item[1:] + words(rng, 50))))
+    got = run(spark, docs, [(k, " ".join(x)) for k, x in enumerate(items)])
+    refused = {(2 * k, k) for k, item in enumerate(items) if {len(item) // 2} not in list(accepted(len(item)))}
+    assert len(refused) == 3
+    assert {(r["doc_id"], r["item_id"]) for r in got} == {(n, n // 2) for n in range(2 * len(items))} - refused
