@@ -7,9 +7,11 @@ off below zero, goes into a softmax layer. The network is trained in numpy with
 labelled texts; only the places of the largest responses get gradients. A text's probabilities are
 the mean of its windows', weighted by their real bytes: the whole text is read, never a part.
 
-Training texts are at most about ``PER_LANGUAGE`` a language, chosen by a seeded hash of doc_id
-against a share counted for each language, and of each at most ``PIECES`` windows from places spread
-over the whole text; so what the driver holds is bounded. The model (some hundred KB) is broadcast,
+Every lang value is learned. Training texts are at most about ``PER_LANGUAGE`` a language, fewer where the
+languages are so many that this would be over ``MOST_TEXTS`` in all, but never none: they are chosen by a seeded
+hash of doc_id against a share counted for each language, which the language's least hash is always within. Of
+each text at most ``PIECES`` windows are taken, from places spread over the whole text; so what the driver holds is
+bounded. The model (some hundred KB) is broadcast,
 scoring is one pass without a shuffle, and a worker's memory is bounded by a slice of windows.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; null or repeated doc_ids are
@@ -34,7 +36,7 @@ WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
 PER_LANGUAGE = 800
-MOST_LANGUAGES = 200
+MOST_TEXTS = 160_000
 PIECES = 3
 SEED = 5
 EPOCHS = 8
@@ -156,15 +158,17 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
 def sample(docs: DataFrame, train_on: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
     """Pieces of labelled texts, as (text, language)."""
     known = docs.select("doc_id", "text", "lang").filter(train_on & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()}
+    mark = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 31))
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min(mark).alias("least")).collect()}
     if not sizes:
         return []
-    bar = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, per_language / n) * (1 << 31)))])
-    mark = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 31))
+    per_language = max(1, min(per_language, MOST_TEXTS // len(sizes)))
+    bars = [(lang, max(int(min(1.0, per_language / n) * (1 << 31)), least + 1)) for lang, (n, least) in sizes.items()]
+    bars = F.broadcast(docs.sparkSession.createDataFrame(bars, "_lang string, bar bigint"))
     n = F.char_length("text")
     pieces = F.array(*[F.substr("text", (F.lit(1) + (F.greatest(n - WINDOW, F.lit(0)) * k / max(1, PIECES - 1)).cast("int")), F.lit(WINDOW)) for k in range(PIECES)])
     piece = F.explode(F.when(n <= WINDOW, F.array(F.col("text"))).otherwise(pieces))
-    rows = known.filter(mark < F.element_at(bar, F.col("lang"))).select("doc_id", "lang", piece.alias("text"))
+    rows = known.join(bars, F.col("lang") == F.col("_lang")).filter(mark < F.col("bar")).select("doc_id", "lang", piece.alias("text"))
     rows = rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").limit(PIECES * per_language * 2 * len(sizes))
     return [(r["text"], r["lang"]) for r in rows.collect()]
 

@@ -39,3 +39,12 @@ def test_labels_are_no_input(spark):
     other = df.withColumn("lang", F.when(held, "zz").otherwise(F.col("lang")))
     one, two = ({r["doc_id"]: (r["lang_pred"], r["score"]) for r in language.judge(x).collect()} for x in (df, other))
     assert one == two
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    rows = [(k, f"text of {k % 230}", f"l{k % 230}", 0) for k in range(690)] + [(1000 + k, f"more of it {k}", "l0", 0) for k in range(400)]
+    df = spark.createDataFrame(rows, DOCS)
+    assert {y for _, y in language.sample(df, F.lit(True))} == {f"l{k}" for k in range(230)}
+    monkeypatch.setattr(language, "MOST_TEXTS", 230)
+    few = language.sample(df, F.lit(True))
+    assert {y for _, y in few} == {f"l{k}" for k in range(230)} and len(few) <= 2 * 230
