@@ -21,9 +21,10 @@ differences to the hub. Links within a component are not looked for: they change
 Sizes: the sketch table has some 200 bytes a document; sets are made and shuffled only for nodes that
 share a bucket. A node's work grows with its buckets, not with their sizes. The driver holds counts.
 
-Cases: null and empty texts, and texts of white space, have an empty set and are linked with nothing; a
-null doc_id takes the component of its equal set (null if there is none) and is not kept; rows that
-repeat a doc_id are one document, linked with whatever one of its texts is linked with; very long
+Cases: null and empty texts, and texts of white space, have an empty set and are linked with nothing; in
+``classes`` a null doc_id takes the component of its equal set (null if there is none) and is not kept, and rows
+that repeat a doc_id are one document, linked with whatever one of its texts is linked with; ``clean`` takes
+each row for itself; very long
 texts are read whole; an empty table gives no rows; other columns are not read.
 """
 
@@ -263,10 +264,15 @@ def classes(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> Dat
 
 
 def clean(spark: SparkSession, docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
-    """The rows of ``docs`` of which each class keeps one document; a null doc_id is never dropped
-    unless an equal set has an id."""
-    out = classes(spark, docs, percent).filter(~F.col("kept") & F.col("component_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("component_id").alias("_c")).filter("_id IS NOT NULL").select("_id").distinct()
-    return docs.join(out, docs["doc_id"].cast("bigint") == out["_id"], "left_anti")
+    """The rows of ``docs`` of which each class keeps one: the row with the least doc_id, nulls last. Here every row
+    is a document of its own, whether its doc_id is null or repeated."""
+    rows = store.written(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
+    found = classes(spark, rows.select(F.col("_row").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("_r"), "component_id")
+    members = rows.select("_row", F.col("doc_id").cast("bigint").alias("_id")).join(found, F.col("_row") == F.col("_r")).drop("_r")
+    members = store.written(spark, members, "members")
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
+    out = store.written(spark, members.join(first, "_row", "left_anti").select("_row"), "out")
+    return rows.join(out, "_row", "left_anti").select(docs.columns)
 
 
 #: The same in DuckDB SQL over the table documents: all pairs that share a shingle, and the closure of their links.

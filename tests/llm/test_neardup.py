@@ -124,3 +124,14 @@ def test_miss_bound_at_each_threshold():
     assert neardup.width(85) == neardup.REGISTERS
     for percent in (70, 80, 85, 95):
         assert (1 - (percent / 100) ** neardup.BAND) ** (neardup.width(percent) // neardup.BAND) < neardup.MISS
+
+
+def test_clean_keeps_one_row_of_each_class(spark):
+    words = [f"w{k}" for k in range(60)]
+    text, near = " ".join(words), " ".join([*words[:-1], "other"])
+    rows = [(None, near), (7, text), (7, text), (None, text), (3, near), (None, "alone here"), (None, "alone here"), (None, "more alone"), (None, None), (4, ""), (5, "five"), (5, "six")]
+    df = spark.createDataFrame([(i, t, 1, "clash") for i, t in rows], DOCS)
+    kept = neardup.clean(spark, df)
+    assert kept.columns == df.columns
+    want = [(3, near), (None, "alone here"), (None, "more alone"), (None, None), (4, ""), (5, "five"), (5, "six")]
+    assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == sorted(want, key=str)
