@@ -5,9 +5,8 @@ buckets. A text's vector has log(1 + count) in each bucket, times the bucket's l
 log((p / |p|) / (q / |q|)) between the labelled toxic and the other texts (both smoothed by one), and
 is scaled to length one. On that vector a logistic regression is trained by full gradient steps, in
 one task, with a somewhat larger weight for toxic texts, over at most ``MOST_ROWS`` labelled texts: those with the smallest seeded hash of their
-id, so the sample doesn't depend on how the tables are cut. Of a text of over ``MOST_CHARS``
-characters training takes pieces of it from ``PIECES`` places spread evenly over the whole text;
-scoring always takes the whole text.
+id, so the sample doesn't depend on how the tables are cut. Training and scoring take whole texts; the rows
+alone bound what the training task holds, some 12 bytes for each distinct n-gram of each text.
 
 Scoring needs one pass and no shuffle: the model is broadcast (``BUCKETS`` numbers), and each text is
 summed in numpy. Its memory is bounded by a slice of texts.
@@ -35,8 +34,6 @@ BUCKETS = 1 << BITS
 SIZES = (5,)
 #: The bound of the labelled sample that is gathered and trained on.
 MOST_ROWS = 12_000
-MOST_CHARS = 3_000
-PIECES = 4
 SEED = 77
 STEPS = 80
 RATE = 0.5
@@ -143,15 +140,12 @@ def train(texts: list[str], labels: list[int]) -> Model:
 
 def sample(docs: DataFrame, labels: DataFrame, train_on: Column, most: int = MOST_ROWS) -> DataFrame:
     """doc_id, toxic and text of at most ``most`` labelled texts, those with the least seeded hash of doc_id; ``train_on`` is a
-    condition on doc_id. Long texts come as pieces."""
+    condition on doc_id."""
     known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(train_on & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
     order = F.xxhash64(F.lit(SEED), F.col("doc_id"))
     chosen = known.withColumn("_o", order).orderBy("_o", "doc_id").limit(most).drop("_o")
-    n, piece = F.char_length("text"), MOST_CHARS // PIECES
-    cut = F.concat_ws(" ", *[F.substr("text", (F.lit(1) + ((n - piece) * k / max(1, PIECES - 1)).cast("int")), F.lit(piece)) for k in range(PIECES)])
-    text = F.when(n <= MOST_CHARS, F.col("text")).otherwise(cut)
     # ids in the sample are bounded, so they may be broadcast; a repeated doc_id gives one text
-    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", text.alias("text"))
+    rows = docs.select("doc_id", "text").filter("text IS NOT NULL").join(F.broadcast(chosen), "doc_id").select("doc_id", "toxic", "text")
     return rows.groupBy("doc_id", "toxic").agg(F.min("text").alias("text"))
 
 

@@ -54,3 +54,18 @@ def test_no_labels_and_no_rows(spark):
     none = spark.createDataFrame([], LABELS)
     assert {r["predicted"] for r in toxicity.judge(spark.createDataFrame(docs, DOCS), none).collect()} == {0}
     assert toxicity.judge(spark.createDataFrame([], DOCS), none).count() == 0
+
+
+def test_long_texts_are_trained_on_whole(spark):
+    rng = random.Random(4)
+    plain, docs, labels = [f"word{k}" for k in range(40)], [], []
+    for k in range(160):
+        words, toxic = rng.choices(plain, k=900), k % 2
+        for at in (120, 150, 180, 450, 480, 750, 780):  # outside of pieces from the start, the thirds and the end
+            words[at] = "snarkle" if toxic else words[at]
+        docs.append((k, " ".join(words), 0, "clash"))
+        labels.append((k, toxic, "clash"))
+    d, l = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    assert {r["doc_id"]: r["text"] for r in toxicity.sample(d, l, toxicity.F.lit(True)).collect()} == {r[0]: r[1] for r in docs}
+    out = [r for r in toxicity.judge(d, l).collect() if r["held_out"]]
+    assert len(out) > 20 and all(r["predicted"] == r["doc_id"] % 2 for r in out)
