@@ -13,7 +13,6 @@ DOCS = "doc_id long, text string, length int, ids string"
 
 def brute(texts):
     tokenizer = Tokenizer.from_file(PATH)
-    tokenizer.encode_special_tokens = True
     return [[*tokenizer.encode(t or "", add_special_tokens=False).ids, 2] for t in texts]
 
 
@@ -52,6 +51,13 @@ def test_odd_texts(spark):
     assert check(packing.pack(spark.createDataFrame(rows, DOCS).coalesce(1), PATH).collect(), texts) == 0
 
 
+def test_special_tokens_are_the_tokenizers():
+    words, tokenizer = packing.load(PATH), Tokenizer.from_file(PATH)
+    for text in ("a <|endoftext|> b", "<|STARTOFTEXT|>", "<|endoftext|><|endoftext|>x", "<| endoftext |>", "a<|endoftext|", "<|"):
+        assert np.frombuffer(words.encode(text), "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert 49407 in tokenizer.encode("a <|endoftext|> b", add_special_tokens=False).ids
+
+
 def test_empty_table_and_repeats(spark):
     assert packing.pack(spark.createDataFrame([], DOCS), PATH).count() == 0
     rows = packing.pack(spark.createDataFrame([(None, "a b", 0, ""), (1, "a b", 0, ""), (1, "a b", 0, "")], DOCS).coalesce(1), PATH).collect()
