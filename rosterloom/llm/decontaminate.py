@@ -3,22 +3,24 @@
 Tokens are runs of ASCII letters and digits and of non-ASCII bytes, A-Z lower-cased, so case and
 punctuation don't hide a passage. A seed is a fixed mask over consecutive tokens: the tokens at its
 care positions are hashed, those at the others are ignored, so a substituted token leaves the seeds
-that ignore it or stand beside it. Seed hashes of the test items are joined with those of every
-position of every training document; a hit puts item and document on one diagonal, and the
-overlap on that diagonal is verified token by token: the best ungapped segment around the hit, in
-which at least ``IDENTITY`` of the tokens agree. It is a leak if it has ``MATCHED`` agreeing
-tokens, or if it covers ``COVERED`` of a shorter item.
-
-The test set comes in blocks of at most ``BLOCK_TOKENS`` tokens, read one after the other; the seeds
-of a block are a table of bounded size that every task gets, and the documents are scanned once a
-block, so nothing of the documents is shuffled and a hot passage stays where it is. Only verified
-rows (document, item) leave a task.
+that ignore it or stand beside it. Seed hashes of the test items are joined with those of the
+training documents; a hit puts item and document on one diagonal, and the overlap on that diagonal is
+verified token by token: the best ungapped segment around the hit, in which at least ``IDENTITY`` of
+the tokens agree. It is a leak if it has ``MATCHED`` agreeing tokens, or if it covers ``COVERED`` of a
+shorter item.
+
+The documents are scanned once, whatever the size of the test set. The scan hashes every position
+under every mask and keeps those whose hash a bit table of the test seeds holds: at most ``MOST_BITS``
+bits are broadcast, a larger test set only lets more positions through. Documents with a position
+left are written with their token hashes; the join of positions and seeds, and that of the hits with
+the tokens of both sides, are Spark's own, on tables that are written before, so small ones are
+broadcast by their known size and hot ones can be split. Texts are never shuffled.
 
 Cases: null and empty texts match nothing; items of fewer than ``SHORTEST`` tokens are too short to
 be evidence and match nothing; items of fewer than ``SPACED`` tokens have seeds of their own in place of
 the masks: cut into two more blocks than tokens may differ, they keep some two blocks whole in each
 passage that is accepted, and each two blocks are a seed; repeated items are reported each, repeated documents too; a null doc_id is carried as it is;
-empty tables give no rows; other columns are not read.
+ids may have any type; empty tables give no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rosterloom.llm import store
 from rosterloom.llm import textkernel as tk
 
 #: 1: the token counts, 0: it is ignored.
@@ -41,7 +44,8 @@ COVERED = 0.8
 SHORTEST = 5
 #: From this length on, each passage that is accepted holds a seed of a mask.
 SPACED = 14
-BLOCK_TOKENS = 2_000_000
+#: The bit table has 16 bits for each test seed, and no more bits than this (64 MB).
+MOST_BITS = 29
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[tk.Words, np.ndarray]:
@@ -49,10 +53,10 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[tk.Words, np.ndarray]
     return words, words.hashes(lower=True)
 
 
-def seeds(hashes: np.ndarray, mask: str, salt: int) -> np.ndarray:
+def seeds(hashes: np.ndarray, mask: str) -> np.ndarray:
     """The hash under a mask at each position where it fits into ``hashes``, documents run together."""
     n = len(hashes) - len(mask) + 1
-    out = np.full(max(n, 0), salt + 1, np.uint64)
+    out = np.full(max(n, 0), int(mask, 2), np.uint64)
     for k, care in enumerate(mask):
         if care == "1" and n > 0:
             out = out * np.uint64(0xD6E8FEB86659FD93) + hashes[k : k + n]
@@ -73,48 +77,34 @@ def short_seeds(length: int) -> list[tuple[str, int]]:
     return out
 
 
-class Items:
-    """A block of test items: their token hashes and, by mask, the sorted seeds with item and place."""
-
-    def __init__(self, ids: list, texts: list):
-        data, offsets = tk.column_bytes(pa.array(texts, pa.string()))
-        words, hashes = tokens(data, offsets)
-        self.ids = ids
-        self.tokens = [hashes[a:b] for a, b in zip(words.first[:-1], words.first[1:])]
-        masks: dict[str, list] = {}
-        for item, own in enumerate(self.tokens):
-            if len(own) < SHORTEST:
-                continue
-            for mask, place in [(mask, None) for mask in MASKS] if len(own) >= SPACED else short_seeds(len(own)):
-                got = seeds(own if place is None else own[place : place + len(mask)], mask, len(mask))
-                masks.setdefault(mask, []).append(np.stack([got, np.full(len(got), item, np.uint64), np.arange(len(got), dtype=np.uint64) + np.uint64(place or 0)]))
-        self.seeds = {}
-        for mask, parts in masks.items():
-            rows = np.concatenate(parts, 1)
-            rows = rows[:, np.argsort(rows[0], kind="stable")]
-            bits = max(16, int(np.ceil(np.log2(rows.shape[1] * 16))))
-            near = np.zeros(1 << bits, bool)
-            near[(rows[0] & np.uint64((1 << bits) - 1)).astype(np.int64)] = True
-            self.seeds[mask] = (rows[0], rows[1].astype(np.int64), rows[2].astype(np.int64), near, np.uint64((1 << bits) - 1))
-
-    def hits(self, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """Distinct rows (document, item, diagonal) with a common seed."""
-        found = []
-        for mask, (sorted_seeds, item, place, near, low) in self.seeds.items():
-            here = seeds(hashes, mask, len(mask))
-            at = np.flatnonzero(near[(here & low).astype(np.int64)])
-            if not len(at):
-                continue
-            doc = np.searchsorted(first, at, "right") - 1
-            inside = at + len(mask) <= first[doc + 1]
-            at, doc = at[inside], doc[inside]
-            a, b = np.searchsorted(sorted_seeds, here[at], "left"), np.searchsorted(sorted_seeds, here[at], "right")
-            n = b - a
-            if not n.sum():
-                continue
-            k = np.repeat(a - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(int(n.sum()))
-            found.append(np.stack([np.repeat(doc, n), item[k], np.repeat(at - first[doc], n) - place[k]], 1))
-        return np.unique(np.concatenate(found), axis=0) if found else np.zeros((0, 3), np.int64)
+def masks_of(length: int) -> list[tuple[str, int | None]]:
+    """The masks of an item of this length, each with its only place, or None for every place."""
+    return [(mask, None) for mask in MASKS] if length >= SPACED else short_seeds(length)
+
+
+def item_seeds(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The seed hashes of an item's tokens and the places where they begin."""
+    hashes, places = [], []
+    for mask, place in masks_of(len(own)):
+        got = seeds(own if place is None else own[place : place + len(mask)], mask)
+        hashes.append(got), places.append(np.arange(len(got)) + (place or 0))
+    return np.concatenate(hashes), np.concatenate(places)
+
+
+class Bits:
+    """A bit table over the low bits of seed hashes."""
+
+    def __init__(self, seeds_in_all: int):
+        self.width = min(MOST_BITS, max(16, int(np.ceil(np.log2(max(seeds_in_all, 1) * 16)))))
+        self.low = np.uint64((1 << self.width) - 1)
+        self.table = np.zeros(1 << (self.width - 3), np.uint8)
+
+    def add(self, places: np.ndarray) -> None:
+        np.bitwise_or.at(self.table, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = (hashes & self.low).astype(np.int64)
+        return (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
 
 
 def segment(same: np.ndarray) -> tuple[int, int]:
@@ -137,53 +127,108 @@ def verify(own: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int,
     return None
 
 
-def _blocks(benchmark: DataFrame) -> Iterator[Items]:
-    """The test set in bounded blocks, never more than one of them on the driver."""
-    ids, texts, held = [], [], 0
-    for row in benchmark.select("item_id", "text").filter(F.col("text").isNotNull()).toLocalIterator():
-        ids.append(row["item_id"]), texts.append(row["text"])
-        held += len(row["text"]) // 2 + 1
-        if held >= BLOCK_TOKENS:
-            yield Items(ids, texts)
-            ids, texts, held = [], [], 0
-    if ids:
-        yield Items(ids, texts)
+def _read_items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        n, own = [], []
+        for _, _, data, offsets in tk.by_document(batch):
+            words, hashes = tokens(data, offsets)
+            for a, b in zip(words.first[:-1], words.first[1:]):
+                n.append(int(b - a)), own.append(hashes[a:b].tobytes())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int32()), pa.array(own, pa.binary())], ["item", "item_id", "n", "own"])
+
+
+def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for item, own in zip(batch.column(0), batch.column(1)):
+            hashes, places = item_seeds(np.frombuffer(own.as_buffer(), np.uint64))
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(hashes), item.as_py())), pa.array(places.astype(np.int32))], ["seed", "item", "place"])
+
+
+def _bits(seeded: DataFrame) -> Bits:
+    """The bit table of all seeds; the driver sees the low bits of a batch at a time."""
+    bits = Bits(seeded.count())
+    low = bits.low
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = np.unique(batch.column(0).to_numpy().view(np.uint64) & low).astype("<u4")
+            yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["places"])
+
+    for row in seeded.select("seed").mapInArrow(run, "places binary").toLocalIterator():
+        bits.add(np.frombuffer(row["places"], "<u4").astype(np.int64))
+    return bits
+
+
+def _scan(shared, masks: list[str]):
+    """doc_id, token hashes and the positions left, of each document that has some."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = shared.value
+        for batch in batches:
+            keys, owns, found, places = [], [], [], []
+            for row, _, data, offsets in tk.by_document(batch):
+                words, hashes = tokens(data, offsets)
+                hits = []
+                for mask in masks:
+                    here = seeds(hashes, mask)
+                    at = np.flatnonzero(bits.holds(here))
+                    doc = np.searchsorted(words.first, at, "right") - 1
+                    inside = at + len(mask) <= words.first[doc + 1]
+                    hits.append((doc[inside], here[at[inside]].view(np.int64), (at[inside] - words.first[doc[inside]]).astype(np.int32)))
+                docs, here, at = (np.concatenate([h[k] for h in hits]) for k in range(3))
+                for doc in np.unique(docs).tolist():
+                    keys.append(row + doc), owns.append(hashes[words.first[doc] : words.first[doc + 1]].tobytes())
+                    found.append(here[docs == doc]), places.append(at[docs == doc])
+            if keys:
+                columns = [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(owns, pa.binary()), pa.array(found, pa.list_(pa.int64())), pa.array(places, pa.list_(pa.int32()))]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "tokens", "seeds", "places"])
+
+    return run
+
+
+def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The best verified segment of each document and item, if there is one."""
+    names = ["doc_id", "item_id", "start", "n_tokens", "n_agreeing"]
+    for batch in batches:
+        keep, rest = [], []
+        for k, (doc, item, diagonals) in enumerate(zip(batch.column(2), batch.column(3), batch.column(4))):
+            text, test = np.frombuffer(doc.as_buffer(), np.uint64), np.frombuffer(item.as_buffer(), np.uint64)
+            best = None
+            for diagonal in sorted(diagonals.as_py()):
+                got = verify(text, test, diagonal)
+                if got and (best is None or got[2] > best[2]):
+                    best = got
+            if best:
+                keep.append(k), rest.append(best)
+        at = pa.array(keep, pa.int64())
+        yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), *[pa.array([r[k] for r in rest], pa.int64()) for k in range(3)]], names)
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """A row for each document and item that it holds: doc_id, item_id, and the best segment's start
     (in tokens), n_tokens and n_agreeing."""
+    spark = docs.sparkSession
     id_type, item_type = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    schema = f"doc_id {id_type}, item_id {item_type}, start bigint, n_tokens bigint, n_agreeing bigint"
-    names = ["doc_id", "item_id", "start", "n_tokens", "n_agreeing"]
-    spark, out = docs.sparkSession, None
-    for block in _blocks(benchmark):
-        shared = spark.sparkContext.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            items = shared.value
-            for batch in batches:
-                keys, item_ids, rest = [], [], []
-                for row, _, data, offsets in tk.by_document(batch):
-                    words, hashes = tokens(data, offsets)
-                    best: dict[tuple[int, int], tuple[int, int, int]] = {}
-                    for doc, item, diagonal in items.hits(hashes, words.first).tolist():
-                        got = verify(hashes[words.first[doc] : words.first[doc + 1]], items.tokens[item], diagonal)
-                        if got and got[2] > best.get((doc, item), (0, 0, 0))[2]:
-                            best[doc, item] = got
-                    for (doc, item), got in best.items():
-                        keys.append(row + doc), item_ids.append(items.ids[item]), rest.append(got)
-                if keys:
-                    columns = [batch.column(0).take(pa.array(keys, pa.int64())), pa.array(item_ids), *[pa.array([r[k] for r in rest], pa.int64()) for k in range(3)]]
-                    yield pa.RecordBatch.from_arrays(columns, names)
-
-        part = docs.select("doc_id", "text").mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return spark.createDataFrame([], schema) if out is None else out
+    tests = benchmark.filter(F.col("text").isNotNull()).select(F.monotonically_increasing_id().alias("item"), "item_id", "text")
+    items = store.written(spark, tests.mapInArrow(_read_items, f"item bigint, item_id {item_type}, n int, own binary").filter(F.col("n") >= SHORTEST), "items")
+    seeded = store.written(spark, items.select("item", "own").mapInArrow(_seeded, "seed bigint, item bigint, place int"), "seeds")
+    lengths = [r["n"] for r in items.select(F.least("n", F.lit(SPACED)).alias("n")).distinct().collect()]  # ten at most
+    masks = sorted({mask for n in lengths for mask, _ in masks_of(n)})
+    if not masks:
+        return spark.createDataFrame([], f"doc_id {id_type}, item_id {item_type}, start bigint, n_tokens bigint, n_agreeing bigint")
+    shared = spark.sparkContext.broadcast(_bits(seeded))
+    scanned = docs.select("doc_id", "text").mapInArrow(_scan(shared, masks), f"doc_id {id_type}, tokens binary, seeds array<bigint>, places array<int>")
+    scanned = store.written(spark, scanned.withColumn("row", F.monotonically_increasing_id()), "scanned")
+    hits = scanned.select("row", F.explode(F.arrays_zip("seeds", "places")).alias("h")).select("row", F.col("h.seeds").alias("seed"), F.col("h.places").alias("at"))
+    met = hits.join(seeded, "seed").groupBy("row", "item").agg(F.collect_set(F.col("at") - F.col("place")).alias("diagonals"))
+    met = store.written(spark, met, "met")
+    both = met.join(items.select("item", "item_id", "own"), "item").join(scanned.select("row", "doc_id", "tokens"), "row")
+    return both.select("doc_id", "item_id", "tokens", "own", "diagonals").mapInArrow(_checked, f"doc_id {id_type}, item_id {item_type}, start bigint, n_tokens bigint, n_agreeing bigint")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` whose document holds no test item; a null doc_id stays only if its own text is clean."""
-    found = leaks(docs.withColumn("doc_id", F.struct("doc_id", F.xxhash64("text").alias("t"))).select("doc_id", "text"), benchmark)
+    found = leaks(docs.select(F.struct("doc_id", F.xxhash64("text").alias("t")).alias("doc_id"), "text"), benchmark)
     bad = found.select(F.col("doc_id.doc_id").alias("_id"), F.col("doc_id.t").alias("_t")).distinct()
+    bad = store.written(docs.sparkSession, bad, "leaks")  # of known size, so a small one is broadcast
     return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_t"]), "left_anti")
