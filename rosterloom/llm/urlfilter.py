@@ -6,16 +6,17 @@ keys of all urls of the corpus are the universe. A cascade answers "is this key
 key of the universe: level 0 encodes the listed keys, level 1 the keys of the universe that level 0
 takes for listed wrongly, level 2 the listed keys that level 1 holds wrongly, and so on until a level
 has no false positive. The number of levels a key passes, odd or even, is the exact answer.
-Level 0 is sized so that about as many keys slip through as are listed, so what the driver gathers
-is of the size of the rule list and doesn't follow the corpus; it gathers no more than ``MOST_FALSE``
-keys and otherwise makes the level larger and scans again.
+Level 0 is sized by the number of keys so that fewer slip through than are listed: what the driver
+gathers is of the size of the rule list, which the caller gives, and doesn't follow the corpus. Listed keys
+are told from false positives where the universe is scanned, whatever their number.
 
-There is one cascade for rules that block and one for rules that allow. The rules of a url are those
+There is one cascade for rules that block and one for rules that allow; one scan of the universe, which is
+written once, serves both. The rules of a url are those
 of its keys that either cascade holds; the longest rule decides (longest text, then longest
 host). No rule: ``allow``.
 
 Cases: a null url or one without ``://`` has an empty host and path, and no key; repeated urls are
-judged each; an empty table gives no rows; an empty rule list allows all; two rules with one key:
+judged each; an empty table gives no rows; an empty rule list allows all; two rules with one host and path:
 block wins. Other columns are not read.
 """
 
@@ -26,9 +27,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterloom.llm import store
 from rosterloom.llm import textkernel as tk
 
 #: The rules as they are given: verdict, host, path.
@@ -39,7 +42,6 @@ RULES = (
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 )
-MOST_FALSE = 1_000_000
 HASHES_AT_LEAST = 1
 
 
@@ -83,7 +85,7 @@ def _hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass
 class Bloom:
-    """One level: double hashing over a bit table."""
+    """One level: double hashing over a bit table, eight bits a byte."""
 
     bits: np.ndarray
     hashes: int
@@ -93,21 +95,21 @@ class Bloom:
     def of(cls, texts: list[str], rate: float, salt: int) -> Bloom:
         n = max(1, len(texts))
         size = max(64, int(np.ceil(-n * np.log(rate) / np.log(2) ** 2)))
-        out = cls(np.zeros(-(-size // 64) * 64, bool), max(HASHES_AT_LEAST, round(size / n * np.log(2))), salt)
+        out = cls(np.zeros(-(-size // 64) * 8, np.uint8), max(HASHES_AT_LEAST, round(size / n * np.log(2))), salt)
         if texts:
             for at in out._places(*_hashes(pa.array(texts, pa.string()))):
-                out.bits[at] = True
+                np.bitwise_or.at(out.bits, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
         return out
 
     def _places(self, a: np.ndarray, b: np.ndarray) -> Iterator[np.ndarray]:
         a, b = tk.mix(a + np.uint64(self.salt)), tk.mix(b ^ np.uint64(self.salt)) | np.uint64(1)
         for k in range(self.hashes):
-            yield (tk.mix(a + np.uint64(k) * b) % np.uint64(len(self.bits))).astype(np.int64)
+            yield (tk.mix(a + np.uint64(k) * b) % np.uint64(8 * len(self.bits))).astype(np.int64)
 
     def holds(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         out = np.ones(len(a), bool)
         for at in self._places(a, b):
-            out &= self.bits[at]
+            out &= (self.bits[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
         return out
 
 
@@ -127,37 +129,42 @@ class Cascade:
         return self.passed(*_hashes(texts)) % 2 == 1
 
 
-def _slipped(universe: DataFrame, cascade: Cascade) -> DataFrame:
-    """The keys of the universe that every level so far holds."""
-    depth = len(cascade.levels)
+def _slipped(universe: DataFrame, shared) -> DataFrame:
+    """Keys of the universe that are not listed but held by the first level, with the number of the cascade."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array(cascade.passed(*_hashes(batch.column(0))) == depth))
-
-    return universe.mapInArrow(run, "key string")
-
-
-def build(universe: DataFrame, size: int, listed: list[str]) -> Cascade:
-    """A cascade exact on the distinct keys of ``universe`` (column key; ``size`` of them)."""
-    cascade, listed = Cascade(), sorted(set(listed))
-    if not listed:
-        return cascade
-    rate = min(0.5, max(len(listed), 1) * 0.5**0.5 / max(size, 1))
-    while True:
-        cascade.levels = [Bloom.of(listed, rate, 1)]
-        false = [r["key"] for r in _slipped(universe, cascade).filter(~F.col("key").isin(listed) if len(listed) <= 1000 else F.lit(True)).distinct().limit(MOST_FALSE + 1).collect()]
-        if len(false) <= MOST_FALSE:
-            break
-        rate /= 16
-    others = sorted(set(false) - set(listed))
-    inside, outside = listed, others
-    while outside:  # the next level encodes what the last holds wrongly; then the two sides change places
-        level = Bloom.of(outside, 0.5, 1 + 7919 * len(cascade.levels))
-        cascade.levels.append(level)
-        a, b = _hashes(pa.array(inside, pa.string()))
-        inside, outside = outside, [x for x, y in zip(inside, level.holds(a, b)) if y]
-    return cascade
+            keys = batch.column(0)
+            hashes = _hashes(keys)
+            for k, (level, listed) in enumerate(shared.value):
+                false = level.holds(*hashes) & ~pc.is_in(keys, value_set=listed).to_numpy(zero_copy_only=False)
+                found = keys.filter(pa.array(false))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), k, np.int32)), found.cast(pa.string())], ["which", "key"])
+
+    return universe.mapInArrow(run, "which int, key string")
+
+
+def build(universe: DataFrame, size: int, lists: list[list[str]]) -> list[Cascade]:
+    """For each list of keys a cascade that is exact on the distinct keys of ``universe`` (column key; ``size`` of them)."""
+    lists = [sorted(set(listed)) for listed in lists]
+    starts = [Bloom.of(listed, min(0.5, max(len(listed), 1) * 0.5**0.5 / max(size, 1)), 1) for listed in lists]
+    if not any(lists):
+        return [Cascade() for _ in lists]
+    shared = universe.sparkSession.sparkContext.broadcast([(start, pa.array(listed, pa.string())) for start, listed in zip(starts, lists)])
+    false: list[set[str]] = [set() for _ in lists]
+    for row in _slipped(universe, shared).distinct().collect():  # of the size of the lists
+        false[row["which"]].add(row["key"])
+    made = []
+    for start, inside, others in zip(starts, lists, false):
+        cascade = Cascade([start] if inside else [])
+        outside = sorted(others) if inside else []
+        while outside:  # the next level encodes what the last holds wrongly; then the two sides change places
+            level = Bloom.of(outside, 0.5, 1 + 7919 * len(cascade.levels))
+            cascade.levels.append(level)
+            a, b = _hashes(pa.array(inside, pa.string()))
+            inside, outside = outside, [x for x, y in zip(inside, level.holds(a, b)) if y]
+        made.append(cascade)
+    return made
 
 
 def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, key: str = "page_id", url: str = "url") -> DataFrame:
@@ -167,14 +174,15 @@ def judge(pages: DataFrame, rules: Iterable[tuple[str, str, str]] = RULES, key:
     lengths = {len(p) for _, _, p in rules}
     urls = pages.select(F.col(key), F.col(url).alias("url")).select(key, host.alias("host"), path.alias("path"))
     candidates = urls.select(key, "host", "path", keys(F.col("host"), F.col("path"), lengths).alias("keys") if lengths else F.array().cast("array<string>").alias("keys"))
-    universe = candidates.select(F.explode("keys").alias("key")).distinct()
-    size = universe.count() if rules else 0
+    universe = store.written(pages.sparkSession, candidates.select(F.explode("keys").alias("key")).distinct(), "keys")
+    size = universe.count()
     blocked = {h + p for v, h, p in rules if v == "block"}
     allowed = {h + p for v, h, p in rules if v == "allow"} - blocked
-    block, allow = build(universe, size, sorted(blocked)), build(universe, size, sorted(allowed))
+    shared = pages.sparkSession.sparkContext.broadcast(build(universe, size, [sorted(blocked), sorted(allowed)]))
     schema = candidates.drop("keys").schema.add("rule", "string").add("verdict", "string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, allow = shared.value
         for batch in batches:
             found = batch.column("keys")
             flat, at = found.flatten(), np.asarray(found.value_lengths().fill_null(0))

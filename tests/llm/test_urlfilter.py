@@ -36,7 +36,7 @@ def test_against_brute_force_and_sql(spark):
 
 def test_many_rules(spark):
     rng = random.Random(2)
-    rules = [(rng.choice(["allow", "block"]), f"h{k}.org", rng.choice(["/", "/a/", "/abc"])) for k in range(400)]
+    rules = [(rng.choice(["allow", "block"]), f"h{k}.org", rng.choice(["/", "/a/", "/abc"])) for k in range(2500)]
     urls = [f"http://x.h{rng.randrange(2000)}.org{rng.choice(['/', '/a/b', '/abcd', ''])}" for _ in range(3000)]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in u.judge(pages, rules).collect()}
@@ -47,8 +47,9 @@ def test_cascade_is_exact_on_its_universe(spark):
     names = [f"k{n}" for n in range(5000)]
     listed = names[::40]
     universe = spark.createDataFrame([(n,) for n in names], "key string")
-    cascade = u.build(universe, len(names), listed)
+    cascade, other = u.build(universe, len(names), [listed, names[7::50]])
     assert len(cascade.levels) > 2
+    assert other.listed(pa.array(names)).tolist() == [n in set(names[7::50]) for n in names]
     assert cascade.listed(pa.array(names)).tolist() == [n in set(listed) for n in names]
 
 
