@@ -6,7 +6,10 @@ length, version 2 also result code, checksum, location, offset and file name bef
 declared length alone says where a record's content ends. ``convert`` parses both and synthesises
 what WARC has and ARC hasn't: a record id, an ISO timestamp, the record type and the payload digest.
 Of records with equal payloads the one with the smallest page id is a response; the others become
-revisits that refer to it.
+revisits that refer to it. A record id is made of the archive's name and the record's place in it, so rows that
+repeat a page id have ids of their own; the converted records are written once, so every later step
+sees the same ids. A revisit names its response by record id, as the standard has it, and in a
+field of its own by page id.
 
 Archives are written by Spark's own text writer with the record terminator as its line separator,
 gzipped: each file is a valid compressed WARC file, one task writes and one task reads it as a
@@ -14,9 +17,9 @@ stream, and a lost task is repeated by the commit protocol, in any store Spark c
 joins what the separator cut and goes by the declared lengths, so payloads may hold the separator.
 Memory is bounded by a record (and an ARC chunk of ``ARC_BYTES``).
 
-Equal payloads are found on rows of ids and digests only. The rows that revisit are joined to the
-records; they are broadcast if there are at most ``MOST_BROADCAST``, else shuffled, so a payload that
-a third of all pages share never meets in one task with its content.
+Equal payloads are found on rows of ids and digests only. The rows that revisit are written, then joined to the
+records by record id: Spark broadcasts them if their known size allows, else shuffles by ids that are all different,
+so a payload that a third of all pages share never meets in one task with its content.
 
 Cases: null html is an empty payload; a null url is written as ``urn:null``, white space and control
 characters in a url are percent-encoded; a null page id is never referred to and revisits if an
@@ -30,7 +33,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
-import zlib
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -44,13 +47,13 @@ from rosterloom.llm import store
 END = b"\r\n\r\n"
 #: An ARC chunk is closed when it has so many bytes.
 ARC_BYTES = 1 << 20
-#: Rows of at most some forty bytes that may be broadcast.
-MOST_BROADCAST = 1_000_000
 ARC_DATE = "20240101000000"
 ADDRESS = "0.0.0.0"
 FIELDS = {1: "URL IP-address Archive-date Content-type Archive-length", 2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length"}
+#: A field of this writer: the page id of the response that a revisit refers to.
+REFERS_TO_PAGE = "X-Refers-To-Page-Id"
 _UNSAFE = re.compile(r"[\x00-\x20\x7f]")
-RECORD = "page_id bigint, uri string, date string, digest string, payload_bytes bigint, head binary, body binary, key bigint"
+RECORD = "page_id bigint, uri string, date string, digest string, payload_bytes bigint, head binary, body binary, record_id string"
 
 
 @dataclass
@@ -146,13 +149,19 @@ def _http(content: bytes) -> tuple[bytes, bytes, dict[str, str]]:
     return content[: cut + 4], content[cut + 4 :], {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
 
 
+def record_id(name: str, offset: int) -> str:
+    """A UUID of a record's own, from its archive and its place there."""
+    digits = bytearray(hashlib.sha1(f"{name}/{offset}".encode()).digest()[:16])
+    digits[6], digits[8] = digits[6] & 0x0F | 0x80, digits[8] & 0x3F | 0x80
+    return uuid.UUID(bytes=bytes(digits)).urn
+
+
 def digest_of(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
 def convert(arcs: DataFrame) -> DataFrame:
-    """The records of ARC archives (name, content) with what WARC needs, see ``RECORD``. ``key`` is
-    the number that the record id is made of: the page id, or without one a hash of archive and offset."""
+    """The records of ARC archives (name, content) with what WARC needs, see ``RECORD``; archives have different names."""
     names = [x.split()[0] for x in RECORD.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,39 +174,24 @@ def convert(arcs: DataFrame) -> DataFrame:
                     page_id = int(page) if re.fullmatch(r"-?\d+", page) else None
                     d = record.date
                     date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    key = page_id if page_id is not None else -(1 << 62) + zlib.crc32(f"{name}/{record.offset}".encode())
-                    for column, value in zip(rows, (page_id, record.url, date, digest_of(body), len(body), head, body, key)):
+                    for column, value in zip(rows, (page_id, record.url, date, digest_of(body), len(body), head, body, record_id(name.as_py(), record.offset))):
                         column.append(value)
-                types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.int64()]
+                types = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.binary(), pa.binary(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(rows, types)], names)
 
     return arcs.mapInArrow(run, RECORD)
 
 
-def _record_id(key):
-    """A custom (version 8) UUID whose last 62 bits and two of the middle hold the number."""
-    digits = F.lpad(F.lower(F.hex(key)), 16, "0")
-    low = F.lpad(F.lower(F.hex(key.bitwiseAND(F.lit(0x0FFFFFFFFFFFFFFF)))), 15, "0")
-    return F.concat(F.lit("<urn:uuid:726f7374-6572-8"), F.substr(digits, F.lit(1), F.lit(1)), F.lit("00-8"), F.substr(low, F.lit(1), F.lit(3)), F.lit("-"), F.substr(low, F.lit(4), F.lit(12)), F.lit(">"))
-
-
-def number_of(record_id: str) -> int:
-    """The number that a record id was made of."""
-    plain = record_id.strip("<>").removeprefix("urn:uuid:")
-    n = int(plain[15] + plain[20:23] + plain[24:36], 16)
-    return n - (1 << 64) if n >= 1 << 63 else n
-
-
-def with_types(records: DataFrame, digests: DataFrame, least: int = 0) -> DataFrame:
-    """``records`` with column first: for a revisit the page id of its response, else null. ``digests``
-    has page_id, digest and payload_bytes of all records, and nothing larger."""
-    alike = digests.filter(F.col("payload_bytes") >= least)
-    firsts = alike.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).filter("n > 1 AND first IS NOT NULL").drop("n")
+def with_types(records: DataFrame, least: int = 0) -> DataFrame:
+    """``records``, which are written, with columns first and first_record: for a revisit the page id and the record id of
+    its response, else null."""
+    alike = records.select("record_id", "page_id", "digest", "payload_bytes").filter(F.col("payload_bytes") >= least)
+    known = F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record_id"))
+    firsts = alike.groupBy("digest").agg(F.min(known).alias("r"), F.count("*").alias("n")).filter("n > 1 AND r IS NOT NULL")
+    firsts = store.written(records.sparkSession, firsts.select("digest", F.col("r.page_id").alias("first"), F.col("r.record_id").alias("first_record")), "firsts")
     later = alike.join(firsts, "digest").filter(F.col("page_id").isNull() | (F.col("page_id") > F.col("first")))
-    spark = records.sparkSession
-    later = store.written(spark, later.select(F.col("page_id").alias("_id"), F.col("digest").alias("_digest"), "first").distinct(), "revisits")
-    side = F.broadcast(later) if later.count() <= MOST_BROADCAST else later
-    return records.join(side, records["page_id"].eqNullSafe(side["_id"]) & (records["digest"] == side["_digest"]), "left").drop("_id", "_digest")
+    later = store.written(records.sparkSession, later.select("record_id", "first", "first_record"), "revisits")
+    return records.join(later, "record_id", "left")
 
 
 def write(records: DataFrame, path: str) -> None:
@@ -207,11 +201,11 @@ def write(records: DataFrame, path: str) -> None:
     header = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", F.when(revisit, "revisit").otherwise("response")),
-        line("WARC-Record-ID", _record_id(F.col("key"))),
+        line("WARC-Record-ID", F.concat(F.lit("<"), "record_id", F.lit(">"))),
         line("WARC-Date", F.col("date")),
         line("WARC-Target-URI", F.col("uri")),
         line("WARC-Payload-Digest", F.concat(F.lit("sha1:"), "digest")),
-        F.when(revisit, F.concat(line("WARC-Refers-To", _record_id(F.col("first"))), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
+        F.when(revisit, F.concat(line("WARC-Refers-To", F.concat(F.lit("<"), "first_record", F.lit(">"))), line(REFERS_TO_PAGE, F.col("first").cast("string")), line("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")))).otherwise(""),
         line("Content-Type", F.lit("application/http;msgtype=response")),
         line("Content-Length", (F.octet_length("head") + F.when(revisit, 0).otherwise(F.octet_length("body"))).cast("string")),
         F.lit("\r\n"),
@@ -237,7 +231,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
             raise ValueError(f"{has['warc-record-id']}: the payload's digest is not the declared one")
         page = fields.get("x-page-id")
         size = len(body) if kind == "response" else int(fields["content-length"])
-        return int(page) if page else None, size, declared, kind, number_of(has["warc-refers-to"]) if kind == "revisit" else None, has["warc-target-uri"], body if kind == "response" else None
+        return int(page) if page else None, size, declared, kind, int(has[REFERS_TO_PAGE.lower()]) if kind == "revisit" else None, has["warc-target-uri"], body if kind == "response" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, need, header = bytearray(), 0, b""
@@ -276,9 +270,9 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
 def archive(spark: SparkSession, pages: DataFrame, least: int = 0) -> DataFrame:
     """``pages`` through ARC and WARC archives and back, as ``read`` returns them."""
-    records = convert(to_arc(pages))
+    records = store.written(spark, convert(to_arc(pages)), "records")
     path = store.place(spark, "warc")
-    write(with_types(records, records.select("page_id", "digest", "payload_bytes"), least), path)
+    write(with_types(records, least), path)
     return read(spark, path)
 
 

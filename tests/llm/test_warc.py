@@ -3,6 +3,7 @@ import gzip
 import glob
 import hashlib
 import random
+import re
 
 import duckdb
 import pyarrow as pa
@@ -69,12 +70,19 @@ def test_both_versions_and_lengths():
 def test_files_are_warc(spark):
     pages = spark.createDataFrame([(7, "http://x/", "hello", "", 0)], PAGES).coalesce(1)
     path = store.place(spark, "warc")
-    records = warc.convert(warc.to_arc(pages))
-    warc.write(warc.with_types(records, records), path)
+    warc.write(warc.with_types(warc.convert(warc.to_arc(pages))), path)
     (file,) = glob.glob(path.removeprefix("file://") + "/part-*.gz")
     content = gzip.open(file).read()
     assert content.startswith(b"WARC/1.1\r\nWARC-Type: response\r\nWARC-Record-ID: <urn:uuid:") and content.endswith(b"hello\r\n\r\n")
 
 
-def test_record_ids():
-    assert warc.number_of("<urn:uuid:726f7374-6572-8000-8000-000000000007>") == 7
+def test_record_ids_are_unique_and_referred_to(spark):
+    rows = [(1, "u", "a"), (1, "u", "a"), (2, "u", "a"), (None, "u", "b"), (None, "u", "b"), (5, "u", "b"), (1, "u", "c")] * 3
+    pages = spark.createDataFrame([(*r, "clash", 1) for r in rows], PAGES).repartition(3)
+    path = store.place(spark, "warc")
+    warc.write(warc.with_types(store.written(spark, warc.convert(warc.to_arc(pages)), "records")), path)
+    content = b"".join(gzip.open(f).read() for f in glob.glob(path.removeprefix("file://") + "/part-*.gz"))
+    ids = re.findall(rb"WARC-Record-ID: (\S+)", content)
+    assert len(ids) == len(set(ids)) == len(rows)
+    refers = re.findall(rb"WARC-Refers-To: (\S+)", content)
+    assert len(refers) == 9 and set(refers) < set(ids)
