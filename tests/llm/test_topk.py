@@ -1,4 +1,7 @@
+import duckdb
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 
 from rosterloom.llm import topk
 
@@ -24,6 +27,17 @@ def test_against_brute_force(spark):
     rng = np.random.default_rng(2)
     rows = [(k, rng.normal(size=8).tolist()) for k in range(900)] + [(1000 + k, [0.5] * 8) for k in range(400)]
     assert got(spark, rows, shard_rows=250, block_queries=40) == brute(rows, 10, 5)
+    apart = [(k, (v + np.eye(8)[k % 8] * 40).tolist()) for k, v in enumerate(rng.normal(size=(600, 8)))]
+    assert got(spark, apart, shard_rows=50) == brute(apart, 10, 5)
+
+
+def test_sql(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(k % 170, rng.normal(size=4).astype("f4").tolist()) for k in range(200)] + [(0, None)]
+    pq.write_table(pa.table({"vec_id": [r[0] for r in rows], "embedding": pa.array([r[1] for r in rows], pa.list_(pa.float32()))}), tmp_path / "e.parquet")
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/e.parquet'")
+    assert sorted(con.execute(topk.ORACLE).fetchall()) == got(spark, rows, every=50)
 
 
 def test_odd_vectors(spark):
@@ -38,6 +52,21 @@ def test_large_components_stay_exact(spark):
     assert [r[2] for r in got(spark, [(0, [3e38, 1.0]), (1, [3e38, 1.0]), (2, [3e38, 2.0])])] == [1, 2]
 
 
+def test_scores_beyond_doubles_over_many_shards(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, [float(np.float32(x)) for x in rng.integers((1 << 22) - 300, 1 << 22, 2) * 1.0]) for k in range(800)]
+    assert got(spark, rows, shard_rows=40, block_queries=9) == brute(rows, 10, 5)
+
+
+def test_boxes_rule_cells_out():
+    rows = np.array([[k, 5] for k in range(100)])
+    tree = topk.split(rows, 4, 7)
+    out = np.zeros(100, np.int32)
+    topk.place(tree, rows, np.arange(100), out)
+    assert out.tolist() == np.repeat([7, 8, 9, 10], 25).tolist()
+    assert topk.split(np.ones((50, 3), np.int64), 4, 0) == (0,)
+
+
 def test_tree_boxes_are_tight():
     x = np.random.default_rng(1).integers(-50, 50, (700, 5)).astype(float)
     tree = topk.Tree(x, 32)
