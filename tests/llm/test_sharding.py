@@ -27,6 +27,24 @@ def test_same_seed_same_order(spark):
     assert one == two != other
 
 
+def test_the_same_rows_in_other_partitions_give_the_same_shards(spark):
+    rows = [(k, f"text {k}") for k in range(500)] + [(7, "again")] * 300 + [(None, None)] * 20
+    outs = []
+    for n in (1, 2, 5):
+        docs = spark.createDataFrame([(i, t, "clash", 1) for i, t in rows], DOCS).repartition(n)
+        out = sharding.shard(spark, docs, bucket_bytes=300)
+        outs.append(sorted(map(str, ((r["shard"], r["slot"], r["doc_id"], r["text"]) for r in out.collect()))))
+    assert outs[0] == outs[1] == outs[2]
+
+
+def test_a_folder_for_each_shard_and_many_buckets(spark):
+    docs = spark.createDataFrame([(k, "x" * 50) for k in range(400)], "doc_id int, text string")
+    out = sharding.shard(spark, docs, bucket_bytes=100)
+    assert {f.split("/shard=")[1].split("/")[0] for f in out.inputFiles()} == {str(s) for s in range(24)}
+    sizes = Counter(r["shard"] for r in out.collect())
+    assert sum(sizes.values()) == 400 and max(sizes.values()) - min(sizes.values()) <= 1
+
+
 def test_few_and_no_rows(spark):
     assert held(spark, []) == []
     assert len(held(spark, [(1, "a"), (2, "b")])) == 2
