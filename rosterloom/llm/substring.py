@@ -4,28 +4,30 @@ Words are ``[^\\x20\\x09-\\x0D]+``, unchanged. A window is ``LENGTH`` consecutiv
 the words of a window whose words also start in a document with a smaller doc_id are removed.
 
 Suffixes that begin a window are split into groups by a prefix of variable length that all
-equal windows choose alike. The choice anchors a window at the one of its first ``LENGTH - PREFIX + 1``
-places whose ``PREFIX`` words hash least: those words are its prefix, and neighbouring windows, which
+equal windows choose alike. The choice anchors a window at the one of its first ``LENGTH - p + 1``
+places whose ``p`` words hash least: those words are its prefix, and neighbouring windows, which
 mostly share it, travel as one string (a run). Runs with equal content are collapsed before anything
 else, so the exact and near copies of a text, however many, are one string with its first
 document. A prefix that stands in a single document is dropped at once (rows of hashes only); one
 with a single distinct run needs no tree. What is left are the borders of repeats: the words of
-these runs are fetched from the first document of each, and groups of whole prefixes that fit into
-``TREE_WORDS`` words become suffix trees: suffixes sorted by prefix doubling, and between
-neighbours the depth at which they branch. The maximal ranges of suffixes with branchings no less
-deep than ``LENGTH`` are the subtrees below the deep internal nodes, that is, the maximal repeats; a window is
-removed if its subtree holds a suffix of a smaller document. A prefix with over ``HOT_RUNS``
-distinct runs is lengthened to all ``LENGTH`` words: each such subtree is a single node, found by
-a plain aggregation that combines before it shuffles.
+these runs are fetched from the first document of each. A prefix with more than ``GROUP_RUNS`` distinct runs
+gets a longer one: its runs are texts of their own, cut by prefixes twice as long, and so on until
+each group fits; prefixes as long as a window end it, as then a group has one run, or in text that repeats
+one word ``LENGTH`` at most. Groups of whole prefixes, up to ``TREE_WORDS`` words together, become
+suffix trees: suffixes sorted by prefix doubling, and between neighbours the depth at which they
+branch. The maximal ranges of suffixes with branchings no less deep than ``LENGTH`` are the subtrees
+below the deep internal nodes, that is, the maximal repeats; a window is removed if its subtree holds
+a suffix of a smaller document.
 
 Sizes: the first pass has a row of hashes for about every twentieth word; text is shuffled twice, to
 meet its border runs and its removed windows. Nothing is gathered on the driver. 128 bits of hash stand
-for a run or a window.
+for a run or a text.
 
 Cases: null and empty texts have no words; a document with fewer than ``LENGTH`` words is kept whole;
 a null doc_id is neither smaller nor larger than others, so its document is kept whole and removes
 nothing; rows with the same doc_id never remove from each other, even if their texts are equal;
-very long texts are read whole; an empty table gives no rows; other columns are carried unchanged.
+very long texts are read whole; an empty table gives no rows; other columns, whatever their names, are carried unchanged,
+only that ``dedup`` gives its own three columns in place of columns with their names.
 """
 
 from __future__ import annotations
@@ -43,12 +45,12 @@ from rosterloom.llm import textkernel as tk
 
 LENGTH = 50
 PREFIX = 10
-HOT_RUNS = 20_000
+GROUP_RUNS = 1_000
 TREE_WORDS = 1_000_000
 #: The words of two windows cover a run with no more windows than this, so their hashes name it.
 MOST_WINDOWS = LENGTH
 
-RUN = "key bigint, s1 bigint, s2 bigint, n int, doc_id bigint, th bigint, start int"
+RUN = "key bigint, s1 bigint, s2 bigint, n int, ua bigint, ub bigint, doc bigint, start int"
 _U = np.uint64
 
 
@@ -61,7 +63,6 @@ def _runs(length: int, prefix: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, marks = batch.column(0), batch.column(2)
             for row, _, data, offsets in tk.by_document(batch):
                 words = tk.Words(data, offsets)
                 if not len(words) or words.counts.max() < length:
@@ -82,7 +83,7 @@ def _runs(length: int, prefix: int):
                     names_of.append(tk.mix(g[start] * _U(0x9E3779B97F4A7C15) + g[start + n - 1] + n.astype(_U)))
                 doc = np.searchsorted(words.first, start, "right") - 1
                 whose = pa.array(row + doc, pa.int64())
-                columns = [_signed(key[start]), *map(_signed, names_of), pa.array(n, pa.int32()), ids.take(whose), marks.take(whose), pa.array(start - words.first[doc], pa.int32())]
+                columns = [_signed(key[start]), *map(_signed, names_of), pa.array(n, pa.int32()), *[batch.column(k).take(whose) for k in range(3)], pa.array(start - words.first[doc], pa.int32())]
                 yield pa.RecordBatch.from_arrays(columns, names)
 
     return run
@@ -100,38 +101,34 @@ def _normal(words: tk.Words, kept: np.ndarray | None = None) -> tuple[np.ndarray
     return out, begins
 
 
-BORDER = "key bigint, s1 bigint, s2 bigint, n int, first bigint, text binary, w1 bigint, w2 bigint, at int"
+BORDER = "s1 bigint, s2 bigint, key bigint, n int, hot boolean, first bigint, text binary"
 
 
 def _fetched(length: int):
-    """The words of the requested runs; for a hot prefix instead the hashes of their windows."""
+    """The words of the requested runs; a text that stands in several rows of a task gives them once."""
     names = [x.split()[0] for x in BORDER.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int32()]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.bool_(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[tuple] = set()
         for batch in batches:
-            ids = batch.column(0).to_pylist()
-            wanted = batch.column(2)
+            one, two, docs = (batch.column(k).to_pylist() for k in range(3))
+            wanted = batch.column(4)
             for row, to, data, offsets in tk.by_document(batch):
                 words = tk.Words(data, offsets)
                 text, begins = _normal(words)
                 begins = np.append(begins, len(text))
-                windows = None
                 out: list[list] = [[] for _ in names]
                 for doc in range(row, to):
+                    if (one[doc], two[doc]) in done:
+                        continue
+                    done.add((one[doc], two[doc]))
                     first = int(words.first[doc - row])
                     for w in wanted[doc].as_py():
                         a = first + w["start"]
-                        if not w["hot"]:
-                            own = text[begins[a] : begins[a + w["n"] + length - 1] - 1].tobytes()
-                            for column, value in zip(out, (w["key"], w["s1"], w["s2"], w["n"], ids[doc], own, None, None, 0)):
-                                column.append(value)
-                            continue
-                        if windows is None:
-                            windows = [tk.ngrams(words.hashes(s), length, s).view(np.int64) for s in (0, 1)]
-                        for k in range(w["n"]):
-                            for column, value in zip(out, (w["key"], w["s1"], w["s2"], w["n"], ids[doc], None, int(windows[0][a + k]), int(windows[1][a + k]), k)):
-                                column.append(value)
+                        own = text[begins[a] : begins[a + w["n"] + length - 1] - 1].tobytes()
+                        for column, value in zip(out, (w["s1"], w["s2"], w["key"], w["n"], w["hot"], docs[doc], own)):
+                            column.append(value)
                 if out[0]:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
@@ -178,8 +175,9 @@ class SuffixTree:
 
 
 def _trees(length: int):
-    names = ["key", "s1", "s2", "a", "b"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
+    """Windows of runs, as lists of first and past-the-last ones, that a smaller document has too. Batches are sorted by key and run."""
+    names = ["s1", "s2", "a", "b"]
+    types = [pa.int64(), pa.int64(), pa.list_(pa.int32()), pa.list_(pa.int32())]
 
     def solved(table: pa.Table) -> pa.RecordBatch:
         data, offsets = tk.column_bytes(table["text"])
@@ -195,79 +193,86 @@ def _trees(length: int):
         gone = np.zeros(len(words), bool)
         gone[tree.order] = least[node] < docs[whose[tree.order]]
         out: list[list] = [[] for _ in names]
-        keys = [table[c].to_numpy() for c in names[:3]]
+        one, two = table["s1"].to_numpy(), table["s2"].to_numpy()
         for s in np.unique(string[gone[at]]).tolist():
             own = gone[words.first[s] : words.first[s] + n[s]].astype(np.int8)
             edge = np.diff(np.concatenate(([0], own, [0])))
-            for column, value in zip(out, (*[k[s] for k in keys], np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))):
+            for column, value in zip(out, (one[s], two[s], np.flatnonzero(edge == 1), np.flatnonzero(edge == -1))):
                 column.append(value)
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(out, types)], names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
-        size, last = 0, None
+        size, last = 0, (None, None, None)
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)]))
+            run_ids = np.stack([batch.column(k).to_numpy() for k in (2, 0, 1)], 1)
+            fresh = (np.diff(run_ids, axis=0, prepend=run_ids[:1]) != 0).any(1)
+            fresh[0] = tuple(run_ids[0].tolist()) != last
+            batch, keys = batch.filter(pa.array(fresh)), run_ids[fresh, 0]
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(keys)) + 1, [len(keys)])) if len(keys) else np.zeros(1, np.int64)
             for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-                if held and keys[a] != last and size >= TREE_WORDS:
+                if held and keys[a] != last[0] and size >= TREE_WORDS:
                     yield solved(pa.Table.from_batches(held))
                     held, size = [], 0
                 held.append(batch.slice(a, b - a))
                 size += (b - a) * (length + 20)
-                last = keys[a]
+                last = (keys[a], None, None)
+            last = tuple(run_ids[-1].tolist())
         if held:
             yield solved(pa.Table.from_batches(held))
 
     return run
 
 
-def removals(spark: SparkSession, docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """doc_id, th (a hash of the text) and the removed windows of the document: arrays a and b of
-    first and past-the-last window."""
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text", F.xxhash64("text").alias("th"))
-    named = texts.filter("doc_id IS NOT NULL AND text IS NOT NULL")
-    runs = store.written(spark, named.mapInArrow(_runs(length, prefix), RUN), "runs")
+def _removals(spark: SparkSession, texts: DataFrame, length: int, prefix: int, group_runs: int) -> DataFrame:
+    """ua, ub and the removed windows (arrays a and b of first and past-the-last ones) of ``texts`` (ua, ub, doc, text); ua and
+    ub name a text, doc orders them."""
+    runs = store.written(spark, texts.mapInArrow(_runs(length, prefix), RUN), "runs")
     # aggregates are written before they are joined: a join of two plain shuffles is one whose hot keys can be split
-    spread = store.written(spark, runs.groupBy("key").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).filter("lo < hi").select("key"), "spread")
+    spread = store.written(spark, runs.groupBy("key").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).filter("lo < hi").select("key"), "spread")
     shared = store.written(spark, runs.join(spread, "key", "left_semi"), "shared")
-    whole = ["key", "s1", "s2", "n"]
-    distinct = shared.groupBy(*whole).agg(F.min(F.struct("doc_id", "th", "start")).alias("f"), F.max("doc_id").alias("last"))
-    distinct = store.written(spark, distinct.select(*whole, "f.*", "last"), "distinct")
+    distinct = shared.groupBy("s1", "s2", "key", "n").agg(F.min(F.struct("doc", "ua", "ub", "start")).alias("f"), F.max("doc").alias("last"))
+    distinct = store.written(spark, distinct.select("s1", "s2", "key", "n", "f.*", "last"), "distinct")
     several = store.written(spark, distinct.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "several")
-    wanted = distinct.join(several, "key").select("doc_id", "th", F.struct("start", "n", "key", "s1", "s2", (F.col("m") > hot_runs).alias("hot")).alias("w"))
-    lists = wanted.groupBy("doc_id", "th").agg(F.collect_list("w").alias("w"))  # a document's own runs
-    border = store.written(spark, named.join(lists, ["doc_id", "th"]).select("doc_id", "text", "w").mapInArrow(_fetched(length), BORDER), "border")
-    cold = border.filter("text IS NOT NULL")
-    found = cold.repartition("key").sortWithinPartitions("key").mapInArrow(_trees(length), "key bigint, s1 bigint, s2 bigint, a array<int>, b array<int>")
-    hot = border.filter("text IS NULL")
-    node = hot.groupBy("w1", "w2").agg(F.min("first").alias("least"))
-    late = hot.join(node.select(F.col("w1").alias("_1"), F.col("w2").alias("_2"), "least"), (F.col("w1") == F.col("_1")) & (F.col("w2") == F.col("_2")) & (F.col("first") > F.col("least")))
-    late = late.select("key", "s1", "s2", "at").distinct().groupBy("key", "s1", "s2").agg(F.sort_array(F.collect_list("at")).alias("a")).withColumn("b", F.transform("a", lambda x: x + 1))
-    found = store.written(spark, found.unionByName(late.select(found.columns)), "found").dropDuplicates(["key", "s1", "s2"])
-    told = distinct.select(*whole, F.col("doc_id").alias("first"), "last").join(found, ["key", "s1", "s2"], "left").filter("last > first OR a IS NOT NULL").drop("last")
-    hit = shared.join(told, whole).filter("doc_id > first OR a IS NOT NULL")
-    later = F.col("doc_id") > F.col("first")
+    hot = (F.col("m") > group_runs) & F.lit(prefix < length)
+    wanted = distinct.join(several, "key").select("ua", "ub", F.struct("start", "n", "key", "s1", "s2", hot.alias("hot")).alias("w"))
+    lists = wanted.groupBy("ua", "ub").agg(F.collect_list("w").alias("w"))  # a text's own runs
+    border = store.written(spark, texts.join(lists, ["ua", "ub"]).select("ua", "ub", "doc", "text", "w").mapInArrow(_fetched(length), BORDER), "border")
+    cold = border.filter("NOT hot").repartition("key").sortWithinPartitions("key", "s1", "s2")
+    found = cold.mapInArrow(_trees(length), "s1 bigint, s2 bigint, a array<int>, b array<int>")
+    if prefix < length and not several.filter(F.col("m") > group_runs).isEmpty():
+        longer = border.filter("hot").select(F.col("s1").alias("ua"), F.col("s2").alias("ub"), F.col("first").alias("doc"), "text")
+        found = found.unionByName(_removals(spark, longer, length, min(2 * prefix, length), group_runs).toDF("s1", "s2", "a", "b"))
+    found = store.written(spark, found, "found").dropDuplicates(["s1", "s2"])
+    told = distinct.select("s1", "s2", F.col("doc").alias("first"), "last").join(found, ["s1", "s2"], "left").filter("last > first OR a IS NOT NULL").drop("last")
+    told = store.written(spark, told, "told")
+    hit = shared.join(told, ["s1", "s2"]).filter("doc > first OR a IS NOT NULL")
+    later = F.col("doc") > F.col("first")
     a = F.when(later, F.array(F.col("start"))).otherwise(F.transform("a", lambda x: x + F.col("start")))
     b = F.when(later, F.array(F.col("start") + F.col("n"))).otherwise(F.transform("b", lambda x: x + F.col("start")))
-    spans = hit.select("doc_id", "th", a.alias("a"), b.alias("b")).groupBy("doc_id", "th").agg(F.flatten(F.collect_list("a")).alias("a"), F.flatten(F.collect_list("b")).alias("b"))
-    return spans
-
-
-def dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, hot_runs: int = HOT_RUNS) -> DataFrame:
-    """``docs`` with n_words, n_removed and kept_text (the kept words joined by one space) for each row."""
-    spans = removals(spark, docs, length, prefix, hot_runs).select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("a").alias("_a"), F.col("b").alias("_b"))
-    texts = docs.withColumn("_th0", F.xxhash64("text"))
-    known = texts.filter("doc_id IS NOT NULL").join(spans.hint("shuffle_hash"), (F.col("doc_id") == F.col("_id")) & (F.col("_th0") == F.col("_th")), "left").drop("_id", "_th", "_th0")
-    unknown = texts.filter("doc_id IS NULL").drop("_th0").withColumns({"_a": F.lit(None).cast("array<int>"), "_b": F.lit(None).cast("array<int>")})
-    docs_columns = docs.columns
-    names = [*docs_columns, "n_words", "n_removed", "kept_text"]
+    # a set, so that rows that repeat a text give its spans once
+    spans = hit.select("ua", "ub", F.struct(a.alias("a"), b.alias("b")).alias("s")).groupBy("ua", "ub").agg(F.collect_set("s").alias("s"))
+    return spans.select("ua", "ub", F.flatten(F.transform("s", lambda x: x["a"])).alias("a"), F.flatten(F.transform("s", lambda x: x["b"])).alias("b"))
+
+
+def _marked(spark: SparkSession, docs: DataFrame, length: int, prefix: int, group_runs: int) -> DataFrame:
+    """row (a struct of all columns), n_words, n_removed and kept_text for each row of ``docs``."""
+    named = docs.filter("doc_id IS NOT NULL AND text IS NOT NULL")
+    doc = F.col("doc_id").cast("bigint")
+    spans = _removals(spark, named.select(doc.alias("ua"), F.xxhash64("text").alias("ub"), doc.alias("doc"), "text"), length, prefix, group_runs)
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"))
+    same = (F.col("row.doc_id").cast("bigint") == F.col("ua")) & (F.xxhash64("row.text") == F.col("ub"))
+    known = rows.filter("row.doc_id IS NOT NULL").join(spans.hint("shuffle_hash"), same, "left").select("row", "a", "b")
+    none = F.lit(None).cast("array<int>")
+    unknown = rows.filter("row.doc_id IS NULL").select("row", none.alias("a"), none.alias("b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            starts, stops = batch.column(len(docs_columns)), batch.column(len(docs_columns) + 1)
+            starts, stops = batch.column(1), batch.column(2)
             kept_texts, n_words, n_removed = [], [], []
-            for row, to, data, offsets in tk.by_document(batch):
+            whole, at = tk.column_bytes(batch.column(0).field("text"))
+            for row, to in tk.slices(at):
+                data, offsets = whole[at[row] : at[to]], at[row : to + 1] - at[row]
                 words = tk.Words(data, offsets)
                 change = np.zeros(len(words) + 1, np.int64)
                 own, other = starts.slice(row, to - row), stops.slice(row, to - row)
@@ -286,15 +291,31 @@ def dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, prefix: in
                     kept_texts.append(content[bytes_at[a] : bytes_at[b] - 1] if b > a else b"")
                     n_words.append(int(words.first[d + 1] - words.first[d]))
                     n_removed.append(n_words[-1] - (b - a))
-            columns = [*[batch.column(k) for k in range(len(docs_columns))], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.binary()).cast(pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names)
+            columns = [batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept_texts, pa.binary()).cast(pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, ["row", *RESULTS])
 
-    schema = T.StructType(list(docs.schema.fields))  # a list of its own: the schema of docs stays as it is
-    for name, kind in (("n_words", T.LongType()), ("n_removed", T.LongType()), ("kept_text", T.StringType())):
-        schema = schema.add(name, kind)
+    schema = T.StructType([rows.schema["row"], T.StructField("n_words", T.LongType()), T.StructField("n_removed", T.LongType()), T.StructField("kept_text", T.StringType())])
     return known.unionByName(unknown).mapInArrow(run, schema)
 
 
+RESULTS = ("n_words", "n_removed", "kept_text")
+
+
+def dedup(spark: SparkSession, docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, group_runs: int = GROUP_RUNS) -> DataFrame:
+    """``docs`` with n_words, n_removed and kept_text (the kept words joined by one space) for each row."""
+    done = _marked(spark, docs, length, prefix, group_runs)
+    return done.select(*[F.col("row").getField(c).alias(c) for c in docs.columns if c not in RESULTS], *RESULTS)
+
+
+def clean(spark: SparkSession, docs: DataFrame, length: int = LENGTH, prefix: int = PREFIX, group_runs: int = GROUP_RUNS) -> DataFrame:
+    """``docs`` with the kept words in place of the text (and their number of characters in n_chars, if there is such a column)
+    where words were removed, all else as it was."""
+    lost, row = F.col("n_removed") > 0, F.col("row")
+    new = {"text": F.col("kept_text"), "n_chars": F.char_length("kept_text")}
+    columns = [F.when(lost, new[c].cast(docs.schema[c].dataType)).otherwise(row.getField(c)).alias(c) if c in new else row.getField(c).alias(c) for c in docs.columns]
+    return _marked(spark, docs, length, prefix, group_runs).select(*columns)
+
+
 def summary(done: DataFrame) -> DataFrame:
     return done.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 

@@ -31,8 +31,9 @@ def brute(rows, length):
 
 
 def got(spark, rows, **options):
-    df = spark.createDataFrame([(i, t, 1, "clash") for i, t in rows], DOCS).withColumnRenamed("n_removed", "extra")
+    df = spark.createDataFrame([(i, t, 1, "clash") for i, t in rows], DOCS)
     done = substring.dedup(spark, df, **options)
+    assert done.columns == ["doc_id", "text", "a", "n_words", "n_removed", "kept_text"]
     return sorted([tuple(r) for r in substring.summary(done).collect()], key=str)
 
 
@@ -58,13 +59,13 @@ def corpus(seed, length, docs=120, vocabulary=400):
     return [(k, rng.choice(glue).join(t) + rng.choice(["", " "])) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("seed, hot", [(1, 20_000), (2, 1)])
-def test_against_brute_force(spark, seed, hot):
+@pytest.mark.parametrize("seed, group", [(1, 20_000), (2, 1), (3, 4)])
+def test_against_brute_force(spark, seed, group):
     rows = corpus(seed, 50)
     rng = random.Random(seed)
     rng.shuffle(rows)
     want = brute(rows, 50)
-    assert got(spark, rows, hot_runs=hot) == want
+    assert got(spark, rows, group_runs=group) == want
     assert sum(r[2] for r in want) > 1000
 
 
@@ -76,6 +77,22 @@ def test_odd_rows(spark):
     assert got(spark, [(1, "a b")]) == brute([(1, "a b")], 50)
 
 
+def test_columns_of_any_name_and_repeated_rows(spark):
+    long = " ".join(f"x{k}" for k in range(400))
+    rows = [(1, long, 9, "a", 8, "w")] * 3 + [(2, long + " end", 9, "a", 8, "w")] * 400 + [(3, "short", 9, "a", None, "w")]
+    df = spark.createDataFrame(rows, "doc_id int, text string, n_words int, _a string, ua int, row string")
+    out = substring.clean(spark, df)
+    assert out.columns == df.columns
+    assert sorted(map(str, out.collect())) == sorted(map(str, [*df.filter("doc_id <> 2").collect(), *df.filter("doc_id = 2").selectExpr("doc_id", "'end' AS text", "n_words", "_a", "ua", "row").collect()]))
+
+
+def test_one_passage_in_many_documents(spark):
+    rng = random.Random(7)
+    passage = [f"p{k}" for k in range(70)]
+    rows = [(k, " ".join([f"a{rng.randrange(10**6)}" for _ in range(30)] + passage + [f"b{rng.randrange(10**6)}" for _ in range(30)])) for k in range(300)]
+    assert got(spark, rows, group_runs=20) == brute(rows, 50)
+
+
 def test_short_windows(spark):
     rows = corpus(9, 6, docs=60, vocabulary=30)
     assert got(spark, rows, length=6, prefix=2) == brute(rows, 6)
