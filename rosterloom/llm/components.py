@@ -1,7 +1,8 @@
 """Connected components by alternating large-star and small-star rounds over link tables.
 
 Every round is two aggregations and two joins on rows of two ids; a node with very many links is a
-skewed key of these joins, which adaptive execution splits, and never one group in memory. Each
+skewed key of these joins and never one group in memory. Each aggregate is written before it is joined, so
+a join has a plain shuffle on both sides, which adaptive execution splits where a key is hot. Each
 round's links are written to the shared folder, so lineage stays short. The number of rounds grows
 with the logarithm of the longest chain.
 """
@@ -30,12 +31,14 @@ def components(spark: SparkSession, links: DataFrame) -> DataFrame:
     seen = _print(now)
     for _ in range(MOST_ROUNDS):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m"))
+        least = store.written(spark, both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("m", "u").alias("m")), "least")
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u > v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+        large = store.written(spark, large, "large")
+        least_of_large = store.written(spark, large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least_of_large, "u").filter("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        small = small.unionByName(least_of_large.select("u", F.col("m").alias("v"))).distinct()
         after = store.written(spark, small, "links")
+        store.removed(spark, least, large, least_of_large)
         got = _print(after)
         store.removed(spark, now)
         now = after

@@ -55,8 +55,6 @@ TOP = 65534
 #: Below the threshold by this much (some six standard deviations), an estimate rules a pair out.
 MARGIN = 0.25
 CLUSTER = 1024
-#: Node ids (16 bytes each) that may be broadcast to find their documents.
-MOST_BROADCAST = 1_000_000
 
 _U = np.uint64
 
@@ -201,14 +199,21 @@ def _cross(table: pa.Table, percent: int) -> pa.Table:
 def _residual(spark: SparkSession, pairs: DataFrame, nodes: DataFrame, known: DataFrame, percent: int) -> DataFrame:
     """Links between the components of nodes that met under one hub."""
     comp = known.select(F.col("id").alias("_c"), "component")
-    own = pairs.select("hub", "hub_s1", "id", "id_s1", "delta").unionByName(pairs.select("hub", "hub_s1", F.col("hub").alias("id"), F.col("hub_s1").alias("id_s1"), F.lit(b"").alias("delta")).distinct())
-    own = own.join(comp, own["id"] == comp["_c"], "left").drop("_c").withColumn("component", F.coalesce("component", "id"))
-    hubs = own.filter("id = hub").select(F.col("hub").alias("_h"), F.col("hub_s1").alias("_s"), F.col("component").alias("main")).distinct()
-    own = own.join(hubs, (F.col("hub") == F.col("_h")) & (F.col("hub_s1") == F.col("_s"))).drop("_h", "_s").withColumn("minor", F.col("component") != F.col("main"))
-    sizes = own.groupBy("hub", "hub_s1").agg(F.count("*").alias("members"), F.count_if("minor").alias("minors")).filter("minors > 0")
-    sizes = sizes.select(F.col("hub").alias("_h"), F.col("hub_s1").alias("_s"), F.ceil(F.col("members") / CLUSTER).cast("int").alias("blocks"), F.ceil(F.col("minors") / CLUSTER).cast("int").alias("chunks"))
+    hubs = store.written(spark, pairs.select("hub", "hub_s1").distinct(), "met_hubs")
+    mains = hubs.join(comp, hubs["hub"] == comp["_c"], "left").select("hub", "hub_s1", F.coalesce("component", "hub").alias("main"))
+    mains = store.written(spark, mains, "mains")
+    others = pairs.select("hub", "hub_s1", "id", "id_s1").join(comp, F.col("id") == F.col("_c"), "left").withColumn("component", F.coalesce("component", "id")).drop("_c")
+    # every aggregate is written before it is joined: hubs are hot keys
+    apart = others.join(mains, ["hub", "hub_s1"]).withColumn("minor", F.col("component") != F.col("main"))
+    apart = store.written(spark, apart, "apart")
+    sizes = apart.groupBy("hub", "hub_s1").agg((F.count("*") + 1).alias("members"), F.count_if("minor").alias("minors")).filter("minors > 0")
+    sizes = sizes.select("hub", "hub_s1", F.ceil(F.col("members") / CLUSTER).cast("int").alias("blocks"), F.ceil(F.col("minors") / CLUSTER).cast("int").alias("chunks"))
     sizes = store.written(spark, sizes, "sizes")
-    met = own.join(sizes, (F.col("hub") == F.col("_h")) & (F.col("hub_s1") == F.col("_s"))).drop("_h", "_s")
+    own = apart.drop("main").join(sizes, ["hub", "hub_s1"])
+    deltas = pairs.select("hub", "hub_s1", "id", "id_s1", "delta").toDF("_h", "_s", "_i", "_t", "delta")
+    own = own.join(deltas, (F.col("hub") == F.col("_h")) & (F.col("hub_s1") == F.col("_s")) & (F.col("id") == F.col("_i")) & (F.col("id_s1") == F.col("_t"))).drop("_h", "_s", "_i", "_t")
+    self = mains.join(sizes, ["hub", "hub_s1"]).select("hub", "hub_s1", F.col("hub").alias("id"), F.col("hub_s1").alias("id_s1"), F.col("main").alias("component"), F.lit(False).alias("minor"), "blocks", "chunks", F.lit(b"").alias("delta"))
+    met = own.unionByName(self)
     met = met.join(nodes.select(F.col("rep").alias("_r"), F.col("s1").alias("_t"), "n", "sketch"), (F.col("id") == F.col("_r")) & (F.col("id_s1") == F.col("_t"))).drop("_r", "_t")
     rows = ["hub", "hub_s1", "block", "chunk", "role", "id", "component", "n", "sketch", "delta"]
     mine = lambda parts: F.pmod(F.xxhash64("id", "id_s1"), F.col(parts)).cast("int")
@@ -234,8 +239,7 @@ def classes(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> Dat
     met = store.written(spark, met.select("hub", "hub_s1", F.col("rep").alias("id"), F.col("s1").alias("id_s1")).distinct(), "met")
     wanted = met.select("id", "id_s1").unionByName(met.select("hub", "hub_s1").distinct().toDF("id", "id_s1")).distinct().toDF("_id", "_s1")
     wanted = store.written(spark, wanted, "wanted")
-    ids = wanted.select("_id").distinct()
-    ids = F.broadcast(ids) if wanted.count() <= MOST_BROADCAST else ids
+    ids = store.written(spark, wanted.select("_id").distinct(), "ids")
     listed = texts.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").mapInArrow(_listed, "id bigint, s1 bigint, own binary")
     listed = listed.join(wanted, (F.col("id") == F.col("_id")) & (F.col("s1") == F.col("_s1")), "left_semi").dropDuplicates(["id", "s1"])
     listed = store.written(spark, listed, "sets")

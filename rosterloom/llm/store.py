@@ -34,13 +34,13 @@ def written(spark: SparkSession, df: DataFrame, name: str, *by: str) -> DataFram
     """The rows of ``df``, written to the shared folder, a folder for each value of the columns ``by``, and read again."""
     path = place(spark, name)
     df.write.option("compression", CODEC).partitionBy(*by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table.written_to = path
+    return table
 
 
-def removed(spark: SparkSession, df: DataFrame) -> None:
+def removed(spark: SparkSession, *tables: DataFrame) -> None:
     """Delete the files of tables that ``written`` returned and nothing reads any more."""
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for file in df.inputFiles():
-        path = jvm.org.apache.hadoop.fs.Path(file).getParent()
-        path.getFileSystem(conf).delete(path, True)
-        break
+    for table in tables:
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.written_to)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
