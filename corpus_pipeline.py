@@ -29,9 +29,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without the passages that an earlier document has too; texts that lose none stay as they are."""
-    done = substring.dedup(spark, docs)
-    lost = F.col("n_removed") > 0
-    return done.withColumns({"text": F.when(lost, F.col("kept_text")).otherwise(F.col("text")), "n_chars": F.when(lost, F.char_length("kept_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))}).select(docs.columns)
+    return substring.clean(spark, docs)
 
 
 def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
