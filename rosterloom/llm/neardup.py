@@ -270,13 +270,14 @@ def classes(spark: SparkSession, docs: DataFrame, percent: int = PERCENT) -> Dat
 def clean(spark: SparkSession, docs: DataFrame, percent: int = STAGE_PERCENT) -> DataFrame:
     """The rows of ``docs`` of which each class keeps one: the row with the least doc_id, nulls last. Here every row
     is a document of its own, whether its doc_id is null or repeated."""
-    rows = store.written(spark, docs.withColumn("_row", F.monotonically_increasing_id()), "rows")  # written, so that a row keeps its number
-    found = classes(spark, rows.select(F.col("_row").alias("doc_id"), "text"), percent).select(F.col("doc_id").alias("_r"), "component_id")
-    members = rows.select("_row", F.col("doc_id").cast("bigint").alias("_id")).join(found, F.col("_row") == F.col("_r")).drop("_r")
+    packed = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("row"), F.monotonically_increasing_id().alias("number"))
+    rows = store.written(spark, packed, "rows")  # written, so that a row keeps its number
+    found = classes(spark, rows.select(F.col("number").alias("doc_id"), "row.text"), percent).select(F.col("doc_id").alias("number"), "component_id")
+    members = rows.select("number", F.col("row.doc_id").cast("bigint").alias("id")).join(found, "number")
     members = store.written(spark, members, "members")
-    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("_id").isNull(), "_id", "_row")).alias("m")).select(F.col("m._row").alias("_row"))
-    out = store.written(spark, members.join(first, "_row", "left_anti").select("_row"), "out")
-    return rows.join(out, "_row", "left_anti").select(docs.columns)
+    first = members.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "number")).alias("m")).select(F.col("m.number").alias("number"))
+    out = store.written(spark, members.join(first, "number", "left_anti").select("number"), "out")
+    return rows.join(out, "number", "left_anti").select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
 
 
 #: The same in DuckDB SQL over the table documents: all pairs that share a shingle, and the closure of their links.

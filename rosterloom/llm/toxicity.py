@@ -1,18 +1,21 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the n-grams of the UTF-8 bytes of a text with A-Z lower-cased, hashed into ``BUCKETS``
-buckets. A text's vector has log(1 + count) in each bucket, times the bucket's log-count ratio
-log((p / |p|) / (q / |q|)) between the labelled toxic and the other texts (both smoothed by one), and
-is scaled to length one. On that vector a logistic regression is trained by full gradient steps, in
-one task, with a somewhat larger weight for toxic texts, over at most ``MOST_ROWS`` labelled texts: those with the smallest seeded hash of their
-id, so the sample doesn't depend on how the tables are cut. Training and scoring take whole texts; the rows
-alone bound what the training task holds, some 12 bytes for each distinct n-gram of each text.
+Features are the n-grams of 3, 4 and 5 characters of a text with A-Z lower-cased, hashed into ``BUCKETS``
+buckets. A text's vector has the bucket's log-count ratio in each bucket that the text has:
+log((p / P) / (q / Q)), where p and q count the toxic and the other labelled texts that have the bucket, both
+smoothed by ``SMOOTH`` texts in the classes' own shares, and P and Q all of them. Buckets of fewer than
+``RARE`` texts get no weight: they name single texts. The vector is divided by the square root of its
+length, so that a few words weigh in a long text too. On it a logistic regression is trained by full gradient
+steps until its loss settles, in one task, with a somewhat larger weight for toxic texts, over at most ``MOST_ROWS`` labelled
+texts: those with the smallest seeded hash of their id, so the sample doesn't depend on how the tables are
+cut. Training and scoring take whole texts; the rows alone bound what the training task holds, some 12 bytes for
+each distinct n-gram of each text.
 
 Scoring needs one pass and no shuffle: the model is broadcast (``BUCKETS`` numbers), and each text is
 summed in numpy. Its memory is bounded by a slice of texts.
 
 Cases: null and empty texts have no feature and score by the bias alone; a null or repeated doc_id is
-scored as any other row; labels that are null, or whose document is missing, are not used; without
+scored as any other row; labels that are null, or whose document is missing, and labels of one doc_id that differ are not used; without
 both labels in training every score is the share of label 1 (0 without any label); an empty table
 gives no rows; other columns are not read.
 """
@@ -31,33 +34,39 @@ from rosterloom.llm import textkernel as tk
 
 BITS = 18
 BUCKETS = 1 << BITS
-SIZES = (5,)
+SIZES = (3, 4, 5)
+SMOOTH = 3.0
+RARE = 3
 #: The bound of the labelled sample that is gathered and trained on.
-MOST_ROWS = 12_000
+MOST_ROWS = 4_000
 SEED = 77
-STEPS = 80
+STEPS = 100
+SETTLED = 2e-3
 RATE = 0.5
-DECAY = 1e-7
+DECAY = 1e-5
 #: Texts whose gradient is summed at a time, which bounds the task's memory.
 BLOCK = 512
 #: The loss of a toxic text counts as (others / toxic) to this power: a few toxic texts among many still teach.
 BALANCE = 0.5
 
-_LOWER = np.arange(256, dtype=np.uint32)
-_LOWER[65:91] += 32
-
 
 def fold(doc_id: Column, n: int) -> Column:
     """crc32 of the id's text mod n; null for a null id."""
     return F.crc32(doc_id.cast("string").cast("binary")) % n
 
 
-def buckets(data: np.ndarray, n: int) -> np.ndarray:
-    """The bucket of the n-gram that begins at each byte; the last n - 1 of a text are not meaningful."""
-    size = len(data) - n + 1
+def letters(data: np.ndarray) -> np.ndarray:
+    """The characters of UTF-8 bytes, A-Z lower-cased."""
+    found = np.frombuffer(data.tobytes().decode("utf-8", "replace").encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint32)
+    found[(found >= 65) & (found <= 90)] += np.uint32(32)
+    return found
+
+
+def buckets(low: np.ndarray, n: int) -> np.ndarray:
+    """The bucket of each n-gram of characters."""
+    size = len(low) - n + 1
     if size <= 0:
         return np.zeros(0, np.uint32)
-    low = _LOWER[data]
     h = np.full(size, n, np.uint32)
     for k in range(n):
         h *= np.uint32(0x9E3779B1)
@@ -69,17 +78,13 @@ def buckets(data: np.ndarray, n: int) -> np.ndarray:
     return h >> np.uint32(32 - BITS)
 
 
-def counts(data: np.ndarray, sizes: tuple[int, ...] = SIZES) -> tuple[np.ndarray, np.ndarray]:
-    """The buckets of one text and log(1 + count) of each."""
-    found = np.concatenate([buckets(data, n) for n in sizes]) if len(data) else np.zeros(0, np.uint32)
-    if len(found) > BUCKETS // 2:
-        n = np.bincount(found, minlength=BUCKETS)
-        at = np.flatnonzero(n)
-        return at, np.log1p(n[at]).astype(np.float32)
-    found.sort()
-    cut = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
-    n = np.diff(np.concatenate((cut, [len(found)])))
-    return found[cut].astype(np.int64), np.log1p(n).astype(np.float32)
+def features(data: np.ndarray) -> np.ndarray:
+    """The distinct buckets of one text."""
+    low = letters(data)
+    seen = np.zeros(BUCKETS, bool)
+    for n in SIZES:
+        seen[buckets(low, n)] = True
+    return np.flatnonzero(seen)
 
 
 @dataclass
@@ -93,12 +98,20 @@ class Model:
         self.square = (self.ratio * self.ratio).astype(np.float32)
 
     def score(self, data: np.ndarray) -> float:
-        at, value = counts(data)
-        norm = float(np.sqrt(np.dot(self.square[at], value * value))) or 1.0
-        z = self.bias + float(np.dot(self.scaled[at], value)) / norm
+        at = features(data)
+        length = float(self.square[at].sum()) ** 0.25 or 1.0
+        z = self.bias + float(self.scaled[at].sum()) / length
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
+def ratios(toxic: np.ndarray, others: np.ndarray, n_toxic: int, n_others: int) -> np.ndarray:
+    """Log-count ratios from the numbers of toxic and other texts that have each bucket."""
+    share = n_toxic / (n_toxic + n_others)
+    out = np.log((toxic + SMOOTH * share) / n_toxic) - np.log((others + SMOOTH * (1 - share)) / n_others)
+    out[toxic + others < RARE] = 0
+    return out.astype(np.float32)
+
+
 def train(texts: list[str], labels: list[int]) -> Model:
     """A model of the given texts; see the module's text for what it is."""
     y = np.array(labels, np.float64)
@@ -106,31 +119,35 @@ def train(texts: list[str], labels: list[int]) -> Model:
     if not len(y) or y.min() == y.max():
         share = float(y.mean()) if len(y) else 0.0
         return Model(zero, zero, float(np.log((share + 1e-9) / (1 - share + 1e-9))))
-    blocks, p, q = [], np.ones(BUCKETS), np.ones(BUCKETS)
+    blocks, counted = [], np.zeros((2, BUCKETS))
     for k in range(0, len(texts), BLOCK):
         data, offsets = tk.column_bytes(pa.array(texts[k : k + BLOCK], pa.string()))
-        parts = [counts(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:])]
-        doc = np.repeat(np.arange(len(parts), dtype=np.int32), [len(a) for a, _ in parts])
-        at, value = np.concatenate([a for a, _ in parts]).astype(np.int32), np.concatenate([v for _, v in parts])
-        toxic = y[k : k + BLOCK][doc] == 1
-        p += np.bincount(at[toxic], value[toxic], BUCKETS)
-        q += np.bincount(at[~toxic], value[~toxic], BUCKETS)
-        blocks.append((y[k : k + BLOCK], doc, at, value))
-    ratio = np.log((p / p.sum()) / (q / q.sum())).astype(np.float32)
-    for _, doc, at, value in blocks:
-        value *= ratio[at]
-        norm = np.sqrt(np.bincount(doc, value * value, BLOCK))
-        value /= np.where(norm > 0, norm, 1)[doc].astype(np.float32)
+        parts = [features(data[a:b]).astype(np.int32) for a, b in zip(offsets[:-1], offsets[1:])]
+        for own, label in zip(parts, y[k : k + BLOCK]):
+            counted[int(label)][own] += 1
+        blocks.append((y[k : k + BLOCK], parts))
+    ratio = ratios(counted[1], counted[0], int(y.sum()), int((1 - y).sum()))
+    for k, (own, parts) in enumerate(blocks):
+        parts = [at[ratio[at] != 0] for at in parts]
+        doc, at = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts]), np.concatenate(parts)
+        value = ratio[at]
+        length = np.bincount(doc, value * value, len(parts)) ** 0.25
+        blocks[k] = (own, doc, at, value / np.where(length > 0, length, 1)[doc].astype(np.float32))
     heavy = ((1 - y.mean()) / y.mean()) ** BALANCE
     weight, bias = np.zeros(BUCKETS, np.float32), float(np.log(heavy * y.mean() / (1 - y.mean())))
-    seen, seen_bias = np.full(BUCKETS, 1e-8), 1e-8
+    seen, seen_bias, before = np.full(BUCKETS, 1e-8), 1e-8, np.inf
     for _ in range(STEPS):
-        slope, slope_bias = DECAY * weight.astype(np.float64), 0.0
+        slope, slope_bias, loss = DECAY * weight.astype(np.float64), 0.0, DECAY / 2 * float(np.dot(weight, weight))
         for own, doc, at, value in blocks:
-            z = np.bincount(doc, value * weight[at], len(own)) + bias
-            error = (1 / (1 + np.exp(-z)) - own) * np.where(own == 1, heavy, 1) / len(y)
+            z = np.clip(np.bincount(doc, value * weight[at], len(own)) + bias, -60, 60)
+            mass = np.where(own == 1, heavy, 1) / len(y)
+            loss += float(np.dot(mass, np.log1p(np.exp(np.where(own == 1, -z, z)))))
+            error = (1 / (1 + np.exp(-z)) - own) * mass
             slope += np.bincount(at, value * error.astype(np.float32)[doc], BUCKETS)
             slope_bias += float(error.sum())
+        if 0 <= before - loss < SETTLED * loss:
+            break
+        before = loss
         seen += slope * slope
         weight -= (RATE * slope / np.sqrt(seen)).astype(np.float32)
         seen_bias += slope_bias**2
@@ -141,7 +158,8 @@ def train(texts: list[str], labels: list[int]) -> Model:
 def sample(docs: DataFrame, labels: DataFrame, train_on: Column, most: int = MOST_ROWS) -> DataFrame:
     """doc_id, toxic and text of at most ``most`` labelled texts, those with the least seeded hash of doc_id; ``train_on`` is a
     condition on doc_id."""
-    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(train_on & F.col("toxic").isin(0, 1)).dropDuplicates(["doc_id"])
+    known = labels.select("doc_id", F.col("toxic").cast("int").alias("toxic")).filter(train_on & F.col("toxic").isin(0, 1))
+    known = known.groupBy("doc_id").agg(F.min("toxic").alias("toxic"), F.max("toxic").alias("_most")).filter("toxic = _most").drop("_most")
     order = F.xxhash64(F.lit(SEED), F.col("doc_id"))
     chosen = known.withColumn("_o", order).orderBy("_o", "doc_id").limit(most).drop("_o")
     # ids in the sample are bounded, so they may be broadcast; a repeated doc_id gives one text
