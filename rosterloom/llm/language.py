@@ -9,10 +9,10 @@ the mean of its windows', weighted by their real bytes: the whole text is read,
 
 Every lang value is learned. Training texts are at most about ``PER_LANGUAGE`` a language, fewer where the
 languages are so many that this would be over ``MOST_TEXTS`` in all, but never none: they are chosen by a seeded
-hash of doc_id against a share counted for each language, which the language's least hash is always within. Of
-each text at most ``PIECES`` windows are taken, from places spread over the whole text; so what the driver holds is
-bounded. The model (some hundred KB) is broadcast,
-scoring is one pass without a shuffle, and a worker's memory is bounded by a slice of windows.
+hash of doc_id against a share counted for each language, which the language's least hash is always within. All
+windows of these texts are learned from, in one task; the bound on texts is the bound on what it holds. The model (some
+hundred KB) is all that the driver gets; it is broadcast, scoring is one pass without a shuffle, and a worker's memory is
+bounded by a slice of windows.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; null or repeated doc_ids are
 predicted like others and are not held out when null; rows with a null lang are never learned from;
@@ -22,6 +22,7 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,9 +36,9 @@ from rosterloom.llm import textkernel as tk
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12
-PER_LANGUAGE = 800
-MOST_TEXTS = 160_000
-PIECES = 3
+#: The bounds of the labelled sample that is trained on.
+PER_LANGUAGE = 300
+MOST_TEXTS = 20_000
 SEED = 5
 EPOCHS = 8
 BATCH = 64
@@ -155,22 +156,37 @@ def train(texts: list[str], labels: list[str], seed: int = SEED) -> Model:
     return model
 
 
-def sample(docs: DataFrame, train_on: Column, per_language: int = PER_LANGUAGE) -> list[tuple[str, str]]:
-    """Pieces of labelled texts, as (text, language)."""
+def sample(docs: DataFrame, train_on: Column, per_language: int = PER_LANGUAGE) -> DataFrame | None:
+    """doc_id, lang and text of the labelled texts to learn from; None if there are none."""
     known = docs.select("doc_id", "text", "lang").filter(train_on & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     mark = F.pmod(F.xxhash64(F.lit(SEED), "doc_id"), F.lit(1 << 31))
-    sizes = {r["lang"]: (r["n"], r["least"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min(mark).alias("least")).collect()}
+    sizes = {r["lang"]: (r["n"], r["least"]) for r in known.groupBy("lang").agg(F.count("*").alias("n"), F.min(mark).alias("least")).collect()}  # a row a language
     if not sizes:
-        return []
+        return None
     per_language = max(1, min(per_language, MOST_TEXTS // len(sizes)))
     bars = [(lang, max(int(min(1.0, per_language / n) * (1 << 31)), least + 1)) for lang, (n, least) in sizes.items()]
     bars = F.broadcast(docs.sparkSession.createDataFrame(bars, "_lang string, bar bigint"))
-    n = F.char_length("text")
-    pieces = F.array(*[F.substr("text", (F.lit(1) + (F.greatest(n - WINDOW, F.lit(0)) * k / max(1, PIECES - 1)).cast("int")), F.lit(WINDOW)) for k in range(PIECES)])
-    piece = F.explode(F.when(n <= WINDOW, F.array(F.col("text"))).otherwise(pieces))
-    rows = known.join(bars, F.col("lang") == F.col("_lang")).filter(mark < F.col("bar")).select("doc_id", "lang", piece.alias("text"))
-    rows = rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").limit(PIECES * per_language * 2 * len(sizes))
-    return [(r["text"], r["lang"]) for r in rows.collect()]
+    rows = known.join(bars, F.col("lang") == F.col("_lang")).filter(mark < F.col("bar")).select("doc_id", "lang", "text")
+    return rows.orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id", "text").limit(per_language * 2 * len(sizes))
+
+
+def fit(docs: DataFrame, train_on: Column, per_language: int = PER_LANGUAGE) -> Model | None:
+    """A model trained in one task over the bounded sample."""
+    rows = sample(docs, train_on, per_language)
+    if rows is None:
+        return None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, labels = [], []
+        for batch in batches:
+            texts += batch.column(0).to_pylist()
+            labels += batch.column(1).to_pylist()
+        if texts:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(train(texts, labels))], pa.binary())], ["model"])
+
+    order = [F.xxhash64(F.lit(SEED), "doc_id"), F.col("doc_id"), F.col("text")]
+    made = rows.repartition(1).sortWithinPartitions(*order).select("text", "lang").mapInArrow(run, "model binary").collect()
+    return pickle.loads(made[0]["model"]) if made else None
 
 
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -203,7 +219,6 @@ def predict(docs: DataFrame, model: Model | None) -> DataFrame:
 
 def judge(docs: DataFrame, folds: int = 3) -> DataFrame:
     """doc_id, held_out, lang_pred and score; fold 1 is never learned from."""
-    rows = sample(docs, fold(F.col("doc_id"), folds) != 1)
-    model = train([t for t, _ in rows], [y for _, y in rows]) if rows else None
+    model = fit(docs, fold(F.col("doc_id"), folds) != 1)
     held = F.coalesce(fold(F.col("doc_id"), folds) == 1, F.lit(False))
     return predict(docs, model).select("doc_id", held.alias("held_out"), "lang_pred", "score")

@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from rosterloom.llm import language
@@ -44,7 +45,23 @@ def test_labels_are_no_input(spark):
 def test_every_language_is_learned(spark, monkeypatch):
     rows = [(k, f"text of {k % 230}", f"l{k % 230}", 0) for k in range(690)] + [(1000 + k, f"more of it {k}", "l0", 0) for k in range(400)]
     df = spark.createDataFrame(rows, DOCS)
-    assert {y for _, y in language.sample(df, F.lit(True))} == {f"l{k}" for k in range(230)}
+    assert {r["lang"] for r in language.sample(df, F.lit(True)).collect()} == {f"l{k}" for k in range(230)}
     monkeypatch.setattr(language, "MOST_TEXTS", 230)
-    few = language.sample(df, F.lit(True))
-    assert {y for _, y in few} == {f"l{k}" for k in range(230)} and len(few) <= 2 * 230
+    few = language.sample(df, F.lit(True)).collect()
+    assert {r["lang"] for r in few} == {f"l{k}" for k in range(230)} and len(few) <= 2 * 230
+
+
+def test_predictions_against_a_plain_convolution(spark):
+    rows = made(90, 4) + [(500, "The house " * 80 + "é", None, 0), (501, "x", None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    model = language.fit(df, F.lit(True))
+    got = {r["doc_id"]: r for r in language.predict(df, model).collect()}
+    for i, text, *_ in rows[::9] + rows[-2:]:
+        data, total = text.encode(), np.zeros(len(model.languages))
+        for a in range(0, len(data), language.WINDOW):
+            window = data[a : a + language.WINDOW]
+            padded = window.ljust(language.WINDOW)
+            pooled = [max(sum(f[k][padded[p + k]][c] for k in range(w)) for p in range(language.WINDOW - w + 1)) for w, f in zip(language.WIDTHS, model.filters) for c in range(language.FILTERS)]
+            z = np.maximum(np.array(pooled) + model.offset, 0) @ model.out + model.out_offset
+            total += np.exp(z - z.max()) / np.exp(z - z.max()).sum() * len(window) / len(data)
+        assert got[i]["lang_pred"] == model.languages[int(total.argmax())] and abs(got[i]["score"] - total.max()) < 1e-4

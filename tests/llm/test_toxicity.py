@@ -1,4 +1,8 @@
+import math
 import random
+from collections import Counter
+
+import numpy as np
 
 from rosterloom.llm import toxicity
 
@@ -69,3 +73,51 @@ def test_long_texts_are_trained_on_whole(spark):
     assert {r["doc_id"]: r["text"] for r in toxicity.sample(d, l, toxicity.F.lit(True)).collect()} == {r[0]: r[1] for r in docs}
     out = [r for r in toxicity.judge(d, l).collect() if r["held_out"]]
     assert len(out) > 20 and all(r["predicted"] == r["doc_id"] % 2 for r in out)
+
+
+def test_against_a_plain_version():
+    docs, labels = made(120, 8)
+    texts, marks = [d[1].upper() + " É" for d in docs], [y for _, y, _ in labels]
+    model = toxicity.train(texts, marks)
+
+    def grams(text):
+        low = "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)
+        return {(n, low[k : k + n]) for n in toxicity.SIZES for k in range(len(low) - n + 1)}
+
+    def bucket(n, gram):
+        h = n
+        for c in gram:
+            h = (h * 0x9E3779B1 + ord(c)) % 2**32
+        for shift, odd in ((15, 0x85EBCA6B), (13, 0xC2B2AE35)):
+            h = (h ^ h >> shift) * odd % 2**32
+        return h >> 32 - toxicity.BITS
+
+    own = [{bucket(*g) for g in grams(t)} for t in texts]
+    counts = [Counter(b for o, y in zip(own, marks) if y == label for b in o) for label in (0, 1)]
+    share = sum(marks) / len(marks)
+    for b in set(counts[0]) | set(counts[1]):
+        p, q = counts[1][b], counts[0][b]
+        want = math.log((p + 3 * share) / sum(marks)) - math.log((q + 3 * (1 - share)) / (len(marks) - sum(marks))) if p + q >= 3 else 0
+        assert abs(model.ratio[b] - want) < 1e-5
+    for text, o in list(zip(texts, own))[:30]:
+        length = sum(float(model.ratio[b]) ** 2 for b in o) ** 0.25
+        z = model.bias + sum(float(model.ratio[b]) * float(model.weight[b]) for b in o) / length
+        assert abs(model.score(np.frombuffer(text.encode(), np.uint8)) - 1 / (1 + math.exp(-z))) < 1e-4
+
+
+def test_labels_that_differ_are_not_used(spark):
+    docs = spark.createDataFrame([(1, "a", 0, ""), (2, "b", 0, "")], DOCS)
+    labels = spark.createDataFrame([(1, 0, ""), (1, 1, ""), (2, 1, ""), (2, 1, "")], LABELS)
+    assert [(r["doc_id"], r["toxic"]) for r in toxicity.sample(docs, labels, toxicity.F.lit(True)).collect()] == [(2, 1)]
+
+
+def test_held_out_labels_of_the_tables(spark):
+    """Each text that has one of the words that mark toxic texts is found; the labels of the others say nothing that can be learned."""
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    told = {r["doc_id"]: r["toxic"] for r in labels.collect()}
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    marked = lambda i: any(w in texts[i].lower().split() for w in ("idiot", "moron", "stupid", "scum", "trash"))
+    out = {r["doc_id"]: r for r in toxicity.judge(docs, labels).collect()}
+    assert sum(out[i]["predicted"] for i in out if i in texts and marked(i)) >= 0.75 * sum(map(marked, texts))
+    assert sum(out[i]["predicted"] for i, y in told.items() if y == 0 and out[i]["held_out"]) <= 4
