@@ -157,14 +157,101 @@ def near(needle: Column, hay: Column) -> Column:
     return F.exists(every, lambda s: F.levenshtein(s, needle, 1) >= 0)
 
 
+def surname_parts(x: Column) -> Column:
+    """The folded parts of a compound surname."""
+    return F.filter(F.transform(F.split(x, r"(?U)[-\s]+"), surname_fold), lambda p: p != "")
+
+
 def name_relation(a: Column, b: Column) -> Column:
-    """How surname ``a`` stands in name ``b``: exact, variant, near or different; null without both."""
+    """How surname ``a`` stands in name ``b``: exact, variant (also if they share a part of a compound name), near
+    or different; null if either is missing or ``b`` is the id of an item without a label."""
     x, y = surname_fold(a), surname_fold(b)
-    plain_a, plain_b = folded(a), folded(b)
+    unknown = blank_to_null(a).isNull() | blank_to_null(b).isNull() | F.coalesce(F.trim(b).rlike(r"^Q\d+$"), F.lit(False))
+    plain_a, plain_b = F.lower(F.trim(a)), F.lower(F.trim(b))
     return (
-        F.when(F.coalesce(x, F.lit("")).eqNullSafe("") | F.coalesce(y, F.lit("")).eqNullSafe(""), None)
+        F.when(unknown, None)
         .when(F.contains(plain_b, plain_a), "exact")
-        .when(F.contains(y, x), "variant")
-        .when(near(x, y), "near")
+        .when((x != "") & F.contains(y, x), "variant")
+        .when(F.arrays_overlap(surname_parts(a), surname_parts(b)), "variant")
+        .when((x != "") & (y != "") & near(x, y), "near")
         .otherwise("different")
     )
+
+
+def one_edit_keys(x: Column) -> Column:
+    """Keys that two words share if they are within one edit: the word, and it with each letter left out."""
+    n = F.char_length(x)
+    less = F.transform(F.sequence(F.lit(1), n), lambda k: F.concat(F.substr(x, F.lit(1), k - 1), F.substr(x, k + 1)))
+    return F.array_distinct(F.concat(F.array(x), F.when(n > 0, less).otherwise(F.array().cast("array<string>"))))
+
+
+#: Words that say what kind of thing a district is, not which.
+DISTRICT_KINDS = ("wahlkreis", "stadt", "kreis", "kanton", "zh")
+
+
+def district_key(x: Column) -> Column:
+    """The sorted words that name a district: marks, the source's own ordinal and the kinds left out; null if none is left."""
+    words = F.filter(F.split(F.lower(plain_letters(x)), "[^0-9a-z]+"), lambda w: w != "")
+    ordinal = F.coalesce(F.try_element_at(words, F.lit(1)).rlike(r"^\d+$") & F.array_contains(F.slice(words, 1, 2), "wahlkreis"), F.lit(False))
+    words = F.when(ordinal, F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0)))).otherwise(words)
+    kept = F.array_sort(F.filter(words, lambda w: ~w.isin(*DISTRICT_KINDS)))
+    return F.when(F.size(kept) > 0, kept)
+
+
+def numeral_split(x: Column) -> Column:
+    """A struct of the roman numeral before a label and the label; without one the numeral is null."""
+    t = tidy(x)
+    numeral = F.regexp_extract(t, r"^([IVXLC]+)\s+(.+)$", 1)
+    return F.struct(F.nullif(numeral, F.lit("")).alias("numeral"), F.when(numeral != "", F.regexp_extract(t, r"^([IVXLC]+)\s+(.+)$", 2)).otherwise(t).alias("label"))
+
+
+def district_number(x: Column, most: int = 18) -> Column:
+    """The whole part of a number from 1 to ``most``, else null."""
+    n = as_int_loose(x)
+    return F.when(n.between(1, most), n)
+
+
+def district_order(x: Column) -> Column:
+    """The ordinal before the first point, 99 without one."""
+    return F.coalesce(F.nullif(F.regexp_extract(F.trim(x), r"^(\d+)\s*(?:\.|$)", 1), F.lit("")).cast("int"), F.lit(99))
+
+
+def search_terms(x: Column) -> Column:
+    """What to search for a district: the name in brackets after the kind, alone, then the whole spelling."""
+    t = tidy(x)
+    inner = F.trim(F.regexp_extract(t, r"\((.*)\)", 1))
+    terms = F.array(F.when(inner != "", F.concat(F.lit("Wahlkreis "), inner)), F.when(inner != "", inner), F.when(t != "", t))
+    return F.array_distinct(F.filter(terms, lambda w: w.isNotNull()))
+
+
+def first_number(*candidates: Column) -> Column:
+    """The first candidate that is a whole number; null if none is."""
+    return F.coalesce(*[as_int(c) for c in candidates])
+
+
+def first_filled(*candidates: Column) -> Column:
+    """The first candidate that isn't blank, trimmed; else empty."""
+    return F.coalesce(*[blank_to_null(c.cast("string")) for c in candidates], F.lit(""))
+
+
+def filled_values(x: Column) -> Column:
+    """The values of a list, trimmed, without nulls and blanks."""
+    return F.filter(F.transform(x, lambda v: F.trim(v.cast("string"))), lambda v: v.isNotNull() & (v != ""))
+
+
+def count_cell(x: Column) -> Column:
+    """A count given as text; 0 if it is none."""
+    return F.coalesce(as_int(x), F.lit(0))
+
+
+def vote_ids(tokens: list[str] | None) -> list[int]:
+    """Vote numbers as given; ``auto`` and nothing mean to discover them; anything else is an error, never dropped."""
+    out = []
+    for token in tokens or []:
+        plain = str(token).strip()
+        if plain.lower() == "auto":
+            continue
+        if not plain.removeprefix("-").isdigit():
+            raise ValueError(f"a vote is a number or auto, not {token!r}")
+        out.append(int(plain))
+    return out

@@ -97,3 +97,59 @@ def model_census(statements: DataFrame, qualifiers: DataFrame, position: str) ->
     own = statements.filter(F.col("position_qid") == position).join(terms.select("statement_id", "value_qid"), "statement_id", "left")
     per = own.groupBy("qid").agg(F.count_distinct("statement_id").alias("statements"), F.count_distinct("value_qid").alias("terms"))
     return per.groupBy("statements", "terms").agg(F.count("*").alias("people")).orderBy("statements", "terms")
+
+
+def escaped(x: Column) -> Column:
+    """A text as it stands in a quoted literal of a query."""
+    return F.replace(F.replace(F.replace(x, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit("\n"), F.lit("\\n"))
+
+
+def batches(wanted: DataFrame, column: str, size: int) -> DataFrame:
+    """The distinct values in batches of ``size`` in their order, as a reader asks for them: batch and values."""
+    from rosterloom.operators.profile import numbered
+
+    own = numbered(wanted.select(column).filter(F.col(column).isNotNull()).distinct(), [column], "_k")
+    return own.groupBy(F.floor((F.col("_k") - 1) / size).alias("batch")).agg(F.array_sort(F.collect_list(column)).alias("values"))
+
+
+def described(wanted: DataFrame, labels: DataFrame, instances: DataFrame, languages: Sequence[str]) -> DataFrame:
+    """qid, label, description and instance_of of each wanted item once, also of those the graph doesn't know.
+
+    ``labels`` has (qid, lang, label, description), of which the first language that has a value counts;
+    ``instances`` has (qid, class_label), of which the classes are a sorted set.
+    """
+    own = wanted.select("qid").filter(F.col("qid").isNotNull()).distinct()
+    place = F.array_position(F.array(*[F.lit(x) for x in languages]), F.col("lang"))
+    best = lambda c: F.min(F.when(F.col(c).isNotNull() & (place > 0), F.struct(place.alias("k"), F.col(c).alias("v"))))["v"].alias(c)
+    texts = labels.groupBy("qid").agg(best("label"), best("description"))
+    classes = instances.groupBy("qid").agg(F.array_sort(F.collect_set("class_label")).alias("instance_of"))
+    met = own.join(texts, "qid", "left").join(classes, "qid", "left")
+    return met.withColumn("instance_of", F.coalesce("instance_of", F.array().cast("array<string>")))
+
+
+def of_class(instances: DataFrame, numbers: DataFrame, class_qid: str) -> DataFrame:
+    """The items of a class, with their number where they have one."""
+    own = instances.filter(F.col("class_qid") == class_qid).select("qid").distinct()
+    return own.join(numbers.groupBy("qid").agg(F.min("number").alias("number")), "qid", "left")
+
+
+def with_details(wanted: DataFrame, **sides: tuple[DataFrame, str]) -> DataFrame:
+    """The wanted items with an optional value from each side, given as (table, column); several values are several rows."""
+    out = wanted.select("qid").distinct()
+    for name, (table, column) in sides.items():
+        out = out.join(table.select("qid", F.col(column).alias(name)).distinct(), "qid", "left")
+    return out
+
+
+def formatter(properties: DataFrame, labels: DataFrame, prop: str, lang: str) -> DataFrame:
+    """One row for a property: its formatter address and its label, each where there is one."""
+    one = properties.sparkSession.range(1).select(F.lit(prop).alias("property"))
+    urls = properties.filter(F.col("property") == prop).groupBy("property").agg(F.min("formatter_url").alias("formatter_url"))
+    names = labels.filter((F.col("qid") == prop) & (F.col("lang") == lang)).groupBy(F.col("qid").alias("property")).agg(F.min("label").alias("label"))
+    return one.join(urls, "property", "left").join(names, "property", "left")
+
+
+def open_now(people_: DataFrame, statements: DataFrame, positions: Sequence[str]) -> DataFrame:
+    """``people_`` with open: whether any statement for the positions, walked anew, has no end."""
+    held = statements.filter(F.col("position_qid").isin(*positions) & F.col("end").isNull()).select("qid").distinct().withColumn("open", F.lit(True))
+    return people_.join(held, "qid", "left").withColumn("open", F.coalesce("open", F.lit(False)))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions.dates import EARLIEST, LATEST, date_of
 
-#: Rows of the smaller side that may be broadcast.
-MOST_BROADCAST = 100_000
+#: The buckets that the days of two sides are cut into, at most: a bound on how often an open interval is repeated.
+MOST_BUCKETS = 1_000
 
 
 def _low(x: Column) -> Column:
@@ -35,27 +35,33 @@ def clip(s1: Column, e1: Column, s2: Column, e2: Column) -> tuple[Column, Column
     return F.when(known, F.greatest(s1, s2)).otherwise(s1), F.when(known, F.least(e1, e2)).otherwise(e1)
 
 
-def overlap_join(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, str], small: bool | None = None) -> DataFrame:
+def overlap_join(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, str], small: bool = False) -> DataFrame:
     """All pairs of rows whose intervals overlap, unknown starts matching nothing.
 
-    A right side of at most ``MOST_BROADCAST`` rows is broadcast. Two large sides are joined on the
-    years they touch: open ends reach to the last year of either side, and a pair is kept only in the
-    first year that both touch, so it comes once. Each row is repeated once a year.
+    Days are cut into buckets of a width taken from the data: about the median length of the known intervals of both
+    sides, so that most rows stand in one or two buckets. Rows meet in the buckets they touch, open ends reach to the last day of either
+    side, and a pair is kept only in the first bucket that both touch, so it comes once. With ``small`` the right
+    side is a dimension of at most some hundred rows by its nature (periods), which is broadcast.
     """
     ls, le, rs, re_ = (F.col(c) for c in (*l, *r))
-    if small if small is not None else right.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST:
+    if small:
         return left.join(F.broadcast(right), covers(ls, le, rs, re_))
     left, right = (d.filter(F.col(s).isNotNull() & (F.col(s) <= _high(F.col(e)))) for d, (s, e) in ((left, l), (right, r)))
-    last = 0
-    for d, (s, e) in ((left, l), (right, r)):
-        last = max(last, d.agg(F.max(F.year(F.coalesce(F.col(e), F.col(s))))).first()[0] or 0, d.agg(F.max(F.year(s))).first()[0] or 0)
-
-    def by_year(d: DataFrame, s: str, e: str, name: str) -> DataFrame:
-        return d.withColumn(name, F.explode(F.sequence(F.year(s), F.greatest(F.year(s), F.least(F.coalesce(F.year(e), F.lit(last)), F.lit(last))))))
-
-    a, b = by_year(left, *l, "_y1"), by_year(right, *r, "_y2")
-    met = a.join(b, (F.col("_y1") == F.col("_y2")) & covers(ls, le, rs, re_) & (F.col("_y1") == F.greatest(F.year(ls), F.year(rs))))
-    return met.drop("_y1", "_y2")
+    bounds = [d.agg(F.min(s).alias("lo"), F.max(F.coalesce(F.col(e), F.col(s))).alias("hi"), F.percentile_approx(F.datediff(e, s), 0.5).alias("mid")).first() for d, (s, e) in ((left, l), (right, r))]
+    known = [b for b in bounds if b["lo"] is not None]
+    width = max([1, *[b["mid"] or 1 for b in known]])
+    first, last = min((b["lo"] for b in known), default=None), max((b["hi"] for b in known), default=None)
+    if first is not None:
+        width = max(width, -(-(last - first).days // MOST_BUCKETS))
+    bucket = lambda day: F.floor(F.datediff(day, F.lit(first)) / width).cast("int")
+
+    def cut(d: DataFrame, s: str, e: str, name: str) -> DataFrame:
+        stop = F.greatest(F.col(s), F.least(F.coalesce(F.col(e), F.lit(last)), F.lit(last)))
+        return d.withColumn(name, F.explode(F.sequence(bucket(F.col(s)), bucket(stop))))
+
+    a, b = cut(left, *l, "_b1"), cut(right, *r, "_b2")
+    met = a.join(b, (F.col("_b1") == F.col("_b2")) & covers(ls, le, rs, re_) & (F.col("_b1") == F.greatest(bucket(ls), bucket(rs))))
+    return met.drop("_b1", "_b2")
 
 
 def current_period(periods: DataFrame, number: str, s: str, e: str, today: Column) -> DataFrame:

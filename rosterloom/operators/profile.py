@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rosterloom.operators.lineage import cut
+
 CONFIRMED, INCONCLUSIVE, CONTRADICTED = "CONFIRMED", "INCONCLUSIVE", "CONTRADICTED"
 
 
@@ -32,11 +34,32 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
 
 
 def key_quality(df: DataFrame, name: str, key: str, mark: str) -> DataFrame:
-    """Names with several keys: namesakes if no two keys share a distinguishing mark, else one person split."""
+    """Names with several keys: split, if two keys share a distinguishing mark; undecided, if a key has no mark at all; else
+    namesakes."""
     keys = df.groupBy(name).agg(F.count_distinct(key).alias("keys"))
-    shared = df.groupBy(name, mark).agg(F.count_distinct(key).alias("_c")).groupBy(name).agg(F.max("_c").alias("_c"))
-    quality = F.when(F.col("keys") == 1, "one").when(F.col("_c") > 1, "split").otherwise("namesakes")
-    return keys.join(shared, name).select(name, "keys", quality.alias("quality"))
+    shared = df.filter(F.col(mark).isNotNull()).groupBy(name, mark).agg(F.count_distinct(key).alias("_c")).groupBy(name).agg(F.max("_c").alias("_c"))
+    bare = df.groupBy(name, key).agg(F.count(mark).alias("_m")).groupBy(name).agg(F.min("_m").alias("_least"))
+    quality = F.when(F.col("keys") == 1, "one").when(F.col("_c") > 1, "split").when(F.col("_least") == 0, "undecided").otherwise("namesakes")
+    return keys.join(shared, name, "left").join(bare, name).select(name, "keys", quality.alias("quality"))
+
+
+def name_index(df: DataFrame, key: Column, row: str) -> DataFrame:
+    """The rows of each key, sorted, and their number; rows whose key is blank are counted under an empty one, without their list."""
+    own = F.coalesce(key, F.lit(""))
+    out = df.groupBy(own.alias("key")).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(own != "", F.col(row)))).alias("rows"))
+    return out.select("key", "n", "rows")
+
+
+def people_count(df: DataFrame, person: str | None) -> DataFrame:
+    """Distinct people; without a column for them, rows."""
+    return df.agg((F.count_distinct(person) if person and person in df.columns else F.count("*")).alias("people"))
+
+
+def ranked(df: DataFrame, column: str, n: int = 12) -> DataFrame:
+    """The n most frequent values with their share of all rows in percent, ties in the order of the values."""
+    counts = df.groupBy(column).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("_t"))
+    return counts.orderBy(F.desc("n"), column).limit(n).join(total, how="cross").select(column, "n", F.round(100.0 * F.col("n") / F.col("_t"), 1).alias("share"))  # one row on the right
 
 
 def verdict(*ladder: tuple[Column, str]) -> Column:
@@ -56,8 +79,9 @@ def worst(df: DataFrame, column: str) -> DataFrame:
 
 def numbered(df: DataFrame, order: Sequence[str], name: str) -> DataFrame:
     """Rows numbered from 1 in a total order without gathering them: a range sort, the sizes of its
-    partitions, and each row's place in its own."""
+    partitions, and each row's place in its own. The sorted rows are checkpointed, so both uses see the same partitions."""
     ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id() - F.shiftleft(F.col("_p").cast("bigint"), 33))
+    ranged = cut(ranged)
     sizes = ranged.groupBy("_p").agg((F.max("_i") + 1).alias("_n"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_n")
     return ranged.join(F.broadcast(before), "_p").withColumn(name, F.col("_before") + F.col("_i") + 1).drop("_p", "_i", "_before")

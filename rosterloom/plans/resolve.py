@@ -2,23 +2,39 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from rosterloom.functions import text
 
 
-def by_identifier(members: DataFrame, items: DataFrame) -> DataFrame:
-    """``members`` with qid, qid_source and duplicate_qids: an identifier that one item has is a match,
-    one that several items have is a conflict with its claimants."""
-    keyed = items.select("qid", text.id_normal(F.col("join_id")).alias("_id")).filter("_id <> ''").distinct()
-    claims = keyed.groupBy("_id").agg(F.count("*").alias("_n"), F.array_sort(F.collect_list("qid")).alias("_qids"))
+def corroborates(born: Column, last_name: Column, item_born: Column, label: Column, qid: Column) -> Column:
+    """Whether an item looks like a member, its identifier aside: two known birth dates decide; else the surname
+    stands in the item's label; a label that is missing or only the item's id says no."""
+    name, last = text.folded(label), text.folded(last_name)
+    usable = F.coalesce((name != "") & (name != text.folded(qid)) & (last != ""), F.lit(False))
+    return F.when(born.isNotNull() & item_born.isNotNull(), born == item_born).otherwise(usable & F.coalesce(F.contains(name, last), F.lit(False)))
+
+
+def by_identifier(members: DataFrame, items: DataFrame, corroborate: bool = False) -> DataFrame:
+    """``members`` with qid, qid_source, duplicate_qids and mismatch_qids: an identifier that one item has is a match, one that
+    several items have is a conflict with its claimants. With ``corroborate`` (an identifier that isn't
+    verified) the sole claimant has to look like the member too; else it is a mismatch and no match."""
+    claim = F.struct("qid", *[(F.col(c) if c in items.columns else F.lit(None).cast(k)).alias(c) for c, k in (("birth_date", "date"), ("label", "string"))])
+    keyed = items.select("qid", text.id_normal(F.col("join_id")).alias("_id"), claim.alias("_claim")).filter("_id <> ''").groupBy("_id", "qid").agg(F.min("_claim").alias("_claim"))
+    claims = keyed.groupBy("_id").agg(F.count("*").alias("_n"), F.array_sort(F.collect_list("qid")).alias("_qids"), F.min("_claim").alias("_claim"))
     met = members.withColumn("_key", text.id_normal(F.col("person_key"))).join(claims, F.col("_key") == F.col("_id"), "left")
-    one = F.col("_n") == 1
+    sole, none = F.col("_n") == 1, F.array().cast("array<string>")
+    alike = F.lit(True)
+    if corroborate:
+        last = F.col("last_name") if "last_name" in members.columns else text.given_and_last(F.lit(None), F.lit(None), F.col("full_name"))["last"]
+        alike = corroborates(F.col("birth_date"), last, F.col("_claim.birth_date"), F.col("_claim.label"), F.col("_claim.qid"))
+    one = sole & alike
     return met.select(
         *members.columns, F.when(one, F.col("_qids")[0]).alias("qid"), F.when(one, "identifier").alias("qid_source"),
-        F.when(F.col("_n") > 1, F.col("_qids")).otherwise(F.array().cast("array<string>")).alias("duplicate_qids"),
+        F.when(F.col("_n") > 1, F.col("_qids")).otherwise(none).alias("duplicate_qids"),
+        F.when(sole & ~alike, F.col("_qids")).otherwise(none).alias("mismatch_qids"),
     )
 
 

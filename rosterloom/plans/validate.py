@@ -12,7 +12,7 @@ from rosterloom.plans.rules import start_date
 def coverage(members: DataFrame, periods: DataFrame) -> DataFrame:
     """(number, person_key): the periods that each member's seat covers."""
     own = members.select("person_key", start_date().alias("s"), F.col("date_leaving").alias("e"))
-    return intervals.overlap_join(own, periods.select("number", "start", "end"), ("s", "e"), ("start", "end")).select("number", "person_key").distinct()
+    return intervals.overlap_join(own, periods.select("number", "start", "end"), ("s", "e"), ("start", "end"), small=True).select("number", "person_key").distinct()
 
 
 def validate(members: DataFrame, periods: DataFrame, attendance: DataFrame) -> DataFrame:

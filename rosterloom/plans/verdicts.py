@@ -87,4 +87,150 @@ def yaml_block(df: DataFrame, key: str, value: str) -> DataFrame:
     return df.orderBy(key).select(F.concat(F.lit('  "'), F.replace(F.col(key), F.lit('"'), F.lit('\\"')), F.lit('": '), F.col(value)).alias("value"))
 
 
-__all__ = ["CONFIRMED", "CONTRADICTED", "INCONCLUSIVE", "dated_column", "identifier_gain", "identifier_values", "judged", "labels", "misses", "seat_count", "start_dates", "yaml_block"]
+def source_identifier(rows: DataFrame, expected: int, number: str = "PersonNumber", code: str = "PersonIdCode", errors: int = 0) -> DataFrame:
+    """Which of a person's two numbers is the identifier: the first confirms, the second or neither contradicts; with no
+    rows nothing was tested."""
+    hit = lambda c: F.coalesce(F.max((F.col(c) == expected).cast("int")), F.lit(0)) == 1
+    row = rows.agg(F.count("*").alias("n_rows"), hit(number).alias("in_number"), hit(code).alias("in_code"))
+    meaning = F.when(F.col("n_rows") == 0, "tables failed" if errors else "no such person").when(F.col("in_number"), number).when(F.col("in_code"), code).otherwise("neither")
+    return row.withColumn("meaning", meaning).withColumn("verdict", verdict((F.col("n_rows") == 0, INCONCLUSIVE), (~F.col("in_number"), CONTRADICTED)))
+
+
+def count_agreement(df: DataFrame, column: str) -> DataFrame:
+    """Whether every row has a value in a column that is known to exist."""
+    return judged(df, {"total": None, "filled": F.col(column).isNotNull()}, (F.col("total") == 0, INCONCLUSIVE), (F.col("filled") < F.col("total"), CONTRADICTED))
+
+
+def first_variant(results: DataFrame, order: str, label: str, count: str, least: int = 1) -> DataFrame:
+    """Of search variants tried in order the first that found enough; a null count is an error, no row at all no variant."""
+    return results.agg(F.min_by(label, F.when(F.col(count) >= least, F.col(order))).alias("winner"), F.count_if(F.col(count).isNull()).alias("errors"), F.count_if(F.col(count) < least).alias("empty"))
+
+
+def link_coverage(people: DataFrame, own: str, party: str) -> DataFrame:
+    """How many people link to the graph and to a party there, with the shares in percent."""
+    filled = lambda c: F.count_if(text.blank_to_null(F.col(c).cast("string")).isNotNull())
+    row = people.agg(F.count("*").alias("people"), filled(own).alias("linked"), filled(party).alias("with_party"))
+    share = lambda c: F.round(F.coalesce(F.try_divide(100.0 * F.col(c), F.col("people")), F.lit(0.0)), 1)
+    return row.withColumns({"linked_share": share("linked"), "party_share": share("with_party")})
+
+
+def graph_reach(holders: DataFrame, own: str, mirror: str, other: str) -> DataFrame:
+    """Which identifier joins a chamber's holders: its own before a mirror's, a foreign service's never. A row a holder goes in."""
+    has = lambda c: text.blank_to_null(F.col(c).cast("string")).isNotNull()
+    counts = {"holders": None, "with_own": has(own), "with_mirror": has(mirror), "with_other": has(other), "with_any": has(own) | has(mirror) | has(other)}
+    row = judged(holders, counts, (F.col("holders") == 0, INCONCLUSIVE), ((F.col("with_own") == 0) & (F.col("with_mirror") == 0), CONTRADICTED))
+    joins = F.when(F.col("with_own") > 0, own).when(F.col("with_mirror") > 0, mirror)
+    broad = F.coalesce(100 * F.col("with_any") >= 50 * F.col("holders"), F.lit(False))
+    return row.withColumn("joined_by", joins).withColumn("reach", F.when(joins.isNull(), "none").when(F.col("with_own") > 0, "own").when(broad, "most").otherwise("some"))
+
+
+def position_item(statements: DataFrame, position: str, seats: int) -> DataFrame:
+    """Whether an item is the seat: nobody holds it, or more hold it openly than there are seats: it isn't."""
+    held = statements.filter(F.col("position_qid") == position)
+    row = held.agg(F.count_distinct("qid").alias("holders"), F.count_distinct(F.when(F.col("end").isNull(), F.col("qid"))).alias("open_holders"))
+    ladder = ((F.col("holders") == 0, CONTRADICTED), (F.col("open_holders") > seats, CONTRADICTED), (F.col("open_holders") == 0, INCONCLUSIVE))
+    return row.withColumn("seats", F.lit(seats).cast("bigint")).withColumn("verdict", verdict(*ladder))
+
+
+def qualifier_readiness(source: DataFrame, used: DataFrame, name: str, label: str, holders: int) -> DataFrame:
+    """Whether the graph uses a qualifier for the source's values: unused is no practice, used without a match is another thing."""
+    known = used.select(text.folded(F.col(label)).alias("_l")).filter("_l IS NOT NULL").distinct().withColumn("_u", F.lit(True))
+    own = source.select(text.folded(F.col(name)).alias("_n")).filter("_n IS NOT NULL").distinct().join(known, F.col("_n") == F.col("_l"), "left")
+    row = own.agg(F.count("*").alias("source_values"), F.count("_u").alias("matched")).join(known.agg(F.count("*").alias("used")), how="cross")  # one row each
+    row = row.withColumn("holders", F.lit(holders).cast("bigint"))
+    return row.withColumn("verdict", verdict((F.col("holders") == 0, INCONCLUSIVE), (F.col("used") == 0, INCONCLUSIVE), (F.col("matched") == 0, CONTRADICTED)))
+
+
+#: What a column of keys is called.
+ID_HINTS = ("guid", "id", "nummer", "number", "key")
+#: An export's columns for identifiers, and their properties.
+IDENTIFIER_COLUMNS = {"gnd": "P227", "viaf": "P214", "hls": "P902"}
+
+
+def id_columns(columns: list[str]) -> list[str]:
+    """Columns that look like identifiers: a segment of the name is a word for a key, or it ends with one."""
+    return [c for c in columns if any(part == h or (len(h) > 2 and part.endswith(h)) for part in c.lower().split("_") for h in ID_HINTS)]
+
+
+def joinability(df: DataFrame) -> DataFrame:
+    """Whether anything in a source could join with the graph: no key-like column decides nothing, and keys of the
+    source's own make, which no property holds, say no."""
+    found = id_columns(df.columns)
+    row = df.sparkSession.range(1).select(F.lit(len(found)).cast("bigint").alias("id_columns"), F.lit(", ".join(found)).alias("named"))
+    return row.withColumn("verdict", verdict((F.col("id_columns") == 0, INCONCLUSIVE), (F.lit(True), CONTRADICTED)))
+
+
+def identifier_columns(columns: list[str]) -> dict[str, str]:
+    """The columns of an export that hold a known identifier, with its property."""
+    return {c: IDENTIFIER_COLUMNS[c.lower()] for c in columns if c.lower() in IDENTIFIER_COLUMNS}
+
+
+def property_coverage(members: DataFrame, candidates: list[str]) -> DataFrame:
+    """What a source says for one check: filled for somebody, no such column, or a column that is empty for all."""
+    have = [c for c in candidates if c in members.columns]
+    some = F.lit(False)
+    for c in have:
+        some = some | text.blank_to_null(F.col(c).cast("string")).isNotNull()
+    row = judged(members, {"members": None, "covered": some}, (F.col("covered") > 0, CONFIRMED), (F.lit(not have), CONTRADICTED), (F.lit(True), INCONCLUSIVE))
+    return row.withColumn("columns", F.lit(", ".join(have)))
+
+
+def volume_note(found: Column, members: Column, covered: Column) -> Column:
+    """What a number of findings means for a chamber."""
+    share = F.coalesce(F.try_divide(100 * found, members), F.lit(0.0))
+    return F.when((found == 0) & (covered == 0), "not compared").when(found == 0, "nothing to do").when(share >= 50, "bulk worklist").otherwise("clean-up")
+
+
+def findings_by_property(found: DataFrame) -> DataFrame:
+    """Findings of missing person data for each property."""
+    return found.filter("kind = 'ADD_PERSON_DATA'").groupBy(F.coalesce("payload.property", F.lit("?")).alias("property")).agg(F.count("*").alias("n"))
+
+
+def configured(config, bodies: dict[str, str]) -> list[tuple[str, str, str]]:
+    """(kind, key, item) of everything a configuration names."""
+    maps = {"position": bodies, "constituency": config.constituencies, "parl_group": config.parl_groups, "party": config.parties, "term": {str(k): v for k, v in config.terms.items()}}
+    return [(kind, key, qid) for kind, own in maps.items() for key, qid in sorted(own.items())]
+
+
+def config_items(spark, named: list[tuple[str, str, str]], described: DataFrame) -> DataFrame:
+    """Each configured item with its label and classes, and whether it resolves; ``described`` as ``graph.plans.described`` gives it."""
+    rows = spark.createDataFrame(named, "kind string, key string, qid string")
+    met = rows.join(described, "qid", "left")
+    return met.select("kind", "key", "qid", "label", F.array_join("instance_of", ", ").alias("instance_of"), text.blank_to_null(F.col("label")).isNotNull().alias("resolves"))
+
+
+def tenure_dates(members: DataFrame, council: str, joined: str, left: str) -> DataFrame:
+    """For each council: members, distinct, first and last starts, whether all starts are a first of January, members
+    without a start, and members who sit and yet have an end."""
+    s = F.col(joined)
+    return members.groupBy(council).agg(
+        F.count("*").alias("members"), F.count_distinct(s).alias("starts"), F.min(s).alias("first_start"), F.max(s).alias("last_start"),
+        F.coalesce(F.bool_and(F.when(s.isNotNull(), F.dayofyear(s) == 1)), F.lit(False)).alias("all_first_of_january"), F.count_if(s.isNull()).alias("undated"), F.count_if(F.col(left).isNotNull()).alias("with_end"),
+    )
+
+
+def miss_reasons(wanted: DataFrame, export: DataFrame, name: str, value: str, born: str | None = None) -> DataFrame:
+    """Why a name matched an export and its identifier didn't: name, value, held (the export's values) and reason. Names that the
+    export hasn't, and values that it holds, are no misses."""
+    birth = F.min(F.col(born)) if born else F.min(F.lit(None).cast("date"))
+    rows = export.groupBy(F.col(name).alias("_n")).agg(F.array_sort(F.collect_set(text.blank_to_null(F.col(value).cast("string")))).alias("held"), birth.alias("_born"))
+    met = wanted.join(rows, F.col(name) == F.col("_n")).withColumn("_v", F.trim(F.col(value).cast("string"))).filter(~F.array_contains("held", F.col("_v")))
+    theirs = F.col(born) if born and born in wanted.columns else F.lit(None).cast("date")
+    reason = (
+        F.when(F.size("held") > 1, "ambiguous name").when(F.size("held") == 0, "no value in export").when(theirs.isNull() | F.col("_born").isNull(), "undecided")
+        .when(theirs != F.col("_born"), "different person").otherwise("value differs")
+    )
+    return met.select(name, F.col("_v").alias("value"), "held", reason.alias("reason"))
+
+
+def same_source_pairs(members: DataFrame, items: DataFrame, statements: DataFrame, spans: DataFrame) -> DataFrame:
+    """Sitting members with the start that the graph and the second source give: qid, ours, graph, other."""
+    ids = items.select(text.id_normal(F.col("join_id")).alias("_id"), F.col("qid").alias("_q")).filter("_id <> ''").groupBy("_id").agg(F.min("_q").alias("_q"), F.count("*").alias("_n")).filter("_n = 1")
+    own = members.filter("active").select(text.id_normal(F.col("person_key")).alias("_k"), F.coalesce("tenure_start", "date_joining").alias("ours")).join(ids, F.col("_k") == F.col("_id"))
+    graph = statements.filter("end IS NULL").groupBy("qid").agg(F.max("start").alias("graph"))
+    other = spans.groupBy("qid").agg(F.max("start").alias("other"))
+    met = own.join(graph, F.col("_q") == graph["qid"], "left").drop("qid")
+    return met.join(other, F.col("_q") == other["qid"], "left").select(F.col("_q").alias("qid"), "ours", "graph", "other")
+
+
+__all__ = ["CONFIRMED", "CONTRADICTED", "INCONCLUSIVE", "config_items", "configured", "count_agreement", "dated_column", "findings_by_property", "first_variant", "graph_reach", "id_columns", "identifier_columns", "identifier_gain", "identifier_values", "joinability", "judged", "labels", "link_coverage", "miss_reasons", "misses", "position_item", "property_coverage", "qualifier_readiness", "same_source_pairs", "seat_count", "source_identifier", "start_dates", "tenure_dates", "volume_note", "yaml_block"]

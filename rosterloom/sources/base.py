@@ -46,12 +46,16 @@ def first_of(df: DataFrame, *candidates: str) -> Column:
     return F.coalesce(*own) if own else F.lit(None).cast("string")
 
 
-def by_leaf(df: DataFrame, name: str) -> str | None:
-    """A column by its exact name, or by its last underscore segment: the shallowest, then alphabetical."""
-    if name in df.columns:
+def leaf_of(columns: list[str], name: str) -> str | None:
+    """A column by its exact name, or by the last underscore segment of the name: the shallowest, then alphabetical."""
+    if name in columns:
         return name
-    same = [c for c in df.columns if c.lower().rsplit("_", 1)[-1] == name.lower()]
-    return min(same, key=lambda c: (c.count("_"), c), default=None)
+    leaf = lambda c: c.lower().rsplit("_", 1)[-1]
+    return min((c for c in columns if leaf(c) == leaf(name)), key=lambda c: (c.count("_"), c), default=None)
+
+
+def by_leaf(df: DataFrame, name: str) -> str | None:
+    return leaf_of(df.columns, name)
 
 
 def by_hint(df: DataFrame, *hints: str) -> str | None:

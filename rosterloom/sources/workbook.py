@@ -18,22 +18,24 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rosterloom.sources.base import leaf_of
+
 OOXML, BIFF, HTML, DELIMITED, UNKNOWN = "ooxml", "biff", "html", "delimited", "unknown"
 Grid = list[list[str]]
 
 
 def sniff(content: bytes, content_type: str = "") -> str:
-    """The format by magic bytes first, then by the declared type."""
+    """The format by its first bytes; what is declared counts for nothing, as exports often declare another."""
     head = content[:2048]
     if head.startswith(b"PK\x03\x04"):
         return OOXML
     if head.startswith(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1"):
         return BIFF
     low = head.lstrip(b"\xef\xbb\xbf \t\r\n").lower()
-    if low.startswith((b"<!doctype html", b"<html", b"<table")) or "html" in content_type.lower():
+    if low.startswith((b"<!doctype html", b"<html")) or b"<table" in low:
         return HTML
-    first = low.split(b"\n", 1)[0]
-    if any(d in first for d in (b";", b"\t", b",")) or "csv" in content_type.lower():
+    first = low.splitlines()[0] if low else b""
+    if any(d in first for d in (b";", b"\t", b",")):
         return DELIMITED
     return UNKNOWN
 
@@ -46,16 +48,31 @@ def _texts(e: ET.Element) -> str:
     return "".join(t.text or "" for t in e.iter() if _tag(t) == "t")
 
 
+def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
+    """Names and paths of the sheets in the workbook's order. Sheets whose part is missing are left out; a book without a
+    list of sheets gives its parts in the order of their numbers, named by their paths."""
+    names = set(book.namelist())
+    found: list[tuple[str, str]] = []
+    if {"xl/workbook.xml", "xl/_rels/workbook.xml.rels"} <= names:
+        targets = {r.get("Id"): r.get("Target", "") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
+        for sheet in (e for e in ET.fromstring(book.read("xl/workbook.xml")).iter() if _tag(e) == "sheet"):
+            target = targets.get(next((v for k, v in sheet.attrib.items() if k.rsplit("}", 1)[-1] == "id"), None))
+            path = target and (target.lstrip("/") if target.startswith("/") else f"xl/{target}")
+            if path in names:
+                found.append((sheet.get("name", ""), path))
+    if not found:
+        parts = sorted((n for n in names if re.fullmatch(r"xl/worksheets/[^/]*\.xml", n)), key=lambda n: (int("0" + "".join(re.findall(r"\d+", n))), n))
+        found = [(n.rsplit("/", 1)[-1].removesuffix(".xml"), n) for n in parts]
+    return found
+
+
 def xlsx(content: bytes) -> dict[str, Grid]:
     """All sheets in the workbook's order; shared and inline strings; missing cells are not filled in."""
     book = zipfile.ZipFile(io.BytesIO(content))
     names = set(book.namelist())
     shared = [_texts(s) for s in ET.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-    targets = {r.get("Id"): r.get("Target") for r in ET.fromstring(book.read("xl/_rels/workbook.xml.rels"))}
     out: dict[str, Grid] = {}
-    for sheet in (e for e in ET.fromstring(book.read("xl/workbook.xml")).iter() if _tag(e) == "sheet"):
-        target = targets[next(v for k, v in sheet.attrib.items() if k.rsplit("}", 1)[-1] == "id")]
-        path = target.lstrip("/") if target.startswith("/") else f"xl/{target}"
+    for name, path in _sheets(book):
         grid: Grid = []
         for row in (e for e in ET.fromstring(book.read(path)).iter() if _tag(e) == "row"):
             cells = []
@@ -63,7 +80,7 @@ def xlsx(content: bytes) -> dict[str, Grid]:
                 value = next((v.text or "" for v in cell if _tag(v) == "v"), "")
                 cells.append(shared[int(value)] if cell.get("t") == "s" and value else _texts(cell) if cell.get("t") == "inlineStr" else value)
             grid.append(cells)
-        out[sheet.get("name", "")] = grid
+        out[name] = grid
     return out
 
 
@@ -111,17 +128,16 @@ def delimited(text: str) -> Grid:
 
 def named(grid: Grid) -> tuple[list[str], list[dict[str, str]]]:
     """Column names from the first row with more than one filled cell, and the rows after it that have
-    any value. Names are lower snake case; blank ones are numbered, repeated ones get a suffix."""
+    any value. Names are lower case with ``_`` for white space; blank ones are numbered, repeated ones get their column's number."""
     at = next((k for k, row in enumerate(grid) if sum(bool(c.strip()) for c in row) > 1), None)
     if at is None:
         return [], []
     names: list[str] = []
     for k, cell in enumerate(grid[at], 1):
-        name = re.sub(r"\W+", "_", cell.strip().lower()).strip("_") or f"column_{k}"
-        same, n = name, 2
-        while same in names:
-            same, n = f"{name}_{n}", n + 1
-        names.append(same)
+        name = re.sub(r"\s+", "_", cell.strip().lower()) or f"column_{k}"
+        while name in names:
+            name += f"_{k}"
+        names.append(name)
     rows = [dict(zip(names, [c.strip() for c in row] + [""] * len(names))) for row in grid[at + 1 :] if any(c.strip() for c in row)]
     return names, rows
 
@@ -130,11 +146,11 @@ def parse(content: bytes, content_type: str = "") -> tuple[str, dict[str, tuple[
     """The format, the sheets, and what was wrong, if anything was: an export never raises."""
     kind = sniff(content, content_type)
     try:
-        if kind == OOXML:
-            return kind, {n: named(g) for n, g in xlsx(content).items()}, None
-        if kind in (HTML, DELIMITED):
-            text = content.decode("utf-8-sig", "replace")
-            return kind, {"": named(html_table(text) if kind == HTML else delimited(text))}, None
+        if kind in (OOXML, HTML, DELIMITED):
+            text = "" if kind == OOXML else content.decode("utf-8-sig", "replace")
+            grids = xlsx(content) if kind == OOXML else {"": html_table(text) if kind == HTML else delimited(text)}
+            sheets = {n: named(g) for n, g in grids.items()}
+            return kind, sheets, None if any(rows for _, rows in sheets.values()) else f"{kind} without data rows"
     except (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, ValueError, csv.Error) as error:
         return kind, {}, f"{kind}: {error}"
     return kind, {}, f"{kind} can't be read"
@@ -154,6 +170,13 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "file string, format string, sheet string, row bigint, values map<string,string>, error string")
 
 
+def find_column(headers: dict[str, list[str]], candidates: list[str]) -> list[tuple[str, str]]:
+    """(sheet, column) of every sheet that has one of the candidates. Where no sheet has one exactly, columns with the last
+    segment of a candidate stand for it; an exact name anywhere rules these out everywhere."""
+    exact = [(s, c) for s, own in headers.items() for c in dict.fromkeys(candidates) if c in own]
+    return exact or list(dict.fromkeys((s, c) for s, own in headers.items() for c in (leaf_of(own, x) for x in candidates) if c))
+
+
 def sheet(rows: DataFrame, name: str, columns: list[str]) -> DataFrame:
     """One sheet as a table: its name matches without case, else by its first six letters."""
     have = [r["sheet"] for r in rows.select("sheet").distinct().collect() if r["sheet"] is not None]  # a few sheets
