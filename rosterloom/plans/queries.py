@@ -12,8 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
+from rosterloom.config import PERIOD, Config
 from rosterloom.functions import dates, text
 from rosterloom.operators import chains, dedup, intervals, joins, profile
+from rosterloom.plans import report, rules
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -193,16 +195,26 @@ def unique_or_drop(t):
     return dedup.unique_or_drop(t.part, ["p_type", "p_size"], "p_brand")
 
 
-@query("""WITH c AS (SELECT s_suppkey, p_partkey, p_size = s_nationkey AS agrees, p_size > 45 AS contradicts, p_brand = 'Brand#12' AS seated
-FROM supplier JOIN part ON p_partkey % 997 = s_suppkey % 997), k AS (SELECT * FROM c WHERE NOT contradicts),
-n AS (SELECT s_suppkey, count(*) AS n, count_if(agrees) AS na, count_if(seated) AS ns, min(p_partkey) FILTER (agrees) AS ia, min(p_partkey) FILTER (seated) AS is_, min(p_partkey) AS i FROM k GROUP BY 1)
-SELECT s_suppkey, CASE WHEN na = 1 THEN ia WHEN na > 1 THEN NULL WHEN ns = 1 THEN is_ WHEN ns = 0 AND n = 1 THEN i END::VARCHAR AS picked, n::BIGINT AS n, na::BIGINT AS n_agree, ns::BIGINT AS n_seated FROM n""")
+@query("""WITH c AS (SELECT DISTINCT p_name, l_suppkey, p_partkey, p_size = s_nationkey AS agrees, p_size > 45 AS contradicts, p_brand = 'Brand#12' AS seated
+FROM lineitem JOIN part ON p_partkey = l_partkey JOIN supplier ON s_suppkey = l_suppkey), k AS (SELECT * FROM c WHERE NOT contradicts),
+n AS (SELECT p_name, l_suppkey, count(*) AS n, count_if(agrees) AS na, count_if(seated) AS ns, min(p_partkey) FILTER (agrees) AS ia, min(p_partkey) FILTER (seated) AS is_, min(p_partkey) AS i FROM k GROUP BY 1, 2)
+SELECT p_name, l_suppkey, CASE WHEN na = 1 THEN ia WHEN na > 1 THEN NULL WHEN ns = 1 THEN is_ WHEN ns = 0 AND n = 1 THEN i END::VARCHAR AS picked, n::BIGINT AS n, na::BIGINT AS n_agree, ns::BIGINT AS n_seated FROM n""")
 def corroborated_pick(t):
-    met = t.supplier.join(t.part, F.col("p_partkey") % 997 == F.col("s_suppkey") % 997)
-    return joins.corroborated_pick(met, ["s_suppkey"], "p_partkey", F.col("p_size") == F.col("s_nationkey"), F.col("p_size") > 45, F.col("p_brand") == "Brand#12").withColumn("picked", F.col("picked").cast("string"))
-
-
-@query()
+    # candidates by name: the parts of one name that a supplier has delivered
+    met = t.lineitem.select("l_partkey", "l_suppkey").distinct().join(t.part, F.col("p_partkey") == F.col("l_partkey")).join(t.supplier, F.col("s_suppkey") == F.col("l_suppkey"))
+    return joins.corroborated_pick(met, ["p_name", "l_suppkey"], "p_partkey", F.col("p_size") == F.col("s_nationkey"), F.col("p_size") > 45, F.col("p_brand") == "Brand#12").withColumn("picked", F.col("picked").cast("string"))
+
+
+@query("""WITH RECURSIVE c AS (SELECT l_orderkey AS g, l_partkey AS m, l_suppkey AS i, max(l_linenumber) AS score FROM lineitem GROUP BY 1, 2, 3),
+r AS (SELECT g, m, row_number() OVER (PARTITION BY g ORDER BY m) AS k FROM (SELECT DISTINCT g, m FROM c)),
+w AS (SELECT c.*, r.k FROM c JOIN r USING (g, m)),
+s(g, k, m, i, taken) AS (
+  SELECT g, 0::BIGINT, NULL::BIGINT, NULL::BIGINT, []::BIGINT[] FROM (SELECT DISTINCT g FROM c)
+  UNION ALL
+  SELECT g, k, m, i, CASE WHEN i IS NULL THEN taken ELSE list_append(taken, i) END FROM (
+    SELECT s.g, w.k, w.m, s.taken, arg_max(w.i, (w.score, -w.i)) FILTER (NOT list_contains(s.taken, w.i)) AS i FROM s JOIN w ON w.g = s.g AND w.k = s.k + 1 GROUP BY s.g, w.k, w.m, s.taken)
+)
+SELECT g AS l_orderkey, m AS l_partkey, i AS l_suppkey FROM s WHERE i IS NOT NULL""")
 def greedy_assign(t):
     wanted = t.lineitem.groupBy("l_orderkey", "l_partkey", "l_suppkey").agg(F.max("l_linenumber").alias("score"))
     wanted = wanted.withColumn("ord", F.col("l_partkey"))
@@ -324,19 +336,32 @@ def stamp_flags(t):
     return own.join(disputed, "s").select("o_orderkey", (F.col("ours") != F.col("theirs")).alias("differs"), "day_disputed")
 
 
-_GATE = "coalesce(o_orderstatus = 'F' AND o_totalprice > 1000 AND NOT (o_orderpriority LIKE '1-%') AND theirs IS NOT NULL AND ship >= s, false)"
+def command_findings(t: Tables) -> DataFrame:
+    """Orders as findings of all kinds: what a kind needs is there or not by rules of the order's number."""
+    k, d = F.col("o_orderkey"), day("o_orderdate")
+    kinds = F.array(*[F.lit(x) for x in ("ADD_MEMBERSHIP", "ADD_START_DATE", "ADD_END_DATE", "ADD_TERM", "ADD_QUALIFIER", "REVIEW_ENDED", "FIX_START_DATE")])
+    p = rules.payload(
+        position=F.when(k % 11 != 0, "Q1"), start=F.when(k % 5 != 0, d), end=F.when(k % 3 == 0, F.date_add(d, 9)), terms=F.when(k % 4 < 2, F.array(F.lit("Q80"), F.lit("Q81"))), district=F.when(k % 6 == 0, "Q50"), group=F.when(k % 9 == 0, "Q70"),
+        biography=F.when(k % 13 != 0, F.concat(F.lit("https://example.org/"), k)), sources_disagree=F.when(k % 17 == 0, True), identifier_unverified=F.when(k % 19 == 0, True), ambiguous_statement=F.when(k % 8 == 0, True),
+    )
+    return t.orders.select("o_orderkey", F.try_element_at(kinds, (k % 7 + 1).cast("int")).alias("kind"), F.when(k % 23 != 0, F.concat(F.lit("Q"), "o_custkey")).alias("person_qid"), F.when(k % 29 == 0, "name").otherwise("identifier").alias("qid_source"), p.alias("payload"))
+
 
+_FOUND = """f AS (SELECT o_orderkey AS k, ['ADD_MEMBERSHIP', 'ADD_START_DATE', 'ADD_END_DATE', 'ADD_TERM', 'ADD_QUALIFIER', 'REVIEW_ENDED', 'FIX_START_DATE'][o_orderkey % 7 + 1] AS kind,
+CASE WHEN o_orderkey % 23 <> 0 THEN 'Q' || o_custkey END AS qid, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderdate::DATE END AS s, CASE WHEN o_orderkey % 3 = 0 THEN o_orderdate::DATE + 9 END AS e, o_orderkey % 4 < 2 AS termed, o_orderkey % 6 = 0 AS dis, o_orderkey % 9 = 0 AS grp FROM orders),
+g AS (SELECT *, k % 29 <> 0 AND qid IS NOT NULL AND k % 13 <> 0 AND k % 11 <> 0 AND k % 17 <> 0 AND k % 19 <> 0 AND (kind = 'ADD_MEMBERSHIP' OR k % 8 <> 0) AND CASE WHEN kind IN ('ADD_MEMBERSHIP', 'ADD_START_DATE') THEN s IS NOT NULL WHEN kind = 'ADD_END_DATE' THEN e IS NOT NULL WHEN kind = 'ADD_TERM' THEN termed WHEN kind = 'ADD_QUALIFIER' THEN dis OR grp ELSE false END AS tenure FROM f)"""
 
-@query(f"WITH {_TWO.replace('o_orderdate::DATE AS s', 'o_orderdate::DATE AS s, o_orderstatus, o_totalprice, o_orderpriority')} SELECT o_orderkey, {_GATE} AS mechanical FROM j")
+
+@query(f"WITH {_FOUND} SELECT k AS o_orderkey, tenure AS mechanical, tenure AND (kind = 'ADD_MEMBERSHIP' OR termed) AS mechanical_by_period FROM g")
 def gate_mechanical(t):
-    own = two_sources(t).join(t.orders.select("o_orderkey", "o_totalprice", "o_orderpriority"), "o_orderkey")
-    return own.select("o_orderkey", F.expr(_GATE).alias("mechanical"))
+    found = command_findings(t)
+    return found.select("o_orderkey", rules.mechanical(Config()).alias("mechanical"), rules.mechanical(Config(statement_model=PERIOD)).alias("mechanical_by_period"))
 
 
-@query("SELECT o_orderkey, concat_ws('|', 'Q' || o_custkey, 'P39', CASE WHEN o_orderstatus <> 'P' THEN 'P580' END, '+' || strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00Z/11') AS line FROM orders")
+@query(f"""WITH {_FOUND}, p AS (SELECT *, 'P580|+' || strftime(s, '%Y-%m-%d') || 'T00:00:00Z/11' AS ps, 'P582|+' || strftime(e, '%Y-%m-%d') || 'T00:00:00Z/11' AS pe, CASE WHEN termed THEN 'P2937|Q80|P2937|Q81' END AS pt, CASE WHEN dis THEN 'P768|Q50' END AS pd, CASE WHEN grp THEN 'P4100|Q70' END AS pg FROM g WHERE tenure)
+SELECT k AS o_orderkey, concat_ws('|', qid, 'P39', 'Q1', CASE kind WHEN 'ADD_MEMBERSHIP' THEN concat_ws('|', ps, pe, pd, pg, pt) WHEN 'ADD_START_DATE' THEN concat_ws('|', pt, ps) WHEN 'ADD_END_DATE' THEN concat_ws('|', pt, pe) WHEN 'ADD_TERM' THEN pt ELSE concat_ws('|', pt, pd, pg) END, 'S854', '"https://example.org/' || k || '"', 'S813', '+2026-01-02T00:00:00Z/11') AS line FROM p""")
 def render_lines(t):
-    line = F.concat_ws("|", F.concat(F.lit("Q"), "o_custkey"), F.lit("P39"), F.when(F.col("o_orderstatus") != "P", "P580"), dates.time_literal(day("o_orderdate")))
-    return t.orders.select("o_orderkey", line.alias("line"))
+    return command_findings(t).filter(rules.mechanical(Config())).select("o_orderkey", rules.command(F.lit("2026-01-02").cast("date")).alias("line"))
 
 
 @query("""SELECT 'doc_id' AS column_name, count(doc_id)::BIGINT AS filled FROM documents UNION ALL SELECT 'text', count(nullif(trim(text, ' '), ''))::BIGINT FROM documents
@@ -398,17 +423,22 @@ def two_signal_align(t):
     return joins.two_signal_align(left, right, "r_regionkey", "n_nationkey", ("s1", "t1"), ("s2", "t2"))
 
 
-@query("""WITH n AS (SELECT DISTINCT p_name AS name FROM part), p AS (SELECT name, split_part(name, ' ', 1) AS a, coalesce(nullif(split_part(name, ' ', 2), ''), name) AS b FROM n)
-SELECT a.a AS left_word, b.b AS right_word, levenshtein(a.a, b.b) <= 1 AS one_edit FROM (SELECT DISTINCT a FROM p) a JOIN (SELECT DISTINCT b FROM p) b ON substr(a.a, 1, 1) = substr(b.b, 1, 1)""")
+@query(r"""WITH w AS (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS w FROM benchmark)
+SELECT a.w AS left_word, b.w AS right_word FROM w a JOIN w b ON a.w < b.w AND levenshtein(a.w, b.w) <= 1""")
 def near_name(t):
-    words = t.part.select(F.col("p_name").alias("name")).distinct().select(F.split_part("name", F.lit(" "), F.lit(1)).alias("a"), F.coalesce(F.nullif(F.split_part("name", F.lit(" "), F.lit(2)), F.lit("")), "name").alias("b"))
-    left, right = words.select(F.col("a").alias("left_word")).distinct(), words.select(F.col("b").alias("right_word")).distinct()
-    return left.join(right, F.substring("left_word", 1, 1) == F.substring("right_word", 1, 1)).withColumn("one_edit", text.within_one_edit(F.col("left_word"), F.col("right_word")))
+    words = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z]+"), F.lit(0))).alias("w")).distinct()
+    keyed = words.select("w", F.explode(text.one_edit_keys(F.col("w"))).alias("key"))
+    met = keyed.withColumnRenamed("w", "left_word").join(keyed.withColumnRenamed("w", "right_word"), "key").filter("left_word < right_word")
+    return met.select("left_word", "right_word").distinct().filter(text.within_one_edit(F.col("left_word"), F.col("right_word")))
+
+
+_LETTERS = r"regexp_replace(strip_accents(replace(replace(replace(replace(lower(regexp_replace(raw, '\([^)]*\)', ' ', 'g')), 'ä', 'a'), 'ö', 'o'), 'ü', 'u'), 'ß', 'ss')), '[^a-z]', '', 'g')"
 
 
-@query(r"SELECT doc_id, regexp_replace(strip_accents(replace(replace(replace(replace(lower(regexp_replace(source || ' ' || lang, '\([^)]*\)', ' ', 'g')), 'ä', 'a'), 'ö', 'o'), 'ü', 'u'), 'ß', 'ss')), '[^a-z]', '', 'g') AS letters FROM documents")
+@query(f"""WITH n AS (SELECT doc_id, split_part(text, ' ', 1) || ' (x) ' || lang AS raw FROM documents WHERE text IS NOT NULL), l AS (SELECT doc_id, replace(replace(replace({_LETTERS}, 'ae', 'a'), 'oe', 'o'), 'ue', 'u') AS x FROM n)
+SELECT doc_id, array_to_string(list_transform(list_filter(range(1, length(x) + 1), lambda i: i = 1 OR x[i] <> x[i - 1]), lambda i: x[i]), '') AS letters FROM l""")
 def fold_name(t):
-    return t.documents.select("doc_id", F.regexp_replace(text.plain_letters(F.lower(F.concat_ws(" ", "source", "lang"))), "[^a-z]", "").alias("letters"))
+    return t.documents.filter("text IS NOT NULL").select("doc_id", text.surname_fold(F.concat(F.split_part("text", F.lit(" "), F.lit(1)), F.lit(" (x) "), "lang")).alias("letters"))
 
 
 @query("SELECT p_partkey, array_to_string(list_sort(list_filter(string_split_regex(lower(p_name), '\\W+'), lambda x: x <> '')), ' ') AS name_key FROM part")
@@ -416,17 +446,28 @@ def name_key(t):
     return t.part.select("p_partkey", text.name_key(F.col("p_name")).alias("name_key"))
 
 
-@query("SELECT conv_id, turn, len(list_filter(list_transform(string_split(text, ';'), lambda x: trim(x, ' ')), lambda x: x <> ''))::BIGINT AS parts FROM conversations")
+@query(r"""WITH r AS (SELECT c_custkey AS k, CASE c_custkey % 4 WHEN 0 THEN c_mktsegment || ' (AB), ' || c_name || ' (CD)' WHEN 1 THEN c_mktsegment || ', ' || c_name || ' (CD)' WHEN 2 THEN ' ; ' || c_mktsegment || ';;' ELSE c_name || ' ; X (ZH),Y (BE)' END AS x FROM customer),
+p AS (SELECT k, x, list_filter(list_transform(string_split(x, ';'), lambda y: trim(y, ' ')), lambda y: y <> '') AS parts FROM r)
+SELECT k, len(parts)::BIGINT AS parts, array_to_string(flatten(list_transform(parts, lambda y: CASE WHEN contains(y, ',') AND len(list_filter(string_split(y, ','), lambda z: NOT regexp_full_match(trim(z, ' '), '.+\([A-Z]{2}\)'))) = 0 THEN list_transform(string_split(y, ','), lambda z: trim(z, ' ')) ELSE [y] END)), '|') AS places FROM p""".replace("\\\\", "\\"))
 def split_rules(t):
-    return t.conversations.select("conv_id", "turn", F.size(text.split_list(F.col("text"))).cast("bigint").alias("parts"))
+    k, seg, name = F.col("c_custkey"), F.col("c_mktsegment"), F.col("c_name")
+    x = F.when(k % 4 == 0, F.concat(seg, F.lit(" (AB), "), name, F.lit(" (CD)"))).when(k % 4 == 1, F.concat(seg, F.lit(", "), name, F.lit(" (CD)"))).when(k % 4 == 2, F.concat(F.lit(" ; "), seg, F.lit(";;"))).otherwise(F.concat(name, F.lit(" ; X (ZH),Y (BE)")))
+    own = t.customer.select(k.alias("k"), x.alias("x"))
+    return own.select("k", F.size(text.split_list(F.col("x"))).cast("bigint").alias("parts"), F.array_join(text.origin_places(F.col("x")), "|").alias("places"))
 
 
-@query(r"""WITH s AS (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00' ELSE strftime(o_orderdate, '%Y') || '-02-30' END AS raw FROM orders)
-SELECT o_orderkey, raw, CASE WHEN regexp_matches(raw, '^\d{4}-\d{2}-\d{2}([T ].*)?$') THEN try_cast(substr(raw, 1, 10) AS DATE) END::VARCHAR AS parsed FROM s""")
+@query(r"""WITH s AS (SELECT o_orderkey AS k, o_orderdate AS d, CASE o_orderkey % 8 WHEN 0 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m') WHEN 2 THEN strftime(o_orderdate, '%Y') WHEN 3 THEN strftime(o_orderdate, '%Y-%m-%d') || 'T00:00:00' WHEN 4 THEN strftime(o_orderdate, '%Y') || '-02-30' WHEN 5 THEN '1753-01-01T00:00:00' WHEN 6 THEN strftime(o_orderdate, '%Y%m%d') ELSE '9999-12-31' END AS raw FROM orders),
+i AS (SELECT *, CASE WHEN regexp_matches(raw, '^\d{4}-\d{2}-\d{2}([T ].*)?$') THEN try_cast(substr(raw, 1, 10) AS DATE) END AS iso FROM s),
+c AS (SELECT *, coalesce(iso, CASE WHEN regexp_full_match(raw, '\d{8}') THEN try_cast(substr(raw, 1, 4) || '-' || substr(raw, 5, 2) || '-' || substr(raw, 7, 2) AS DATE) END) AS compact FROM i)
+SELECT k AS o_orderkey, raw, iso::VARCHAR AS parsed, CASE WHEN iso > DATE '1753-01-01' THEN iso END::VARCHAR AS federal, compact::VARCHAR AS compact, CASE WHEN compact < DATE '2900-01-01' THEN compact END::VARCHAR AS stop,
+CASE WHEN k % 3 <> 0 THEN try_cast(strftime(d, '%Y') || '-' || lpad((k % 14)::VARCHAR, 2, '0') || '-' || lpad((k % 33)::VARCHAR, 2, '0') AS DATE) END::VARCHAR AS composed, CASE WHEN year(d) BETWEEN 1850 AND 1998 THEN year(d)::INT END AS plausible FROM c""".replace("\\\\", "\\"))
 def date_guard(t):
-    k, f = F.col("o_orderkey") % 5, lambda p: F.date_format("o_orderdate", p)
-    raw = F.when(k == 0, f("yyyy-MM-dd")).when(k == 1, f("yyyy-MM")).when(k == 2, f("yyyy")).when(k == 3, F.concat(f("yyyy-MM-dd"), F.lit("T00:00:00"))).otherwise(F.concat(f("yyyy"), F.lit("-02-30")))
-    return t.orders.select("o_orderkey", raw.alias("raw")).withColumn("parsed", dates.iso_date(F.col("raw")).cast("string"))
+    k, f = F.col("o_orderkey") % 8, lambda p: F.date_format("o_orderdate", p)
+    raw = F.when(k == 0, f("yyyy-MM-dd")).when(k == 1, f("yyyy-MM")).when(k == 2, f("yyyy")).when(k == 3, F.concat(f("yyyy-MM-dd"), F.lit("T00:00:00"))).when(k == 4, F.concat(f("yyyy"), F.lit("-02-30"))).when(k == 5, "1753-01-01T00:00:00").when(k == 6, f("yyyyMMdd")).otherwise("9999-12-31")
+    x, n = F.col("raw"), F.col("o_orderkey")
+    made = {"parsed": dates.iso_date(x), "federal": dates.federal_date(x), "compact": dates.compact_date(x), "stop": dates.open_end(x), "composed": dates.composed_date(F.col("y"), F.when(n % 3 != 0, n % 14), n % 33)}
+    own = t.orders.select("o_orderkey", raw.alias("raw"), f("yyyy").alias("y"))
+    return own.select("o_orderkey", "raw", *[c.cast("string").alias(name) for name, c in made.items()], dates.plausible_year(F.col("y"), 1998).alias("plausible"))
 
 
 @query("SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN '1.5' ELSE c_custkey::VARCHAR END AS ident FROM customer")
@@ -454,9 +495,9 @@ def html_fields(t):
 @query("""WITH g AS (SELECT CASE WHEN c_nationkey % 4 = 0 THEN 'Other' ELSE n_name END AS grp, c_custkey FROM customer JOIN nation ON n_nationkey = c_nationkey),
 c AS (SELECT grp, count(*)::BIGINT AS n FROM g GROUP BY 1) SELECT grp, n, row_number() OVER (ORDER BY grp = 'Other', lower(grp))::BIGINT AS pos FROM c""")
 def group_other_last(t):
-    grp = F.when(F.col("c_nationkey") % 4 == 0, "Other").otherwise(F.col("n_name"))
-    groups = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey")).groupBy(grp.alias("grp")).agg(F.count("*").alias("n"))
-    return groups.withColumn("pos", F.row_number().over(Window.orderBy(F.col("grp") == "Other", F.lower("grp"))).cast("bigint"))
+    found = t.customer.join(F.broadcast(t.nation), F.col("n_nationkey") == F.col("c_nationkey")).select(F.when(F.col("c_nationkey") % 4 != 0, F.col("n_name")).alias("constituency"))
+    groups = report.grouped(found).groupBy("group", "group_place").agg(F.count("*").alias("n"))
+    return groups.select(F.col("group").alias("grp"), "n", F.row_number().over(Window.orderBy("group_place")).cast("bigint").alias("pos"))  # a row a group
 
 
 @query("SELECT c_nationkey, c_custkey FROM (SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_acctbal DESC, c_custkey) AS k FROM customer) WHERE k <= 3")

@@ -81,10 +81,10 @@ def book(rows):
 
 def test_workbook(spark, tmp_path):
     grid = [["Title"], ["", ""], ["Id Person", "Name", "", "Name"], ["1", "A", "x", "B"], ["", "", "", ""], ["2", "C"]]
-    want = (["id_person", "name", "column_3", "name_2"], [{"id_person": "1", "name": "A", "column_3": "x", "name_2": "B"}, {"id_person": "2", "name": "C", "column_3": "", "name_2": ""}])
+    want = (["id_person", "name", "column_3", "name_4"], [{"id_person": "1", "name": "A", "column_3": "x", "name_4": "B"}, {"id_person": "2", "name": "C", "column_3": "", "name_4": ""}])
     kind, sheets, error = workbook.parse(book(grid))
     assert (kind, sheets["Personen"], error) == (workbook.OOXML, want, None)
-    assert workbook.parse(b"\xef\xbb\xbfa;b,c\n1;2\n")[1][""] == (["a", "b_c"], [{"a": "1", "b_c": "2"}])
+    assert workbook.parse(b"\xef\xbb\xbfa;b,c\n1;2\n")[1][""] == (["a", "b,c"], [{"a": "1", "b,c": "2"}])
     assert workbook.parse(b"<html><table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2<b>3</b></td></tr></table><table><tr><td>x</td></tr></table>")[1][""][1] == [{"a": "1", "b": "23"}]
     assert workbook.parse(b"PK\x03\x04broken")[2] and workbook.parse(b"\xd0\xcf\x11\xe0\xa1\xb1\x1a\xe1")[0] == workbook.BIFF and workbook.parse(b"hello")[0] == workbook.UNKNOWN
     (tmp_path / "a.xlsx").write_bytes(book(grid))
@@ -96,3 +96,31 @@ def test_xml_hits(spark, tmp_path):
     (tmp_path / "x.xml").write_text('<R numHits="2"><Hit Guid="g1"><M><Name>A</Name><Year>1970</Year></M></Hit><Hit Guid="g2"><M><Name>B</Name></M></Hit></R>')
     got = workbook.flat(workbook.hits(spark, str(tmp_path), "_Guid string, M struct<Name:string,Year:string>")).orderBy("guid").collect()
     assert [tuple(r) for r in got] == [("g1", "A", "1970"), ("g2", "B", None)]
+
+
+def test_names_formats_and_broken_books():
+    assert workbook.named([["Tel. (privat)", "Name  2"], ["1", "2"]])[0] == ["tel._(privat)", "name_2"]
+    assert workbook.sniff(b"<!-- export --><div><table><tr>") == workbook.HTML and workbook.sniff(b"", "text/html") == workbook.UNKNOWN
+    assert workbook.parse(b"a;b\n")[2] == "delimited without data rows"
+    whole = book([["A", "B"], ["1", "2"]])
+
+    def without(*parts):
+        out = io.BytesIO()
+        with zipfile.ZipFile(io.BytesIO(whole)) as old, zipfile.ZipFile(out, "w") as new:
+            for name in old.namelist():
+                if name not in parts:
+                    new.writestr(name, old.read(name))
+        return workbook.parse(out.getvalue())
+
+    for parts in (("xl/workbook.xml",), ("xl/_rels/workbook.xml.rels",)):
+        kind, sheets, error = without(*parts)
+        assert error is None and [rows for _, rows in sheets.values()][0] == [{"a": "1", "b": "2"}]
+    sheet = next(n for n in zipfile.ZipFile(io.BytesIO(whole)).namelist() if "worksheets" in n)
+    assert without(sheet)[2] == "ooxml without data rows"
+
+
+def test_columns_across_sheets():
+    headers = {"Personen": ["id_person", "nachname"], "Einsitze": ["id_einsitz", "datum_eintritt_jahr", "person_beruf"]}
+    assert workbook.find_column(headers, ["datum_eintritt_jahr", "jahr"]) == [("Einsitze", "datum_eintritt_jahr")]
+    assert workbook.find_column(headers, ["beruf"]) == [("Einsitze", "person_beruf")]
+    assert workbook.find_column(headers, ["gnd"]) == []
