@@ -23,8 +23,39 @@ class Check:
     column: str
 
 
+@dataclass(frozen=True)
+class Body:
+    """A chamber: its short name, its label, the item of its seat, and what its source calls it."""
+
+    council: str
+    position_qid: str
+    label: str = ""
+    group_name: str = ""
+    group_id: int | None = None
+
+    def __post_init__(self):
+        if not self.council.strip():
+            raise ValueError("a body needs a council")
+        if not _ITEM.fullmatch(self.position_qid):
+            raise ValueError(f"the position of {self.council} is {self.position_qid!r}, which is no item id")
+        if self.group_id is not None and (isinstance(self.group_id, bool) or not isinstance(self.group_id, int)):
+            raise ValueError(f"the group_id of {self.council} is {self.group_id!r}, which is no number")
+
+    @property
+    def row(self) -> dict:
+        return {"council": self.council, "label": self.label or self.council, "position_qid": self.position_qid}
+
+
+GROUPINGS = ("constituency", "group")
+
+
 @dataclass(frozen=True)
 class Config:
+    source: str = "federal"
+    language: str = "de"
+    group_by: str = "constituency"
+    bodies: tuple[Body, ...] = ()
+    roles: tuple[str, ...] = ()
     identifier_property: str = "P1307"
     identifier_verified: bool = True
     identifier_from_source: bool = True
@@ -44,6 +75,21 @@ class Config:
             raise ValueError(f"not a property or item id: {', '.join(map(repr, wrong))}")
         if self.statement_model not in (TENURE, PERIOD):
             raise ValueError(f"statement_model is {self.statement_model!r}; it can be {TENURE} or {PERIOD}")
+        if self.group_by not in GROUPINGS:
+            raise ValueError(f"group_by is {self.group_by!r}; it can be {' or '.join(GROUPINGS)}")
+        councils = [b.council.strip().upper() for b in self.bodies]
+        if twice := sorted({c for c in councils if councils.count(c) > 1}):
+            raise ValueError(f"councils that stand twice: {', '.join(twice)}")
+        if self.identifier_property in self.other_identifiers:
+            raise ValueError(f"{self.identifier_property} is the identifier and can't be another one too")
+        checked = [c.property_id for c in self.person_data]
+        if twice := sorted({p for p in checked if checked.count(p) > 1}):
+            raise ValueError(f"checks that stand twice: {', '.join(twice)}")
+        if self.biography_url and "{id}" not in self.biography_url:
+            raise ValueError("biography_url needs {id} where the person's id goes")
+        for name in ("constituencies", "parties", "parl_groups"):
+            if blank := [k for k in getattr(self, name) if not str(k).strip()]:
+                raise ValueError(f"{name} has {len(blank)} blank keys")
         if any(isinstance(n, bool) or not isinstance(n, int) for n in self.terms):
             raise ValueError("terms are keyed by period numbers")
 
@@ -56,6 +102,10 @@ class Config:
         own = dict(raw)
         if "person_data" in own:
             own["person_data"] = tuple(c if isinstance(c, Check) else Check(**c) for c in own["person_data"])
+        if "bodies" in own:
+            own["bodies"] = tuple(b if isinstance(b, Body) else Body(**b) for b in own["bodies"])
+        if "roles" in own:
+            own["roles"] = tuple(own["roles"])
         if "other_identifiers" in own:
             own["other_identifiers"] = tuple(own["other_identifiers"])
         return cls(**own)

@@ -57,6 +57,63 @@ def html_rows(found: DataFrame) -> Iterator[str]:
         yield "<tr>" + "".join(f"<td>{html.escape(r[c] or '')}</td>" for c in ("kind", "member_label", "person_qid", "detail")) + "</tr>"
 
 
+def file_name(council: str, label: str, ending: str = "md") -> str:
+    """A chamber's file: its council and the folded letters of its label."""
+    import re
+    import unicodedata
+
+    plain = "".join(c for c in unicodedata.normalize("NFKD", label) if not unicodedata.combining(c))
+    slug = re.sub(r"[\s_-]+", "-", re.sub(r"[^\w\s-]", "", plain).strip().lower())
+    return f"{council}-{slug}.{ending}"
+
+
+def by_body(members: DataFrame, found: DataFrame) -> DataFrame:
+    """A row for each council: members, matched by identifier and name, unmatched, hit rate, mismatched identifiers, and findings."""
+    n = lambda c, name: F.count_if(F.coalesce(c, F.lit(False))).alias(name)
+    wrong = F.size("mismatch_qids") > 0 if "mismatch_qids" in members.columns else F.lit(False)
+    own = members.groupBy("council").agg(F.count("*").alias("members"), n(F.col("qid_source") == "identifier", "by_identifier"), n(F.col("qid_source") == "name", "by_name"), n(F.col("qid").isNull(), "unmatched"), n(wrong, "mismatched"))
+    counts = found.groupBy("council").agg(F.count("*").alias("findings"))
+    rate = F.round(F.coalesce(F.try_divide(100 * F.col("by_identifier"), F.col("members")), F.lit(0.0)), 1)
+    return own.join(counts, "council", "left").withColumns({"findings": F.coalesce("findings", F.lit(0)), "hit_rate": rate})
+
+
+def kind_totals(found: DataFrame) -> DataFrame:
+    """Findings of each kind over all councils, the urgent first."""
+    return found.groupBy("kind", "priority").agg(F.count("*").alias("n")).orderBy("priority", "kind")
+
+
+def index_lines(members: DataFrame, found: DataFrame, bodies: list[dict], config: Config, generated: str) -> list[str]:
+    """The first page of a report: totals, a table of the chambers, and findings by kind. A row a chamber and a kind come to the driver."""
+    rows = {r["council"]: r for r in by_body(members, found).collect()}
+    kinds = kind_totals(found).collect()
+    ready = found.filter(rules.mechanical(config)).count()
+    total, people = sum(r["n"] for r in kinds), sum(r["members"] for r in rows.values())
+    out = ["# Suggested edits", "", f"Generated: {generated}", "", f"**{total} findings** for **{people} members** of **{len(bodies)} chambers**, {ready} of them ready as edit commands.", ""]
+    out += [f"| Chamber | Members | {config.identifier_property} | By name | Unmatched | Findings | Report |", "| --- | ---: | ---: | ---: | ---: | ---: | --- |"]
+    for body in sorted(bodies, key=lambda b: b["council"]):
+        r = rows.get(body["council"])
+        cells = (r["members"], f"{r['by_identifier']} ({r['hit_rate']:.0f} %)", r["by_name"], r["unmatched"], r["findings"]) if r else (0, "0 (0 %)", 0, 0, 0)
+        out.append(f"| {body['label']} ({body['position_qid']}) | " + " | ".join(map(str, cells)) + f" | [details]({file_name(body['council'], body['label'])}) |")
+    if kinds:
+        out += ["", "## Findings by kind", "", "| Kind | Priority | Count |", "| --- | ---: | ---: |", *[f"| {r['kind']} | {r['priority']} | {r['n']} |" for r in kinds]]
+    return out
+
+
+def page(found: DataFrame, title: str) -> Iterator[str]:
+    """An HTML page of all findings, line by line."""
+    yield f"<!doctype html><html><head><meta charset='utf-8'><title>{html.escape(title)}</title></head><body><h1>{html.escape(title)}</h1><table>"
+    yield "<tr><th>Kind</th><th>Member</th><th>Item</th><th>Detail</th></tr>"
+    yield from html_rows(found)
+    yield "</table></body></html>"
+
+
+def console(rows: DataFrame) -> str:
+    """A small result as JSON, keys in order."""
+    import json
+
+    return json.dumps([json.loads(x) for x in rows.toJSON().collect()], sort_keys=True, indent=2, ensure_ascii=False)
+
+
 def write(found: DataFrame, config: Config, retrieved, path: str) -> None:
     """The report's files under ``path``: findings as JSON lines, Markdown, and edit commands."""
     as_json(found).write.mode("overwrite").text(f"{path}/findings.json")
