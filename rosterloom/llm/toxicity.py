@@ -1,11 +1,12 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the n-grams of 3, 4 and 5 characters of a text with A-Z lower-cased, hashed into ``BUCKETS``
-buckets. A text's vector has the bucket's log-count ratio in each bucket that the text has:
+Features are the n-grams of 5 and 7 characters of a text with A-Z lower-cased, hashed into ``BUCKETS``
+buckets. A text's vector has log(1 + count) in each bucket, times the bucket's log-count ratio
 log((p / P) / (q / Q)), where p and q count the toxic and the other labelled texts that have the bucket, both
-smoothed by ``SMOOTH`` texts in the classes' own shares, and P and Q all of them. Buckets of fewer than
-``RARE`` texts get no weight: they name single texts. The vector is divided by the square root of its
-length, so that a few words weigh in a long text too. On it a logistic regression is trained by full gradient
+smoothed by ``SMOOTH`` times the root of P texts in the classes' own shares, and P and Q all of them. Buckets of fewer
+texts than ``RARE`` times that root, and those whose ratio is below ``WEAK``, get no weight: they name single texts, or say
+little, and without them so many features can't learn the sample by heart. The vector is scaled to length one. On it a
+logistic regression is trained by full gradient
 steps until its loss settles, in one task, with a somewhat larger weight for toxic texts, over at most ``MOST_ROWS`` labelled
 texts: those with the smallest seeded hash of their id, so the sample doesn't depend on how the tables are
 cut. Training and scoring take whole texts; the rows alone bound what the training task holds, some 12 bytes for
@@ -32,11 +33,12 @@ from pyspark.sql import functions as F
 
 from rosterloom.llm import textkernel as tk
 
-BITS = 18
+BITS = 19
 BUCKETS = 1 << BITS
-SIZES = (3, 4, 5)
-SMOOTH = 3.0
-RARE = 3
+SIZES = (5, 7)
+SMOOTH = 2.0
+RARE = 0.6
+WEAK = 0.7
 #: The bound of the labelled sample that is gathered and trained on.
 MOST_ROWS = 4_000
 SEED = 77
@@ -78,13 +80,12 @@ def buckets(low: np.ndarray, n: int) -> np.ndarray:
     return h >> np.uint32(32 - BITS)
 
 
-def features(data: np.ndarray) -> np.ndarray:
-    """The distinct buckets of one text."""
+def features(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct buckets of one text and log(1 + count) of each."""
     low = letters(data)
-    seen = np.zeros(BUCKETS, bool)
-    for n in SIZES:
-        seen[buckets(low, n)] = True
-    return np.flatnonzero(seen)
+    found = np.sort(np.concatenate([buckets(low, n) for n in SIZES]))
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+    return found[first].astype(np.int64), np.log1p(np.diff(np.append(first, len(found)))).astype(np.float32)
 
 
 @dataclass
@@ -98,17 +99,17 @@ class Model:
         self.square = (self.ratio * self.ratio).astype(np.float32)
 
     def score(self, data: np.ndarray) -> float:
-        at = features(data)
-        length = float(self.square[at].sum()) ** 0.25 or 1.0
-        z = self.bias + float(self.scaled[at].sum()) / length
+        at, value = features(data)
+        length = float(np.dot(self.square[at], value * value)) ** 0.5 or 1.0
+        z = self.bias + float(np.dot(self.scaled[at], value)) / length
         return float(1 / (1 + np.exp(-np.clip(z, -60, 60))))
 
 
 def ratios(toxic: np.ndarray, others: np.ndarray, n_toxic: int, n_others: int) -> np.ndarray:
     """Log-count ratios from the numbers of toxic and other texts that have each bucket."""
-    share = n_toxic / (n_toxic + n_others)
-    out = np.log((toxic + SMOOTH * share) / n_toxic) - np.log((others + SMOOTH * (1 - share)) / n_others)
-    out[toxic + others < RARE] = 0
+    share, smooth = n_toxic / (n_toxic + n_others), SMOOTH * n_toxic**0.5
+    out = np.log((toxic + smooth * share) / n_toxic) - np.log((others + smooth * (1 - share)) / n_others)
+    out[(toxic + others < RARE * n_toxic**0.5) | (np.abs(out) < WEAK)] = 0
     return out.astype(np.float32)
 
 
@@ -122,16 +123,16 @@ def train(texts: list[str], labels: list[int]) -> Model:
     blocks, counted = [], np.zeros((2, BUCKETS))
     for k in range(0, len(texts), BLOCK):
         data, offsets = tk.column_bytes(pa.array(texts[k : k + BLOCK], pa.string()))
-        parts = [features(data[a:b]).astype(np.int32) for a, b in zip(offsets[:-1], offsets[1:])]
-        for own, label in zip(parts, y[k : k + BLOCK]):
+        parts = [(at.astype(np.int32), value) for at, value in (features(data[a:b]) for a, b in zip(offsets[:-1], offsets[1:]))]
+        for (own, _), label in zip(parts, y[k : k + BLOCK]):
             counted[int(label)][own] += 1
         blocks.append((y[k : k + BLOCK], parts))
     ratio = ratios(counted[1], counted[0], int(y.sum()), int((1 - y).sum()))
     for k, (own, parts) in enumerate(blocks):
-        parts = [at[ratio[at] != 0] for at in parts]
-        doc, at = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p in parts]), np.concatenate(parts)
-        value = ratio[at]
-        length = np.bincount(doc, value * value, len(parts)) ** 0.25
+        parts = [(at[keep], value[keep]) for at, value in parts for keep in [ratio[at] != 0]]
+        doc, at = np.repeat(np.arange(len(parts), dtype=np.int32), [len(p) for p, _ in parts]), np.concatenate([p for p, _ in parts])
+        value = ratio[at] * np.concatenate([v for _, v in parts])
+        length = np.bincount(doc, value * value, len(parts)) ** 0.5
         blocks[k] = (own, doc, at, value / np.where(length > 0, length, 1)[doc].astype(np.float32))
     heavy = ((1 - y.mean()) / y.mean()) ** BALANCE
     weight, bias = np.zeros(BUCKETS, np.float32), float(np.log(heavy * y.mean() / (1 - y.mean())))
