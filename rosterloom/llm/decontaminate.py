@@ -44,8 +44,9 @@ COVERED = 0.8
 SHORTEST = 5
 #: From this length on, each passage that is accepted holds a seed of a mask.
 SPACED = 14
-#: The bit table has 16 bits for each test seed, and no more bits than this (64 MB).
+#: The bit table has some 64 bits for each test seed, and no more bits than two to this power (64 MB).
 MOST_BITS = 29
+PROBES = 8
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[tk.Words, np.ndarray]:
@@ -92,19 +93,28 @@ def item_seeds(own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Bits:
-    """A bit table over the low bits of seed hashes."""
+    """A Bloom filter of seed hashes: some 64 bits a seed and eight probes, so one position in ten million slips through."""
 
     def __init__(self, seeds_in_all: int):
-        self.width = min(MOST_BITS, max(16, int(np.ceil(np.log2(max(seeds_in_all, 1) * 16)))))
-        self.low = np.uint64((1 << self.width) - 1)
+        self.width = min(MOST_BITS, max(16, int(np.ceil(np.log2(max(seeds_in_all, 1) * 64)))))
         self.table = np.zeros(1 << (self.width - 3), np.uint8)
 
-    def add(self, places: np.ndarray) -> None:
-        np.bitwise_or.at(self.table, places >> 3, np.left_shift(1, places & 7).astype(np.uint8))
+    def probe(self, hashes: np.ndarray, k: int) -> np.ndarray:
+        """Probe k of each hash: low bits of the hash, then of the hash mixed with a salt."""
+        return ((tk.mix(hashes + np.uint64(k)) if k else hashes) & np.uint64((1 << self.width) - 1)).astype(np.int64)
 
-    def holds(self, hashes: np.ndarray) -> np.ndarray:
-        at = (hashes & self.low).astype(np.int64)
-        return (self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+    def add(self, hashes: np.ndarray) -> None:
+        for k in range(PROBES):
+            at = self.probe(hashes, k)
+            np.bitwise_or.at(self.table, at >> 3, np.left_shift(1, at & 7).astype(np.uint8))
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The positions whose hash the filter holds; each probe looks at those that the one before it left."""
+        left = np.arange(len(hashes))
+        for k in range(PROBES):
+            at = self.probe(hashes[left], k)
+            left = left[(self.table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1]
+        return left
 
 
 def segment(same: np.ndarray) -> tuple[int, int]:
@@ -145,17 +155,15 @@ def _seeded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _bits(seeded: DataFrame) -> Bits:
-    """The bit table of all seeds; the driver sees the low bits of a batch at a time."""
+    """The bit table of all seeds; the driver sees the distinct hashes of a batch at a time."""
     bits = Bits(seeded.count())
-    low = bits.low
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = np.unique(batch.column(0).to_numpy().view(np.uint64) & low).astype("<u4")
-            yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["places"])
+            yield pa.RecordBatch.from_arrays([pa.array([np.unique(batch.column(0).to_numpy()).tobytes()], pa.binary())], ["seeds"])
 
-    for row in seeded.select("seed").mapInArrow(run, "places binary").toLocalIterator():
-        bits.add(np.frombuffer(row["places"], "<u4").astype(np.int64))
+    for row in seeded.select("seed").mapInArrow(run, "seeds binary").toLocalIterator():
+        bits.add(np.frombuffer(row["seeds"], np.uint64))
     return bits
 
 
@@ -171,7 +179,7 @@ def _scan(shared, masks: list[str]):
                 hits = []
                 for mask in masks:
                     here = seeds(hashes, mask)
-                    at = np.flatnonzero(bits.holds(here))
+                    at = bits.find(here)
                     doc = np.searchsorted(words.first, at, "right") - 1
                     inside = at + len(mask) <= words.first[doc + 1]
                     hits.append((doc[inside], here[at[inside]].view(np.int64), (at[inside] - words.first[doc[inside]]).astype(np.int32)))
