@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import decontaminate, language, neardup, packing, sharding, substring, topk, toxicity, urlfilter, warc
+from rosterloom.llm import decontaminate, language, lmscore, neardup, packing, sharding, substring, topk, toxicity, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -54,6 +54,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lmscore.score(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_language": op2_language,
@@ -65,6 +69,7 @@ QUERIES = {
     "op8_packing": op8_packing,
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
+    "op11_lm": op11_lm,
 }
 
 ORACLES: dict[str, str] = {
