@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import decontaminate, language, lmscore, neardup, packing, sharding, substring, topk, toxicity, urlfilter, warc
+from rosterloom.llm import decontaminate, language, lmscore, neardup, packing, sharding, substring, topk, toxicity, treaps, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op11_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lmscore.score(spark, table(spark, sf_dir, "documents"))
 
 
+def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return treaps.rank(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_language": op2_language,
@@ -70,6 +74,7 @@ QUERIES = {
     "op9_sharding": op9_sharding,
     "op10_decontamination": op10_decontamination,
     "op11_lm": op11_lm,
+    "op12_search": op12_search,
 }
 
 ORACLES: dict[str, str] = {
@@ -78,4 +83,5 @@ ORACLES: dict[str, str] = {
     "op4_warc": warc.ORACLE,
     "op6_url_filters": urlfilter.oracle(),
     "op7_minhash": neardup.ORACLE,
+    "op12_search": treaps.ORACLE,
 }
