@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rosterloom.llm import decontaminate, language, lmscore, neardup, packing, sharding, substring, topk, toxicity, treaps, urlfilter, warc
+from rosterloom.llm import decontaminate, language, lmscore, neardup, packing, phrases, sharding, substring, topk, toxicity, treaps, urlfilter, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,6 +62,10 @@ def op12_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return treaps.rank(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op13_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(spark, table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_substring": op1_substring,
     "op2_language": op2_language,
@@ -75,6 +79,7 @@ QUERIES = {
     "op10_decontamination": op10_decontamination,
     "op11_lm": op11_lm,
     "op12_search": op12_search,
+    "op13_phrases": op13_phrases,
 }
 
 ORACLES: dict[str, str] = {
@@ -84,4 +89,5 @@ ORACLES: dict[str, str] = {
     "op6_url_filters": urlfilter.oracle(),
     "op7_minhash": neardup.ORACLE,
     "op12_search": treaps.ORACLE,
+    "op13_phrases": phrases.ORACLE,
 }
