@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rosterloom.functions.dates import EARLIEST, LATEST, date_of
+from rosterloom.operators.lineage import written
 
-#: The buckets that the days of two sides are cut into, at most: a bound on how often an open interval is repeated.
-MOST_BUCKETS = 1_000
+#: The rows of each side that a task of a sweep holds at once.
+CELL_ROWS = 2_048
 
 
 def _low(x: Column) -> Column:
@@ -38,30 +43,93 @@ def clip(s1: Column, e1: Column, s2: Column, e2: Column) -> tuple[Column, Column
 def overlap_join(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, str], small: bool = False) -> DataFrame:
     """All pairs of rows whose intervals overlap, unknown starts matching nothing.
 
-    Days are cut into buckets of a width taken from the data: about the median length of the known intervals of both
-    sides, so that most rows stand in one or two buckets. Rows meet in the buckets they touch, open ends reach to the last day of either
-    side, and a pair is kept only in the first bucket that both touch, so it comes once. With ``small`` the right
-    side is a dimension of at most some hundred rows by its nature (periods), which is broadcast.
+    With ``small`` the right side is a dimension of at most some hundred rows by its nature (periods), which is
+    broadcast. Two large sides meet in ``sweep``.
     """
     ls, le, rs, re_ = (F.col(c) for c in (*l, *r))
     if small:
         return left.join(F.broadcast(right), covers(ls, le, rs, re_))
-    left, right = (d.filter(F.col(s).isNotNull() & (F.col(s) <= _high(F.col(e)))) for d, (s, e) in ((left, l), (right, r)))
-    bounds = [d.agg(F.min(s).alias("lo"), F.max(F.coalesce(F.col(e), F.col(s))).alias("hi"), F.percentile_approx(F.datediff(e, s), 0.5).alias("mid")).first() for d, (s, e) in ((left, l), (right, r))]
-    known = [b for b in bounds if b["lo"] is not None]
-    width = max([1, *[b["mid"] or 1 for b in known]])
-    first, last = min((b["lo"] for b in known), default=None), max((b["hi"] for b in known), default=None)
-    if first is not None:
-        width = max(width, -(-(last - first).days // MOST_BUCKETS))
-    bucket = lambda day: F.floor(F.datediff(day, F.lit(first)) / width).cast("int")
-
-    def cut(d: DataFrame, s: str, e: str, name: str) -> DataFrame:
-        stop = F.greatest(F.col(s), F.least(F.coalesce(F.col(e), F.lit(last)), F.lit(last)))
-        return d.withColumn(name, F.explode(F.sequence(bucket(F.col(s)), bucket(stop))))
-
-    a, b = cut(left, *l, "_b1"), cut(right, *r, "_b2")
-    met = a.join(b, (F.col("_b1") == F.col("_b2")) & covers(ls, le, rs, re_) & (F.col("_b1") == F.greatest(bucket(ls), bucket(rs))))
-    return met.drop("_b1", "_b2")
+    return sweep(left, right, l, r)
+
+
+def _cells(cuts: np.ndarray):
+    """Rows with each cell that their interval touches, and whether they start there. ``cuts`` are the first days of the cells but the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            low, high = (batch.column(k).to_numpy() for k in (0, 1))
+            first, last = np.searchsorted(cuts, low, "right"), np.searchsorted(cuts, high, "right")
+            n = last - first + 1
+            row = np.repeat(np.arange(len(n)), n)
+            nth = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([*batch.take(pa.array(row)).columns, pa.array((first[row] + nth).astype(np.int32)), pa.array(nth == 0)], [*batch.schema.names, "_cell", "_starts"])
+
+    return run
+
+
+def _ranges(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, position) for all positions from low to high of each row."""
+    n = np.maximum(high - low, 0)
+    row = np.repeat(np.arange(len(n)), n)
+    return row, np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n) + low[row]
+
+
+def _swept(names: list[str], taken: tuple[list[str], list[str]]):
+    """The pairs of one cell: those of the rows that are active when another starts, found in the sorted starts."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        (ls, le, lnew), (rs, re_, rnew) = ([t[c].to_numpy() for c in ("_low", "_high", "_starts")] for t in (left, right))
+        pairs = []
+        # a right row that starts while the left one lasts, and a left row that starts after the right one has begun
+        for mine, last, other, new, side, after in ((ls, le, rs, rnew, 0, "left"), (rs, re_, ls, lnew, 1, "right")):
+            fresh = np.flatnonzero(new)
+            fresh = fresh[np.argsort(other[fresh], kind="stable")]
+            row, at = _ranges(np.searchsorted(other[fresh], mine, after), np.searchsorted(other[fresh], last, "right"))
+            pairs.append((row, fresh[at])[:: -1 if side else 1])
+        a, b = (pa.array(np.concatenate([p[k] for p in pairs])) for k in (0, 1))
+        return pa.table([*left.select(taken[0]).take(a).columns, *right.select(taken[1]).take(b).columns], names=names)
+
+    return run
+
+
+def sweep(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, str], cell_rows: int = CELL_ROWS) -> DataFrame:
+    """All pairs of rows whose intervals overlap, by a plane sweep over ranges of days.
+
+    The days are cut where the starts of both sides fall into cells of equal numbers, some ``cell_rows`` a side. A row
+    stands in the cell where it starts and, as active, in the later ones that it lasts into; a cell is one task's group, whose pairs are found in
+    sorted starts, each pair in the cell where its later row starts, so it comes once and only pairs that overlap
+    are looked at. Each copy of a long row meets a cell of starts, so copies are paid by results. A cell where many rows
+    start or last is cut into blocks of both sides. The driver gathers the cuts, no more than there are days between the
+    first start and the last, and two counts for each cell.
+    """
+    day = lambda c: F.datediff(c, F.lit("1970-01-01").cast("date"))
+    sides, names = [], [*left.columns, *right.columns]
+    for d, (s, e), tag in ((left, l, "l"), (right, r, "r")):
+        s, e = F.col(s), F.col(e)
+        own = [F.col(c).alias(f"_{tag}{k}") for k, c in enumerate(d.columns)]
+        sides.append(d.filter(s.isNotNull() & (s <= _high(e))).select(day(s).alias("_low"), day(_high(e)).alias("_high"), *own))
+    starts = sides[0].select("_low").unionByName(sides[1].select("_low"))
+    n = starts.count()
+    parts = max(1, -(-n // (2 * cell_rows)))
+    found = starts.agg(F.expr(f"percentile_approx(_low, transform(sequence(1, {parts - 1}), x -> x / {parts}D), {max(10_000, 4 * parts)})")).first()[0] if parts > 1 else []
+    cuts = np.unique(np.array(found or [], np.int64))
+    # written once: the counts, the blocks and the pairs have to see the same rows in the same order
+    dealt = [written(d.mapInArrow(_cells(cuts), _schema(d, "_cell int, _starts boolean")), "active") for d in sides]
+    counts = [{c["_cell"]: c["n"] for c in d.groupBy("_cell").agg(F.count("*").alias("n")).collect()} for d in dealt]
+    both = [(c, -(-counts[0][c] // cell_rows), -(-counts[1][c] // cell_rows)) for c in counts[0] if c in counts[1]]
+    blocks = F.broadcast(left.sparkSession.createDataFrame(both, "_cell int, _a int, _b int"))  # a row a cell
+    keys, chosen = ["_cell", "_i", "_j"], []
+    for d, own, other, (mine, its) in ((dealt[0], "_a", "_b", ("_i", "_j")), (dealt[1], "_b", "_a", ("_j", "_i"))):
+        met = d.join(blocks, "_cell").withColumn(mine, F.when(F.col(own) == 1, 0).otherwise(F.floor(F.rand(7) * F.col(own))).cast("int"))
+        chosen.append(met.withColumn(its, F.explode(F.sequence(F.lit(0), F.col(other) - 1))).drop("_a", "_b"))
+    own = [[c for c in d.columns if c not in ("_low", "_high")] for d in sides]
+    kinds = ", ".join(f"_{k} {f.dataType.simpleString()}" for k, f in enumerate([*left.schema, *right.schema]))
+    met = chosen[0].groupBy(*keys).cogroup(chosen[1].groupBy(*keys)).applyInArrow(_swept([f"_{k}" for k in range(len(names))], tuple(own)), kinds)
+    return met.toDF(*names)
+
+
+def _schema(df: DataFrame, more: str) -> str:
+    return ", ".join([*[f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema], more])
 
 
 def current_period(periods: DataFrame, number: str, s: str, e: str, today: Column) -> DataFrame:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rosterloom.operators.assign import settled
+
 
 def claimants(df: DataFrame, keys: Sequence[str], item: str) -> DataFrame:
     """Per key: how many distinct items claim it, and the item if it is one."""
@@ -44,29 +45,14 @@ def reverse_walk(items: DataFrame, held: DataFrame, held_ids: DataFrame, item: s
 
 
 def greedy_assign(candidates: DataFrame, group: str, member: str, order: str, item: str, score: str) -> DataFrame:
-    """Members in their order take their best candidate that is not taken yet.
-
-    Members compete only within ``group``. A group whose items are wanted by one member each needs no
-    order and is settled by a window; the others go through a fold of their own.
-    """
-    wanted = candidates.groupBy(group, item).agg(F.count("*").alias("_w"))
-    hard = wanted.groupBy(group).agg((F.max("_w") > 1).alias("_hard"))
-    marked = candidates.join(hard, group)
-    easy = marked.filter("NOT _hard").groupBy(group, member).agg(F.max_by(item, F.struct(F.col(score), -F.col(item))).alias(item))
-
-    def fold(batches: pd.DataFrame) -> pd.DataFrame:
-        taken, out = set(), []
-        for m, own in batches.sort_values([order, score, item], ascending=[True, False, True]).groupby(member, sort=False):
-            free = [i for i in own[item] if i not in taken]
-            if free:
-                taken.add(free[0])
-                out.append((batches[group].iloc[0], m, free[0]))
-        return pd.DataFrame(out, columns=[group, member, item])
-
-    kinds = dict(candidates.dtypes)
-    schema = f"{group} {kinds[group]}, {member} {kinds[member]}, {item} {kinds[item]}"
-    fought = marked.filter("_hard").drop("_hard").groupBy(group).applyInPandas(fold, schema)
-    return easy.select(group, member, item).unionByName(fought)
+    """Members in their order take their best candidate that is not taken yet; they compete only within ``group``."""
+    who, what = F.struct(group, order, member), F.struct(group, item)
+    pairs = candidates.select(who.alias("_who"), what.alias("_what"), F.col(score).alias("_score"))
+
+    def best(left: DataFrame) -> DataFrame:
+        return left.groupBy("_who").agg(F.max_by("_what", F.struct("_score", -F.col(f"_what.{item}"))).alias("_what"))
+
+    return settled(pairs, "_who", "_what", best, whole=False).select(f"_who.{group}", f"_who.{member}", f"_what.{item}")
 
 
 def two_signal_align(left: DataFrame, right: DataFrame, left_key: str, right_key: str, first: tuple[str, str], second: tuple[str, str]) -> DataFrame:

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window
 
 from rosterloom.functions import text
+from rosterloom.operators.assign import settled
 
 
 def corroborates(born: Column, last_name: Column, item_born: Column, label: Column, qid: Column) -> Column:
@@ -50,8 +50,8 @@ def by_name(members: DataFrame, candidates: DataFrame) -> DataFrame:
     named = candidates.select(text.folded(F.col("name")).alias("_n"), F.col("qid").alias("_q"), F.col("birth_date").alias("_b"), F.coalesce("has_position", F.lit(False)).alias("_seated")).dropDuplicates(["_n", "_q"])
     pairs = open_.join(named, F.col("_name") == F.col("_n")).filter("_b IS NULL OR _born IS NULL OR _b = _born")
     pairs = pairs.select("ord", "_q", "_seated", F.coalesce(F.col("_b") == F.col("_born"), F.lit(False)).alias("_agrees"))
-    settled = _settled(pairs)
-    met = members.join(settled.select(F.col("ord").alias("_o"), "_q"), F.col("ord") == F.col("_o"), "left")
+    chosen = settled(pairs, "ord", "_q", _picks, whole=True)
+    met = members.join(chosen.select(F.col("ord").alias("_o"), "_q"), F.col("ord") == F.col("_o"), "left")
     return met.select(*[c for c in members.columns if c not in ("qid", "qid_source")], F.coalesce("qid", "_q").alias("qid"), F.when(F.col("qid").isNull() & F.col("_q").isNotNull(), "name").otherwise(F.col("qid_source")).alias("qid_source")).select(members.columns)
 
 
@@ -64,45 +64,6 @@ def _picks(pairs: DataFrame) -> DataFrame:
     return counted.select("ord", pick.alias("_q")).filter("_q IS NOT NULL")
 
 
-def _settled(pairs: DataFrame) -> DataFrame:
-    """The picks of members in order, each item once.
-
-    Members that compete for an item, directly or through others, are few; a member none of whose
-    candidates another member has is settled by its own pick. The others go through a fold of their
-    own, a group for each item's connected competitors, found by the least member they reach.
-    """
-    wanted = pairs.groupBy("_q").agg(F.min("ord").alias("_first"), F.count("*").alias("_m"))
-    linked = pairs.join(wanted, "_q")
-    lone = Window.partitionBy("ord")
-    marked = linked.withColumn("_most", F.max("_m").over(lone))
-    easy = _picks(marked.filter("_most = 1"))
-    fought = marked.filter("_most > 1").select("ord", "_q", "_seated", "_agrees")
-
-    def fold(own):
-        import pandas as pd
-
-        taken, out = set(), []
-        for o, group in own.sort_values("ord").groupby("ord", sort=True):
-            free = group[~group["_q"].isin(taken)]
-            agree, seated = free[free["_agrees"]], free[free["_seated"]]
-            pick = None
-            if len(agree) == 1:
-                pick = agree["_q"].iloc[0]
-            elif len(agree) == 0 and len(seated) == 1:
-                pick = seated["_q"].iloc[0]
-            elif len(agree) == 0 and len(seated) == 0 and len(free) == 1:
-                pick = free["_q"].iloc[0]
-            if pick is not None:
-                taken.add(pick)
-                out.append((o, pick))
-        return pd.DataFrame(out, columns=["ord", "_q"])
-
-    from rosterloom.operators.graph import reach
-
-    groups = reach(fought, "ord", "_q")
-    return easy.unionByName(fought.join(groups, "ord").groupBy("group").applyInPandas(fold, "ord long, _q string"))
-
-
 def unresolved_names(members: DataFrame) -> DataFrame:
     """The names to search for, each once, in the order of the rows."""
     names = members.filter(F.col("qid").isNull()).groupBy(text.tidy(F.col("full_name")).alias("name")).agg(F.min("ord").alias("ord"))

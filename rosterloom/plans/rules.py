@@ -8,9 +8,8 @@ priority and folded label; ties keep the order in which they arise (step, row, r
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -81,31 +80,23 @@ def _held(statements: DataFrame, body: dict) -> DataFrame:
     return statements.filter(F.col("position_qid") == body["position_qid"])
 
 
-def _consuming(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each expected statement in turn takes one of those left: by a shared term, else by overlapping
-    dates, else a lone undated one."""
-    for frame in batches:
-        out = []
-        for ord_, exp, held in zip(frame["ord"], frame["exp"], frame["held"]):
-            left = sorted(held if held is not None else [], key=lambda h: h["ord"])
-            for k, want in enumerate(exp):
-                terms, pick = set(want["terms"]), None
-                lo, hi = want["p_start"] or pd.Timestamp.min.date(), want["p_end"] or pd.Timestamp.max.date()
-                for h in left:
-                    if terms & set(h["terms"] if h["terms"] is not None else []):
-                        pick = h
-                        break
-                if pick is None:
-                    for h in left:
-                        if (h["start"] or h["end"]) and (h["start"] is None or h["start"] <= hi) and (h["end"] is None or lo <= h["end"]):
-                            pick = h
-                            break
-                if pick is None and len(left) == 1 and not left[0]["start"] and not left[0]["end"]:
-                    pick = left[0]
-                if pick is not None:
-                    left = [h for h in left if h is not pick]
-                out.append((ord_, k, pick["statement_id"] if pick is not None else None))
-        yield pd.DataFrame(out, columns=["ord", "k", "statement_id"]).astype({"ord": "int64", "k": "int64"})
+def _consumed(exp: Column, held: Column) -> Column:
+    """For each expected statement in turn the place of the one of ``held`` that it takes, or null: by a shared term,
+    else by overlapping dates, else a lone undated one. A fold within the row: what is left and what was taken."""
+    listed = lambda x: F.coalesce(x, F.array().cast("array<string>"))
+    undated = lambda h: h["start"].isNull() & h["end"].isNull()
+
+    def step(acc: Column, want: Column) -> Column:
+        left = acc["left"]
+        first = lambda fits: F.get(F.transform(F.filter(left, fits), lambda h: h["at"]), 0)
+        shared = first(lambda h: F.coalesce(F.arrays_overlap(listed(h["terms"]), listed(want["terms"])), F.lit(False)))
+        dated = first(lambda h: ~undated(h) & intervals.overlaps(h["start"], h["end"], want["p_start"], want["p_end"]))
+        lone = F.when(F.size(left) == 1, first(undated))
+        pick = F.coalesce(shared, dated, lone)
+        return F.struct(F.filter(left, lambda h: pick.isNull() | (h["at"] != pick)).alias("left"), F.concat(acc["taken"], F.array(pick)).alias("taken"))
+
+    places = F.transform(held, lambda h, k: F.struct(k.alias("at"), h["start"].alias("start"), h["end"].alias("end"), h["terms"].alias("terms")))
+    return F.aggregate(exp, F.struct(places.alias("left"), F.array().cast("array<int>").alias("taken")), step, lambda acc: acc["taken"])
 
 
 def matched(members: DataFrame, statements: DataFrame, config: Config, body: dict) -> DataFrame:
@@ -118,12 +109,12 @@ def matched(members: DataFrame, statements: DataFrame, config: Config, body: dic
     if config.statement_model != PERIOD:
         best = dedup.top1(columns, ["s_qid"], [F.col("s_end").isNull().desc(), F.col("s_start").desc_nulls_last(), F.col("s_ord")])
         return own.withColumn("e", F.col("exp")[0]).withColumn("k", F.lit(0)).join(best, F.col("qid") == F.col("s_qid"), "left")
-    lists = held.groupBy("qid").agg(F.collect_list(F.struct("ord", "statement_id", "start", "end", "terms")).alias("held")).withColumnRenamed("qid", "_lq")
-    pairs = own.join(lists, F.col("qid") == F.col("_lq"), "left").select("ord", "exp", "held").mapInPandas(_consuming, "ord long, k long, statement_id string")
-    rows = own.select("*", F.posexplode("exp").alias("k", "e"))
-    pairs = pairs.select(F.col("ord").alias("_o"), F.col("k").alias("_k"), F.col("statement_id").alias("_sid"))
-    rows = rows.join(pairs, (F.col("ord") == F.col("_o")) & (F.col("k") == F.col("_k"))).drop("_o", "_k")
-    return rows.join(columns, (F.col("_sid") == F.col("s_statement_id")) & (F.col("qid") == F.col("s_qid")), "left").drop("_sid")
+    # the statements of an item for one seat, in order, with all their columns: what a row takes needs no second join
+    lists = columns.groupBy("s_qid").agg(F.array_sort(F.collect_list(F.struct("s_ord", "s_statement_id", *[c for c in columns.columns if c not in ("s_ord", "s_statement_id")]))).alias("_held")).withColumnRenamed("s_qid", "_lq")
+    plain = F.transform("_held", lambda h: F.struct(h["s_start"].alias("start"), h["s_end"].alias("end"), h["s_terms"].alias("terms")))
+    rows = own.join(lists, F.col("qid") == F.col("_lq"), "left").withColumn("_taken", _consumed(F.col("exp"), F.coalesce(plain, F.array())))
+    rows = rows.select("*", F.posexplode("exp").alias("k", "e")).withColumn("_s", F.get("_held", F.get("_taken", F.col("k"))))
+    return rows.select(*own.columns, "k", "e", *[F.col("_s").getField(c).alias(c) for c in columns.columns])
 
 
 def statement_findings(rows: DataFrame, config: Config, body: dict, today: Column) -> DataFrame:

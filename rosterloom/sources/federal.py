@@ -49,6 +49,19 @@ def periods(rows: DataFrame) -> DataFrame:
     return base.shaped(dedup.keep_first_dated(own.filter("number IS NOT NULL"), ["number"], "start", ["ord"]), PERIODS)
 
 
+def period_ids(rows: DataFrame) -> DataFrame:
+    """(id, number) of each period's row: ballots name periods by the id of a row, all else by number."""
+    own = rows.select(text.as_int(F.col("ID")).alias("id"), text.as_int(F.col("LegislativePeriodNumber")).cast("int").alias("number"))
+    return own.filter("id IS NOT NULL AND number IS NOT NULL").distinct()
+
+
+def corrected(found: DataFrame, tenures: DataFrame) -> int:
+    """How many members' starts the chained spells move."""
+    starts = tenures.select(F.col("person_key").alias("_p"), F.upper("council").alias("_c"), F.col("start").alias("_s"))
+    met = found.join(starts, (F.col("person_key") == F.col("_p")) & (F.upper("council") == F.col("_c")))
+    return met.filter(F.col("_s").isNotNull() & ~F.coalesce("tenure_start", "date_joining").eqNullSafe(F.col("_s"))).count()
+
+
 def with_tenure_starts(found: DataFrame, tenures: DataFrame) -> DataFrame:
     """Members whose seat began before their latest row says: the start of the chained spell."""
     starts = tenures.select(F.col("person_key").alias("_p"), F.upper("council").alias("_c"), F.col("start").alias("_s"))
