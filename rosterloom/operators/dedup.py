@@ -50,3 +50,10 @@ def fold_fanout(df: DataFrame, keys: Sequence[str], firsts: dict[str, str], list
     aggs = [F.min_by(c, order).alias(name) for name, c in firsts.items()]
     aggs += [F.array_sort(F.collect_set(c)).alias(name) for name, c in lists.items()]
     return df.groupBy(*keys).agg(*aggs)
+
+
+def first_of_each(keys: DataFrame, rows: DataFrame, key: str, of: str, order: Sequence[str]) -> DataFrame:
+    """Each of ``keys`` with the first of its rows: a lateral lookup of one row, which the optimizer turns into a join and a
+    window over the rows. A key without rows is absent."""
+    own = rows.filter(F.col(of) == F.col(key).outer()).orderBy(*order).limit(1)
+    return keys.lateralJoin(own)

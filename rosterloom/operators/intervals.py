@@ -109,10 +109,10 @@ def sweep(left: DataFrame, right: DataFrame, l: tuple[str, str], r: tuple[str, s
         own = [F.col(c).alias(f"_{tag}{k}") for k, c in enumerate(d.columns)]
         sides.append(d.filter(s.isNotNull() & (s <= _high(e))).select(day(s).alias("_low"), day(_high(e)).alias("_high"), *own))
     starts = sides[0].select("_low").unionByName(sides[1].select("_low"))
-    n = starts.count()
-    parts = max(1, -(-n // (2 * cell_rows)))
-    found = starts.agg(F.expr(f"percentile_approx(_low, transform(sequence(1, {parts - 1}), x -> x / {parts}D), {max(10_000, 4 * parts)})")).first()[0] if parts > 1 else []
-    cuts = np.unique(np.array(found or [], np.int64))
+    days = np.array([(r["_low"], r["n"]) for r in starts.groupBy("_low").agg(F.count("*").alias("n")).collect()], np.int64).reshape(-1, 2)  # a row a day
+    days = days[np.argsort(days[:, 0])]
+    before = np.cumsum(days[:, 1]) - days[:, 1]
+    cuts = days[1:, 0][np.diff(before // (2 * cell_rows)) > 0]
     # written once: the counts, the blocks and the pairs have to see the same rows in the same order
     dealt = [written(d.mapInArrow(_cells(cuts), _schema(d, "_cell int, _starts boolean")), "active") for d in sides]
     counts = [{c["_cell"]: c["n"] for c in d.groupBy("_cell").agg(F.count("*").alias("n")).collect()} for d in dealt]

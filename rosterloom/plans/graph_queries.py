@@ -204,9 +204,14 @@ def verdict_qualifier_readiness(t):
     return verdicts.qualifier_readiness(t.nation, used, "n_name", "l", 12)
 
 
-@query("SELECT 3::BIGINT AS id_columns, 'c_guid, id, order_number' AS named, 'CONTRADICTED' AS verdict")
+@query("""c AS (SELECT unnest(['c_guid', 'id', 'order_number']) AS column_name, unnest([c_custkey, CASE WHEN c_custkey % 3 = 0 THEN -c_custkey END, NULL]) AS cell FROM customer),
+k AS (SELECT column_name, cell, count(*) AS n FROM c GROUP BY 1, 2), o AS (SELECT DISTINCT o_custkey FROM orders),
+j AS (SELECT column_name, coalesce(sum(n) FILTER (cell IS NOT NULL), 0)::BIGINT AS filled, count(cell)::BIGINT AS keys, count(o_custkey)::BIGINT AS known FROM k LEFT JOIN o ON o_custkey = cell GROUP BY 1)
+SELECT *, CASE WHEN filled = 0 THEN 'INCONCLUSIVE' WHEN known = 0 THEN 'CONTRADICTED' ELSE 'CONFIRMED' END AS verdict FROM j""")
 def verdict_joinability(t):
-    return verdicts.joinability(t.customer.select(F.col("c_custkey").alias("c_guid"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("order_number"), "c_name", F.col("c_name").alias("paid")))
+    k = F.col("c_custkey")
+    rows = t.customer.select(k.alias("c_guid"), F.when(k % 3 == 0, -k).alias("id"), F.lit(None).cast("string").alias("order_number"), "c_name", F.col("c_name").alias("paid"))
+    return verdicts.joinability(rows, t.orders, "o_custkey")
 
 
 @query("SELECT count(*)::BIGINT AS members, count_if(c_custkey % 6 = 0)::BIGINT AS covered, 'CONFIRMED' AS verdict, 'place, city' AS columns FROM customer")

@@ -6,7 +6,8 @@ year a legislative period, a part or supplier an item of the graph.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,6 +22,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+@contextmanager
+def registered() -> Iterator[tuple[dict, dict]]:
+    """What ``query`` registers meanwhile, by itself."""
+    global QUERIES, ORACLES
+    before, QUERIES, ORACLES = (QUERIES, ORACLES), {}, {}
+    try:
+        yield QUERIES, ORACLES
+    finally:
+        QUERIES, ORACLES = before
+
+
 class Tables:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.sf_dir = spark, sf_dir

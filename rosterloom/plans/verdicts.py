@@ -152,12 +152,20 @@ def id_columns(columns: list[str]) -> list[str]:
     return [c for c in columns if any(part == h or (len(h) > 2 and part.endswith(h)) for part in c.lower().split("_") for h in ID_HINTS)]
 
 
-def joinability(df: DataFrame) -> DataFrame:
-    """Whether anything in a source could join with the graph: no key-like column decides nothing, and keys of the
-    source's own make, which no property holds, say no."""
+def joinability(df: DataFrame, known: DataFrame, value: str) -> DataFrame:
+    """Whether anything in a source could join with the graph: a row for each column that looks like a key, with its filled and
+    its distinct values and how many of those the graph holds (``known``, normalised), and the verdict over all of them. No
+    key-like column, or only empty ones, decides nothing; keys of the source's own make, which no property holds, say no."""
     found = id_columns(df.columns)
-    row = df.sparkSession.range(1).select(F.lit(len(found)).cast("bigint").alias("id_columns"), F.lit(", ".join(found)).alias("named"))
-    return row.withColumn("verdict", verdict((F.col("id_columns") == 0, INCONCLUSIVE), (F.lit(True), CONTRADICTED)))
+    if not found:
+        return df.limit(0).select(*[F.lit(None).cast(k).alias(n) for n, k in (("column_name", "string"), ("filled", "bigint"), ("keys", "bigint"), ("known", "bigint"), ("verdict", "string"))])
+    cells = df.select(*[F.col(c).cast("string").alias(c) for c in found]).unpivot([], found, "column_name", "cell").withColumn("cell", text.id_normal(F.col("cell")))
+    keys = cells.groupBy("column_name", "cell").agg(F.count("*").alias("n"))
+    held = known.select(text.id_normal(F.col(value)).alias("_v")).filter("_v <> ''").distinct()
+    met = keys.join(held, F.col("cell") == F.col("_v"), "left")
+    filled = F.coalesce(F.col("cell") != "", F.lit(False))
+    own = met.groupBy("column_name").agg(F.coalesce(F.sum(F.when(filled, F.col("n"))), F.lit(0)).alias("filled"), F.count_if(filled).alias("keys"), F.count("_v").alias("known"))
+    return own.withColumn("verdict", verdict((F.col("filled") == 0, INCONCLUSIVE), (F.col("known") == 0, CONTRADICTED)))
 
 
 def identifier_columns(columns: list[str]) -> dict[str, str]:
