@@ -6,16 +6,17 @@ where the phrase that begins there gets too rare:
 
 1. Each task counts the hashes of all phrases of 1 to ``MOST_WORDS`` words in slots, which saturate at the
    least count; the slots of all tasks are summed. A phrase in a slot below the least count is too rare for certain. The table has
-   some slot for each 50 bytes of text, and no more than two to the power ``MOST_BITS``: 4 MB of bits are all that is broadcast.
-   A larger corpus only lets more suffixes grow to their full length.
+   two to the power ``SLOT_BITS`` slots at any size, of which 2 MB of bits are broadcast; a larger corpus fills it, and more
+   suffixes grow to their full length.
 2. Each position gives the longest suffix, of ``MOST_WORDS`` words at most, all of whose parts may be frequent. Equal ones of a
-   block become one row with a count. They are shuffled by language and first word, a first word's suffixes over ``SALTS``
-   tasks, and sorted in reverse order, so each comes before its own prefixes. One stack of words counts all
-   prefixes in one pass: what leaves the stack is counted and its count goes on to the word below. The salts' counts are
-   summed.
+   block become one with a count, and those of a language and a hash of the first word, which may be hot, and the second,
+   are packed into one row; single words go by their own hash beside them. A task sorts the suffixes of such a bucket in reverse order,
+   so each comes before its own prefixes, and one stack of words counts all prefixes in one pass: a word leaves the stack
+   with all that was counted since it came. So each phrase is counted in one place.
 3. Parts are joined to the candidates from the table of counts, and scores are whole numbers in decimals of 38 digits.
 
-Counts are exact. A task holds a block of texts or a stack; no key's rows are gathered in one place.
+Counts are exact but for collisions of 64-bit hashes. A task holds a block of texts, or the distinct suffixes of one bucket,
+of which each is frequent by its hash; rows of a bucket are read one at a time.
 
 Cases: a null language is ``und``, a null text empty; a lang with fewer phrases than asked for returns all; repeated rows
 count each; an empty table returns nothing; other columns are not read.
@@ -38,11 +39,14 @@ LEAST = 100
 MOST_WORDS = 5
 TOP = 2000
 INSIDE_PERCENT = 100
-MOST_BITS = 25
-BYTES_A_SLOT = 50
+SLOT_BITS = 24
 PIECE_BITS = 16
-SALTS = 8
-BLOCK_BYTES = 12 << 20
+BLOCK_BYTES = 6 << 20
+#: A bucket's share of the texts, and the buckets beyond which the shares grow.
+BUCKET_BYTES = 8 << 20
+MOST_BUCKETS = 1 << 14
+#: A task joins equal suffixes of a bucket when it holds so many.
+JOIN_AT = 1 << 18
 _U = np.uint64
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -50,6 +54,8 @@ _BREAKS = np.zeros(256, bool)
 _BREAKS[[*b".,;:!?", *range(0x0A, 0x0E)]] = True
 _GAPS = _BREAKS.copy()
 _GAPS[[0x20, 0x09]] = True
+_ENDS = np.zeros(256, bool)
+_ENDS[[0x20, 0x0A]] = True
 _FACTORS = tuple(_U(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA3B195354A39B70D))
 
 
@@ -120,105 +126,166 @@ def _frequent(bits: int, least: int):
     return run
 
 
-def _sliced(data: np.ndarray, begin: np.ndarray, size: np.ndarray) -> pa.Array:
-    """The byte ranges as strings."""
-    offsets = np.concatenate(([0], np.cumsum(size)))
-    taken = data[np.repeat(begin - offsets[:-1], size) + np.arange(int(offsets[-1]))] if offsets[-1] else data[:0]
-    return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(taken.tobytes())).cast(pa.string())
-
-
-def _suffixes(shared, bits: int, most: int, limit: int):
-    """lang, first word, suffix, n: the distinct truncated suffixes of a block; and the number of its words, with no suffix."""
+def _suffixes(shared, bits: int, buckets: int, most: int, limit: int):
+    """The distinct truncated suffixes of a block with their counts, packed by bucket and language; and how many words a task has seen, in bucket -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        frequent = shared.value
+        frequent, words = shared.value, {}
         for langs, block in _blocks(batches, limit):
             n = len(block.hash)
-            for lang in set(langs):
-                own = int(block.counts[np.array([x == lang for x in langs])].sum())
-                yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.nulls(1, pa.string()), pa.nulls(1, pa.string()), pa.array([own])], ["lang", "first", "suffix", "n"])
+            for lang, own in zip(langs, block.counts.tolist()):
+                words[lang] = words.get(lang, 0) + own
             if not n:
                 continue
-            length, key, alive = np.zeros(n, np.int64), np.zeros(n, _U), np.ones(n, bool)
+            length, alive = np.zeros(n, np.int64), np.ones(n, bool)
             for value, fits in block.phrases(most):
                 slot = _slots(value, bits)
                 alive = alive[: len(value)] & fits & ((frequent[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1)
                 length[: len(value)] += alive
             for _ in range(most - 1):  # a phrase is no more frequent than what follows its first word
                 length[:-1] = np.minimum(length[:-1], length[1:] + 1)
+            key = block.hash.copy()
             for k, (value, _) in enumerate(block.phrases(most), 1):
-                at = np.flatnonzero(length[: len(value)] == k)
-                key[at] = value[at]
-            at = np.flatnonzero(length)
-            _, one, times = np.unique(key[at] + length[at].astype(_U), return_index=True, return_counts=True)
-            one = at[one]
-            # the words with one space behind each
-            size = block.end - block.start + 1
-            begin = np.cumsum(size) - size
-            flat = np.append(block.data, np.uint8(32))[np.minimum(np.repeat(block.start - begin, size) + np.arange(int(size.sum())), len(block.data))]
-            flat[begin + size - 1] = 32
-            last = one + length[one] - 1
-            names = pa.array([langs[d] for d in block.doc[one].tolist()], pa.string())
-            rows = [names, _sliced(flat, begin[one], size[one] - 1), _sliced(flat, begin[one], begin[last] + size[last] - 1 - begin[one]), pa.array(times)]
-            for a in range(0, len(one), 10_000):
-                yield pa.RecordBatch.from_arrays([x.slice(a, 10_000) for x in rows], ["lang", "first", "suffix", "n"])
+                at = np.flatnonzero((length[: len(value)] == k) & (k > 1))
+                key[at] = value[at] + _U(k)
+            begin, size, times = [], [], []
+            for at, lengths, keys in ((np.flatnonzero(length > 1), length, key), (np.flatnonzero(length > 0), np.ones(n, np.int64), block.hash)):
+                _, one, c = np.unique(keys[at], return_index=True, return_counts=True)
+                begin.append(at[one]), size.append(lengths[at[one]]), times.append(c)
+            begin, size, times = (np.concatenate(x) for x in (begin, size, times))
+            names = sorted(set(langs))
+            lang = np.array([names.index(x) for x in langs])[block.doc[begin]]
+            deal = block.hash[begin] + np.where(size > 1, block.hash[np.minimum(begin + 1, n - 1)] * _FACTORS[2], _U(0))
+            group = (tk.mix(deal) % _U(buckets)).astype(np.int64) * len(names) + lang
+            order = np.lexsort((block.hash[begin], group))
+            begin, size, times, group = begin[order], size[order], times[order], group[order]
+            # the block's words with one space behind each, and of them each suffix with a line end
+            wide = block.end - block.start + 1
+            place = np.cumsum(wide) - wide
+            flat = np.append(block.data, np.uint8(32))[np.minimum(np.repeat(block.start - place, wide) + np.arange(int(wide.sum())), len(block.data))]
+            flat[place + wide - 1] = 32
+            last = begin + size - 1
+            spans = place[last] + wide[last] - place[begin]
+            ends = np.cumsum(spans)
+            text = flat[np.repeat(place[begin] - (ends - spans), spans) + np.arange(int(ends[-1]) if len(ends) else 0)]
+            text[ends - 1] = 10
+            cuts = [0, *(np.flatnonzero(np.diff(group)) + 1).tolist(), len(group)] if len(group) else [0]
+            rows = []
+            for a, b in zip(cuts, cuts[1:]):
+                own = text[ends[a] - spans[a] : ends[b - 1]]
+                rows.append((int(group[a]) // len(names), names[int(group[a]) % len(names)], b - a, len(own), _zipped(own), _zipped(times[a:b].astype(np.int32))))
+            yield _packed_rows(rows)
+        yield _packed_rows([(-1, lang, n, 0, b"", b"") for lang, n in words.items()])
 
     return run
 
 
-def _stacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The counts of all prefixes of sorted suffixes."""
-    lang, words, counts = None, [], []
-    out: tuple[list, list, list] = ([], [], [])
+_PACKED = "bucket int, lang string, n bigint, size bigint, text binary, counts binary"
+
+
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    kinds = (pa.int32(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], [c.split()[0] for c in _PACKED.split(", ")])
+
+
+def _zipped(x: np.ndarray) -> bytes:
+    return pa.compress(x.tobytes(), "zstd", asbytes=True)
+
+
+class Suffixes:
+    """The suffixes of one bucket and language: their words' hashes in columns, counts, and texts; equal ones are joined when many came."""
+
+    def __init__(self, most: int):
+        self.most, self.held, self.n, self.joined = most, [], 0, 0
+
+    def add(self, text: np.ndarray, counts: np.ndarray) -> None:
+        words = tk.Words(text, np.array([0, len(text)]), _ENDS)
+        suffix = np.cumsum(text == 10)[words.start]
+        first = np.searchsorted(suffix, np.arange(len(counts) + 1))
+        place = np.arange(len(words)) - np.repeat(first[:-1], np.diff(first))
+        hashes, ends = np.zeros((self.most, len(counts)), _U), np.zeros((self.most, len(counts)), np.int64)
+        hashes[place, suffix], ends[place, suffix] = words.hashes() | _U(1), words.end
+        self.held.append((hashes, ends - words.start[first[:-1]], words.start[first[:-1]], counts.astype(np.int64), text))
+        self.n += len(counts)
+        if self.n > JOIN_AT + 2 * self.joined:
+            self.sort()
+
+    def sort(self) -> tuple[np.ndarray, ...]:
+        """All in reverse order, longer ones before their prefixes, each once."""
+        base = np.cumsum([0, *[len(h[4]) for h in self.held]])
+        hashes, ends, counts = (np.concatenate([h[k] for h in self.held], -1) for k in (0, 1, 3))
+        begin, text = np.concatenate([h[2] + b for h, b in zip(self.held, base)]), np.concatenate([h[4] for h in self.held])
+        order = np.lexsort(hashes[::-1])[::-1]
+        hashes = hashes[:, order]
+        new = np.ones(len(order), bool)
+        new[1:] = (hashes[:, 1:] != hashes[:, :-1]).any(0)
+        at = np.flatnonzero(new)
+        counts = np.add.reduceat(counts[order], at) if len(at) else counts[:0]
+        hashes, ends, begin = hashes[:, at], ends[:, order[at]], begin[order[at]]
+        size = ends.max(0) if len(at) else np.zeros(0, np.int64)
+        own = np.cumsum(size) - size
+        text = text[np.repeat(begin - own, size) + np.arange(int(size.sum()))]
+        self.held, self.n, self.joined = [(hashes, ends, own, counts, text)], len(at), len(at)
+        return self.held[0]
+
+    def prefixes(self, least: int) -> tuple[list[str], list[int]]:
+        """The phrases with at least ``least`` occurrences. The stack of sorted suffixes as arrays: its k-th word leaves where a row's
+        first k words differ from those of the row before, with all that was counted since it came. A bucket has all suffixes that begin with
+        two words, and, apart from them, all suffixes of one word."""
+        hashes, ends, begin, counts, text = self.sort()
+        phrases, found = [], []
+        for k in range(self.most):
+            rows = np.flatnonzero((hashes[k] != 0) if k else (hashes[1] == 0) if self.most > 1 else hashes[0] != 0)
+            if not len(rows):
+                continue
+            own = hashes[: k + 1, rows]
+            came = np.concatenate(([0], np.flatnonzero((own[:, 1:] != own[:, :-1]).any(0)) + 1))
+            total = np.add.reduceat(counts[rows], came)
+            for row, n in zip(rows[came[total >= least]].tolist(), total[total >= least].tolist()):
+                phrases.append(text[begin[row] : begin[row] + ends[k, row]].tobytes().decode("utf-8", "replace")), found.append(n)
+        return phrases, found
 
-    def pop(to: int) -> None:
-        while len(words) > to:
-            n = counts.pop()
-            out[0].append(lang), out[1].append(" ".join(words)), out[2].append(n)
-            words.pop()
-            if counts:
-                counts[-1] += n
 
-    def flush() -> pa.RecordBatch:
-        batch = pa.RecordBatch.from_arrays([pa.array(out[0], pa.string()), pa.array(out[1], pa.string()), pa.array(out[2], pa.int64())], ["lang", "phrase", "f"])
-        for column in out:
-            column.clear()
-        return batch
+def _stacked(least: int, most: int):
+    """The frequent phrases of sorted buckets, one bucket and language at a time."""
 
-    for batch in batches:
-        for name, suffix, n in zip(*(batch.column(k).to_pylist() for k in range(3))):
-            if suffix is None:
-                out[0].append(name), out[1].append(None), out[2].append(n)
-                continue
-            own, same = suffix.split(" "), 0
-            if name == lang:
-                while same < len(words) and same < len(own) and words[same] == own[same]:
-                    same += 1
-            pop(same)
-            lang = name
-            words += own[same:]
-            counts += [0] * (len(own) - same)
-            counts[-1] += n
-        yield flush()
-    pop(0)
-    yield flush()
-
-
-def counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, own = None, None
+
+        def flush() -> pa.RecordBatch:
+            phrases, found = ([None], [own]) if key[0] < 0 else own.prefixes(least)
+            return pa.RecordBatch.from_arrays([pa.array([key[1]] * len(found), pa.string()), pa.array(phrases, pa.string()), pa.array(found, pa.int64())], ["lang", "phrase", "f"])
+
+        for batch in batches:
+            for bucket, lang, n, size, text, counts in zip(*(batch.column(k) for k in range(6))):
+                if (bucket.as_py(), lang.as_py()) != key:
+                    if key is not None:
+                        yield flush()
+                    key = (bucket.as_py(), lang.as_py())
+                    own = 0 if key[0] < 0 else Suffixes(most)
+                if key[0] < 0:
+                    own += n.as_py()
+                else:
+                    own.add(np.frombuffer(pa.decompress(text.as_buffer(), size.as_py(), "zstd"), np.uint8), np.frombuffer(pa.decompress(counts.as_buffer(), 4 * n.as_py(), "zstd"), np.int32))
+        if key is not None:
+            yield flush()
+
+    return run
+
+
+def counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, block_bytes: int = BLOCK_BYTES, bucket_bytes: int = BUCKET_BYTES, bits: int = SLOT_BITS) -> DataFrame:
     """lang, phrase, f of every phrase with at least ``least`` occurrences; and a row a language with a null phrase and all its words."""
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
     size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    bits = min(MOST_BITS, max(PIECE_BITS, (size // BYTES_A_SLOT).bit_length()))
     pieces = texts.mapInArrow(_counted(bits, least, most), "piece bigint, seen binary")
     frequent = np.zeros(1 << bits - 3, np.uint8)
-    for r in pieces.repartition(F.col("piece")).mapInArrow(_frequent(bits, least), "piece bigint, seen binary").collect():  # 4 MB at most
+    for r in pieces.repartition(F.col("piece")).mapInArrow(_frequent(bits, least), "piece bigint, seen binary").collect():  # 2 MB
         at = r["piece"] << PIECE_BITS - 3
         frequent[at : at + (1 << PIECE_BITS - 3)] = np.frombuffer(r["seen"], np.uint8)
-    suffixes = texts.mapInArrow(_suffixes(spark.sparkContext.broadcast(frequent), bits, most, block_bytes), "lang string, first string, suffix string, n bigint")
-    salt = F.pmod(F.xxhash64("suffix"), F.lit(SALTS))
-    dealt = suffixes.repartition("lang", "first", salt).select("lang", "suffix", "n").sortWithinPartitions("lang", F.desc("suffix"))
-    found = dealt.mapInArrow(_stacked, "lang string, phrase string, f bigint").groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
-    return store.written(spark, found.filter((F.col("f") >= least) | F.col("phrase").isNull()), "phrases")
+    buckets = max(1, min(MOST_BUCKETS, -(-size // bucket_bytes)))
+    suffixes = texts.mapInArrow(_suffixes(spark.sparkContext.broadcast(frequent), bits, buckets, most, block_bytes), _PACKED)
+    dealt = suffixes.repartition("bucket").sortWithinPartitions("bucket", "lang")
+    return store.written(spark, dealt.mapInArrow(_stacked(least, most), "lang string, phrase string, f bigint"), "phrases")
 
 
 def mine(spark: SparkSession, docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, top: int = TOP, inside_percent: int = INSIDE_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
