@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import datetime as dt
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import reduce
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 
 from rosterloom import schema
 from rosterloom.config import Config
+from rosterloom.operators import lineage
 from rosterloom.plans import report, resolve, rules
 from rosterloom.sources import base, factory
 
@@ -22,6 +22,7 @@ Tables = Callable[[str], DataFrame]
 class Result:
     members: DataFrame
     findings: DataFrame
+    statements: DataFrame
 
 
 def run(spark: SparkSession, config: Config, source: Tables, graph: Tables, today: Column, limit: int | None = None, spans: DataFrame | None = None) -> Result:
@@ -36,23 +37,17 @@ def run(spark: SparkSession, config: Config, source: Tables, graph: Tables, toda
         raise ValueError("the source gives no members; nothing is compared")
     items, statements = graph("items"), graph("statements")
     members = resolve.by_identifier(members, items, corroborate=not config.identifier_verified)
-    members = resolve.by_name(members, graph("candidates")).persist()
+    members = lineage.written(resolve.by_name(members, graph("candidates")), "members")  # every pass reads them
     other = spans if spans is not None else base.empty(spark, schema.SPANS)
     found = []
     for body in config.bodies:
         own = members.filter(F.upper("council") == body.council.upper())
         found.append(rules.findings(body.row, own, items, statements, roster.periods, config, today, roster.tenures, roster.link_conflicts, other))
-    return Result(members, reduce(DataFrame.unionByName, found))
-
-
-def write(result: Result, config: Config, today: dt.date, path: str) -> None:
-    """All files of a report under ``path``: JSON lines, Markdown and edit commands through Spark's writers, and index and HTML page."""
-    report.write(result.findings, config, F.lit(today.isoformat()).cast("date"), path)
-    spark = result.members.sparkSession
-    lines = report.index_lines(result.members, result.findings, [b.row for b in config.bodies], config, today.isoformat())
-    for name, text in (("index.md", lines), ("report.html", report.page(result.findings, "Findings"))):
-        target = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
-        out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target, True)
-        for line in text:
-            out.write(bytearray((line + "\n").encode()))
-        out.close()
+    return Result(members, reduce(DataFrame.unionByName, found), statements)
+
+
+def write(result: Result, config: Config, generated: str, path: str) -> None:
+    """All files of a report under ``path``, from findings that are made once and written."""
+    found = lineage.written(result.findings, "findings")
+    report.write(result.members, found, result.statements, [b.row for b in config.bodies], config, generated, path)
+    lineage.removed(found)

@@ -1,11 +1,15 @@
 import datetime as dt
+import json
+import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from rosterloom import schema
 from rosterloom.config import Config
 from rosterloom.graph import plans
 from rosterloom.plans import report, rules, validate
+from rosterloom.sources import files
 from rosterloom.sources.base import as_members
 
 D = dt.date
@@ -23,13 +27,40 @@ def findings(spark):
 
 def test_reports(spark, tmp_path):
     found = findings(spark)
-    assert [r["value"] for r in report.markdown_lines(found).collect()] == ["## Bern", "- **ADD_START_DATE** [A](Q5): <why>", "## zug", "- **REVIEW_ENDED** [C](Q5): <why>", "## Other", "- **ADD_START_DATE** [b](Q5): <why>"]
-    lines = [r["value"] for r in report.as_json(found).collect()]
-    assert lines[0].startswith('{"kind":"REVIEW_ENDED","priority":1') and '"start":"2020-01-02"' in lines[0] and '"end"' not in lines[0]
-    assert list(report.html_rows(found))[0] == "<tr><td>REVIEW_ENDED</td><td>C</td><td>Q5</td><td>&lt;why&gt;</td></tr>"
     assert [(r["kind"], r["n"]) for r in report.by_kind(found).collect()] == [("REVIEW_ENDED", 1), ("ADD_START_DATE", 2)]
-    report.write(found, Config(), F.lit("2022-01-01").cast("date"), str(tmp_path))
-    assert spark.read.text(f"{tmp_path}/commands.txt").count() == 2
+    members = spark.createDataFrame([("NR", "identifier", "Q5"), ("NR", None, None)], "council string, qid_source string, qid string")
+    statements = spark.createDataFrame([("Q5", "Q1", None), ("Q6", "Q1", None), ("Q7", "Q1", D(2020, 1, 1)), ("Q8", "Q9", None)], "qid string, position_qid string, end date")
+    bodies = [dict(council="NR", label="Zürcher Rat & <Co>}", position_qid="Q1"), dict(council="SR", label="Empty", position_qid="Q2")]
+    report.write(members, found, statements, bodies, Config(), "2022-01-01", str(tmp_path))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["NR-zurcher-rat-co.md", "SR-empty.md", "commands.txt", "findings.json", "index.md", "report.html"]
+    page = (tmp_path / "NR-zurcher-rat-co.md").read_text().splitlines()
+    at = [page.index(x) for x in ("# Zürcher Rat & <Co>}", "- 2 members in the source", "- 2 items with an open statement", "- 2 ready as edit commands", "## By kind", "- REVIEW_ENDED: 1", "- ADD_START_DATE: 2", "## Bern", "- **ADD_START_DATE** [A](https://www.wikidata.org/wiki/Q5): <why>", "## zug", "## Other", "- **ADD_START_DATE** [b](https://www.wikidata.org/wiki/Q5): <why>")]
+    assert at == sorted(at)
+    index = (tmp_path / "index.md").read_text()
+    links = re.findall(r"\]\(([^)]*)\)", index)
+    assert len(links) == 5 and all((tmp_path / x).exists() for x in links) and "3. ADD_START_DATE, 2 times" in index
+    document = json.loads((tmp_path / "findings.json").read_text())
+    assert document["total_findings"] == 3 and [(c["council"], len(c["found"])) for c in document["chambers"]] == [("NR", 3), ("SR", 0)]
+    first = document["chambers"][0]["found"][0]
+    assert first["kind"] == "REVIEW_ENDED" and first["payload"]["start"] == "2020-01-02" and "end" not in first["payload"] and document["chambers"][0]["open_on_graph"] == 2
+    html = (tmp_path / "report.html").read_text()
+    assert html.count("<tr ") == 3 and "<td>&lt;why&gt;</td>" in html and "<h2>Zürcher Rat &amp; &lt;Co&gt;}</h2>" in html and html.index(">C<") < html.index(">A<")
+    commands = (tmp_path / "commands.txt").read_text().splitlines()
+    assert [x.startswith("#") for x in commands] == [True] * 5 + [False] * 2 and commands[2] == "# 2 of 3 findings can be applied"
+
+
+def test_files_come_whole_or_not_at_all(spark, tmp_path):
+    lines = spark.range(3000).select((F.col("id") % 7).cast("string").alias("file"), F.concat(F.lit("n"), "id").alias("line"), F.col("id").alias("at"))
+    files.write(lines, str(tmp_path), "at")
+    assert sorted(p.name for p in tmp_path.iterdir()) == [str(k) for k in range(7)]
+    assert (tmp_path / "3").read_text().splitlines() == [f"n{k}" for k in range(3, 3000, 7)]
+    broken = lines.withColumn("line", F.when(F.col("at") == 2500, F.raise_error(F.lit("lost")).cast("string")).otherwise(F.col("line")))
+    with pytest.raises(Exception):
+        files.write(broken, str(tmp_path / "b"), "at")
+    assert not (tmp_path / "b").exists() or not list((tmp_path / "b").iterdir())
+    with pytest.raises(Exception, match="two tasks wrote one file"):
+        scattered = lines.select("file", "line").repartition(3)
+        scattered.sortWithinPartitions("file").write.format("named_files").mode("append").option("path", str(tmp_path / "c")).save()
 
 
 def test_validation(spark):

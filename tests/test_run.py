@@ -37,12 +37,12 @@ def test_from_tables_to_reports(spark, tmp_path):
     assert who["Ann Lee"] == ("Q10", "identifier", []) and who["Cy Fox"][:2] == ("Q30", "name") and who["Bo Ray"] == (None, None, ["Q20"])
     kinds = sorted((r["kind"], r["member_label"]) for r in result.findings.collect())
     assert ("FIX_START_DATE", "Ann Lee") in kinds and ("ADD_MEMBERSHIP", "Cy Fox") in kinds and ("NO_WIKIDATA_ITEM", "Bo Ray") in kinds
-    run.write(result, CONFIG, D(2022, 6, 1), str(tmp_path))
+    run.write(result, CONFIG, "2022-06-01", str(tmp_path))
     index = (tmp_path / "index.md").read_text()
-    assert "| Zürcher Rat (Q1) | 3 | 1 (33 %) | 1 | 1 |" in index and "[details](NR-zurcher-rat.md)" in index and "| FIX_START_DATE | 2 | 1 |" in index
-    assert (tmp_path / "report.html").read_text().count("<tr>") == 1 + len(kinds)
-    (row,) = json.loads(report.console(report.by_body(result.members, result.findings)))
-    assert row["mismatched"] == 1 and row["findings"] == len(kinds) and list(row) == sorted(row)
+    assert "**[Zürcher Rat](NR-zurcher-rat.md)** (seat Q1): 1 of 3 members by P1307 (33.3 %), 1 by name, 1 open" in index and "2. FIX_START_DATE, 1 times" in index
+    assert (tmp_path / "report.html").read_text().count("<tr ") == len(kinds) and (tmp_path / "NR-zurcher-rat.md").exists()
+    (row,) = json.loads(report.console(report.by_body(result.members, result.findings, result.statements, [b.row for b in CONFIG.bodies], CONFIG)))
+    assert row["mismatched"] == 1 and row["findings"] == len(kinds) and row["open_on_graph"] == 1 and list(row) == sorted(row)
 
 
 def test_command_and_empty_source(spark, tmp_path, capsys):
@@ -54,6 +54,12 @@ def test_command_and_empty_source(spark, tmp_path, capsys):
     (tmp_path / "c.yaml").write_text("source: directory\nbodies:\n  - {council: NR, position_qid: Q1, group_name: The Council}\nbiography_url: 'https://example.org/{id}'\n")
     assert command.main([str(tmp_path / "c.yaml"), f"{tmp_path}/s", f"{tmp_path}/g", f"{tmp_path}/out", "--today", "2022-06-01", "--limit", "2"]) == 0
     assert json.loads(capsys.readouterr().out)[0]["members"] == 2
+    spark.createDataFrame([("Q1", "seat")], "qid string, label string").write.parquet(f"{tmp_path}/g/instances")
+    arguments = [str(tmp_path / "c.yaml"), f"{tmp_path}/s", f"{tmp_path}/g", f"{tmp_path}/out", "--verify-config"]
+    assert command.main(arguments) == 1 and "NR  Q1  not on the graph" in capsys.readouterr().out
+    frame(spark, [item("Q1", None, label="Member of the council")], schema.ITEMS).write.parquet(f"{tmp_path}/h/items")
+    spark.createDataFrame([("Q1", "seat")], "qid string, label string").write.parquet(f"{tmp_path}/h/instances")
+    assert command.main([*arguments[:2], f"{tmp_path}/h", *arguments[3:]]) == 0 and "Member of the council [seat]" in capsys.readouterr().out
     with pytest.raises(ValueError, match="no members"):
         run.run(spark, CONFIG, (source | {"memberships": source["memberships"].limit(0)}).get, graph.get, F.lit("2022-06-01").cast("date"))
     with pytest.raises(ValueError, match="source is"):
