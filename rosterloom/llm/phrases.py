@@ -288,9 +288,9 @@ def counts(spark: SparkSession, docs: DataFrame, least: int = LEAST, most: int =
     return store.written(spark, dealt.mapInArrow(_stacked(least, most), "lang string, phrase string, f bigint"), "phrases")
 
 
-def mine(spark: SparkSession, docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, top: int = TOP, inside_percent: int = INSIDE_PERCENT, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The ``top`` collocations of each language: lang, rank, phrase, a, l, r, n, score."""
-    known = counts(spark, docs, least, most, block_bytes)
+def mine(spark: SparkSession, docs: DataFrame, least: int = LEAST, most: int = MOST_WORDS, top: int = TOP, inside_percent: int = INSIDE_PERCENT, **sizes: int) -> DataFrame:
+    """The ``top`` collocations of each language: lang, rank, phrase, a, l, r, n, score; ``sizes`` as ``counts`` takes them."""
+    known = counts(spark, docs, least, most, **sizes)
     words = F.split("phrase", " ")
     held = known.filter(F.col("phrase").isNotNull()).withColumn("words", words)
     wanted = held.filter(F.size("words") > 1).select("lang", "phrase", "words", F.col("f").alias("a"))
