@@ -8,7 +8,9 @@ callers that tell null from empty keep the null mask.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -76,6 +78,40 @@ def slices(offsets: np.ndarray, limit: int = SLICE_BYTES) -> Iterator[tuple[int,
         at = to
 
 
+#: Scripts that put no spaces between words: Thai to Lao, Myanmar, Khmer, kana, ideographs, and those beyond the first plane.
+_UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9D), (0x20000, 0x3FFFF))
+
+
+@cache
+def _characters() -> tuple[np.ndarray, np.ndarray]:
+    """For each code point: whether it parts words (no letter, mark or number), and whether it is a word of its own."""
+    parts, alone = np.zeros(0x110000, bool), np.zeros(0x110000, bool)
+    parts[[c for c in range(0x80, 0x20000) if unicodedata.category(chr(c))[0] not in "LMN"]] = True
+    for low, high in _UNSPACED:
+        alone[low : high + 1] = True
+    return parts, alone & ~parts
+
+
+def character_marks(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Marks for ``Words``: words are runs of letters, marks and numbers of any script; in scripts without spaces each character is
+    a word."""
+    inked, opens = ~NOT_ALNUM[data], np.zeros(len(data), bool)
+    if len(data) and data.max() >= 0xC0:
+        parts, alone = _characters()
+        for width, low, high in ((2, 0xC0, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+            at = np.flatnonzero((data >= low) & (data < high))
+            code = (data[at] & (0x7F >> width)).astype(np.int64)
+            for k in range(1, width):
+                code = code << 6 | data[at + k] & 0x3F
+            for k in range(width):
+                inked[at[parts[code]] + k] = False
+            own = at[alone[code]]
+            opens[own] = True
+            after = own + width
+            opens[after[after < len(data)]] = True
+    return inked, opens
+
+
 class Words:
     """The words ``[^\\x20\\x09-\\x0D]+`` of a slice of documents.
 
@@ -83,16 +119,17 @@ class Words:
     word and one more entry at the end, so document d owns words ``first[d]:first[d + 1]``.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, gaps: np.ndarray = _SPACE, marks: tuple[np.ndarray, np.ndarray] | None = None):
+        """``marks`` are, in place of ``gaps``, whether each byte is of a word and whether a word begins there at the latest."""
         self.data, self.offsets = data, offsets
-        inked = ~gaps[data]
+        inked, opens = marks if marks else (~gaps[data], None)
         edge = inked.copy()
-        edge[1:] &= ~inked[:-1]
+        edge[1:] &= ~inked[:-1] if opens is None else ~inked[:-1] | opens[1:]
         cuts = offsets[:-1][offsets[:-1] < len(data)]
         edge[cuts] = inked[cuts]
         self.start = np.flatnonzero(edge)
         edge = inked.copy()
-        edge[:-1] &= ~inked[1:]
+        edge[:-1] &= ~inked[1:] if opens is None else ~inked[1:] | opens[1:]
         lasts = offsets[1:][offsets[1:] > 0] - 1
         edge[lasts] = inked[lasts]
         self.end = np.flatnonzero(edge) + 1

@@ -1,4 +1,5 @@
 import random
+import unicodedata
 from itertools import combinations
 
 import numpy as np
@@ -134,3 +135,93 @@ def test_short_items_that_differ_or_are_cut_off_are_found(spark):
     refused = {(2 * k, k) for k, item in enumerate(items) if {len(item) // 2} not in list(accepted(len(item)))}
     assert len(refused) == 3
     assert {(r["doc_id"], r["item_id"]) for r in got} == {(n, n // 2) for n in range(2 * len(items))} - refused
+
+
+def test_texts_without_spaces_and_short_items(spark):
+    chinese = "北京是中华人民共和国的首都，也是全国的政治中心。"
+    docs = [
+        (1, "who won in 1998"), (2, "Tell me: Who won, in 1998?!"), (3, f"据说{chinese}人口很多"), (4, chinese.replace("首都", "城市")), (5, "yes"), (6, "yes, of course"), (7, "กรุงเทพมหานครเป็นเมืองหลวงของประเทศไทย"),
+        (8, "who lost in 1998"), (9, "中国人民"), (10, "中国"), (11, "在中国很多"), (12, "«Où» est—il"),
+    ]
+    items = [(0, "who won in 1998"), (1, chinese), (2, "Yes."), (3, "เป็นเมืองหลวงของประเทศไทย"), (4, "中国"), (5, "où est il"), (6, "?!")]
+    got = {(r["doc_id"], r["item_id"]) for r in run(spark, docs, items)}
+    assert got == {(1, 0), (2, 0), (3, 1), (4, 1), (5, 2), (7, 3), (10, 4), (12, 5)}
+
+
+def plain_tokens(text):
+    """The tokens by a plain walk over the characters."""
+    out, word = [], ""
+    for c in text or "":
+        c = chr(ord(c) + 32) if "A" <= c <= "Z" else c
+        kind = c.isalnum() if c < "\x80" else unicodedata.category(c)[0] in "LMN"
+        alone = any(low <= ord(c) <= high for low, high in tk._UNSPACED)
+        if word and (not kind or alone):
+            out.append(word)
+            word = ""
+        if kind and alone:
+            out.append(c)
+        elif kind:
+            word += c
+    return out + [word] * bool(word)
+
+
+def plain_leak(doc, item):
+    """Whether a text holds an item, from the definition: on some diagonal a stretch with enough agreeing tokens, of which three in four agree best."""
+    if not item:
+        return False
+    if len(item) < d.SHORTEST:
+        if len(item) < d.FEW or sum(len(t.encode()) for t in item) < d.FEW_BYTES:
+            return doc == item
+        return any(doc[k : k + len(item)] == item for k in range(len(doc)))
+    need = min(12, max(5, -(-8 * len(item) // 10)))
+    for g in range(-len(item) + 1, len(doc)):
+        same = [doc[k + g] == item[k] for k in range(len(item)) if 0 <= k + g < len(doc)]
+        if sum(same) < need:
+            continue
+        top, agreed, score, run_ = 0, 0, 0, 0
+        for x in same:  # the stretch with the best score so far, its agreeing tokens
+            score, run_ = (score + 1, run_ + 1) if x else (score - 3, run_)
+            if score < 0:
+                score, run_ = 0, 0
+            if score > top:
+                top, agreed = score, run_
+        if agreed >= need:
+            return True
+    return False
+
+
+def test_an_independent_search_finds_the_same(spark):
+    rng = random.Random(12)
+    items = [words(rng, n) for n in (2, 3, 4, 6, 9, 13, 18, 30)] + [list("北京是中华人民共和国的首都也是全国的政治中心")]
+    docs = []
+    for k in range(80):
+        item = items[k % len(items)]
+        own = [w if rng.random() > 0.12 else "other" for w in item]
+        around = [words(rng, rng.randrange(30)) for _ in range(2)]
+        joined = "".join(own) if k % len(items) == 8 and "other" not in own else " ".join(own)
+        docs.append((k, rng.choice(["", " ".join(around[0]) + " — "]) + joined + rng.choice(["", "。" + " ".join(around[1])])))
+    tests = [(k, " ".join(x) if k < 8 else "".join(x)) for k, x in enumerate(items)]
+    got = {(r["doc_id"], r["item_id"]) for r in run(spark, docs, tests)}
+    assert got == {(i, k) for i, text in docs for k, item in tests if plain_leak(plain_tokens(text), plain_tokens(item))}
+    assert len(got) > 30
+
+
+def test_no_accepted_pattern_of_any_length_misses_all_masks():
+    """A walk over all strings of agreements that hold no mask: none has a stretch with ``MATCHED`` of them that the score keeps."""
+    width = max(map(len, d.MASKS))
+    cares = [int(m, 2) for m in d.MASKS]
+    sizes = [(1 << len(m)) - 1 for m in d.MASKS]
+    todo, seen = [(0, 0, 0, 0)], {(0, 0, 0, 0)}
+    while todo:
+        last, score, agreed, top = todo.pop()
+        for same in (0, 1):
+            now = (last << 1 | same) & ((1 << width) - 1)
+            if any(now & size & care == care for care, size in zip(cares, sizes)):
+                continue
+            s, a = (score + 1, min(agreed + 1, d.MATCHED)) if same else (score - 3, agreed)
+            s, a = (s, a) if s >= 0 else (0, 0)
+            assert s <= top or a < d.MATCHED  # a text that ends here would be accepted
+            state = (now, s, a, max(top, s))
+            if state not in seen:
+                seen.add(state), todo.append(state)
+    assert len(seen) > 1000
