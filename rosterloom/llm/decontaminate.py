@@ -39,13 +39,13 @@ from rosterloom.llm import textkernel as tk
 
 #: 1: the token counts, 0: it is ignored; with WHOLE before it, the mask is for documents of just its length.
 WHOLE = "="
-MASKS = ("11101100101", "110100110011", "101100011101")
+MASKS = ("11101100101", "110100110011", "101100011101", "111001101101")
 IDENTITY = 0.75
 MATCHED = 12
 COVERED = 0.8
 SHORTEST = 5
 FEW, FEW_BYTES = 3, 10
-#: From this length on, each passage that is accepted holds a seed of a mask.
+#: From this length on, each passage that is accepted holds a seed of a mask; tests walk over all of them, at any length.
 SPACED = 14
 #: The bit table has some 64 bits for each test seed, and no more bits than two to this power (64 MB).
 MOST_BITS = 29
