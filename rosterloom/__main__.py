@@ -1,5 +1,7 @@
 """python -m rosterloom CONFIG SOURCE GRAPH OUT [--limit N] [--today DAY]: a run over tables in Parquet under SOURCE and GRAPH.
 
+SOURCE may be the address of the federal service, or (in one argument, with ``{start}`` and ``{size}``) those of a mandate and a contact index.
+
 ``--verify-config`` shows instead what every configured item is on the graph (tables items and instances under GRAPH); it ends with 1 if one isn't
 there. ``--validate-periods URL [VOTE ...]`` checks instead the periods of SOURCE against the roll calls of a service; without votes (or
 with ``auto``) they are discovered. It ends with 1 if a sitting member voted in a period that nobody assigned to them, or nothing could be compared.
@@ -18,7 +20,7 @@ from pyspark.sql import functions as F
 from rosterloom import config as configuration
 from rosterloom.functions import text
 from rosterloom.plans import report, run, validate, verdicts
-from rosterloom.sources import federal
+from rosterloom.sources import federal, live
 
 
 def verify_config(spark: SparkSession, config: configuration.Config, graph: run.Tables) -> int:
@@ -53,6 +55,17 @@ def validate_periods(spark: SparkSession, config: configuration.Config, source:
     return int(not counts or any(c.get("not_assigned") for c in counts.values()))
 
 
+def _source(spark: SparkSession, config: configuration.Config, place: str, delay: float) -> run.Tables:
+    """Tables in Parquet under a folder, or of services: one address for the federal source, those of mandates and contacts for mandates."""
+    if "://" not in place or place.startswith("file:"):
+        return lambda name: spark.read.parquet(f"{place}/{name}")
+    if config.source == "federal":
+        return live.federal(spark, place, [b.council for b in config.bodies], config.language.upper(), delay=delay)
+    if config.source == "mandates":
+        return live.mandates(spark, *place.split(), delay=delay)
+    raise ValueError(f"there is no live source for {config.source!r}")
+
+
 def main(arguments: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="rosterloom")
     for name in ("config", "source", "graph", "out"):
@@ -70,8 +83,8 @@ def main(arguments: list[str] | None = None) -> int:
     if given.verify_config:
         return verify_config(spark, config, tables(given.graph))
     if given.validate_periods:
-        return validate_periods(spark, config, tables(given.source), given.validate_periods[0], votes, given.delay)
-    result = run.run(spark, config, tables(given.source), tables(given.graph), F.lit(given.today.isoformat()).cast("date"), given.limit)
+        return validate_periods(spark, config, _source(spark, config, given.source, given.delay), given.validate_periods[0], votes, given.delay)
+    result = run.run(spark, config, _source(spark, config, given.source, given.delay), tables(given.graph), F.lit(given.today.isoformat()).cast("date"), given.limit)
     run.write(result, config, given.today.isoformat(), given.out)
     bodies = [b.row for b in config.bodies]
     summary: DataFrame = report.by_body(result.members, result.findings, result.statements, bodies, config)

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from py4j.protocol import Py4JError
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
@@ -33,6 +34,47 @@ def funnel(df: DataFrame, stages: Sequence[tuple[str, Column]]) -> DataFrame:
     return df.agg(*out)
 
 
+def passed(stages: Sequence[tuple[str, Column]]) -> dict[str, Column]:
+    """For each stage whether a row passes it and all before it; the first is that there is a row at all."""
+    out, so_far = {"n_rows": F.lit(True)}, F.lit(True)
+    for name, condition in stages:
+        so_far = so_far & F.coalesce(condition, F.lit(False))
+        out[name] = so_far
+    return out
+
+
+def stage_verdicts(df: DataFrame, keys: Sequence[str], stages: Sequence[tuple[str, Column]]) -> DataFrame:
+    """For each key the rows left after each stage, and the stage at which none was left; null if some pass all of them."""
+    counts = df.groupBy(*keys).agg(*[F.count_if(x).alias(name) for name, x in passed(stages).items()])
+    return counts.withColumn("emptied_by", F.coalesce(*[F.when(F.col(name) == 0, name) for name in ("n_rows", *(n for n, _ in stages))]))
+
+
+class Watched:
+    """Counts of the stages of a fetch, taken in the pass that reads its rows: ``rows`` are the same with the counts observed,
+    ``counts`` is known as soon as something has read them all. Where nothing is left the optimizer may drop the watched part of a
+    plan that has already run; only then a job of its own counts."""
+
+    def __init__(self, df: DataFrame, stages: Sequence[tuple[str, Column]]):
+        self.stages, self._seen = [name for name, _ in stages], Observation()
+        self._df, self._counts = df, [F.count_if(x).alias(name) for name, x in passed(stages).items()]
+        self.rows = df.observe(self._seen, *self._counts)
+
+    @property
+    def counts(self) -> dict[str, int]:
+        try:
+            return self._seen.get
+        except Py4JError:
+            return self._df.agg(*self._counts).first().asDict()
+
+    @property
+    def verdict(self) -> str:
+        """What a fetch gives: its last count, or the stage that emptied it."""
+        found = self.counts
+        stage = next((n for n in ("n_rows", *self.stages) if not found[n]), None)
+        listed = ", ".join(f"{n} {found[n]}" for n in ("n_rows", *self.stages))
+        return f"{found[self.stages[-1]]} rows pass ({listed})" if stage is None else f"the source gives no rows at all ({listed})" if stage == "n_rows" else f"the stage {stage} leaves none of the rows before it ({listed})"
+
+
 def key_quality(df: DataFrame, name: str, key: str, mark: str) -> DataFrame:
     """Names with several keys: split, if two keys share a distinguishing mark; undecided, if a key has no mark at all; else
     namesakes."""

@@ -33,8 +33,9 @@ def run(spark: SparkSession, config: Config, source: Tables, graph: Tables, toda
     councils = {b.council: b.group_name or b.label or b.council for b in config.bodies}
     roster = factory.build(spark, config.source, source, councils, today, config.roles)
     members = report.limited(roster.members, limit) if limit else roster.members
+    members = lineage.written(members, "roster")  # the source is read once; its stages are counted in this pass
     if members.isEmpty():
-        raise ValueError("the source gives no members; nothing is compared")
+        raise ValueError("the source gives no members; nothing is compared" + (f": {roster.watched.verdict}" if roster.watched else ""))
     items, statements = graph("items"), graph("statements")
     members = resolve.by_identifier(members, items, corroborate=not config.identifier_verified)
     members = lineage.written(resolve.by_name(members, graph("candidates")), "members")  # every pass reads them

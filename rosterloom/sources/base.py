@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rosterloom.functions import text
+from rosterloom.operators.profile import Watched
 from rosterloom.schema import LINK_CONFLICTS, MEMBERS, PERIODS, TENURES
 
 
@@ -19,6 +20,8 @@ class Roster:
     periods: DataFrame
     segments: DataFrame
     link_conflicts: DataFrame
+    #: The stages of the fetch, where the source watches them: known when the members have been read.
+    watched: Watched | None = None
 
 
 SEGMENTS = "person_key string, council string, start date, end date"
@@ -95,5 +98,5 @@ def link_conflicts(rows: DataFrame, person: str, link: str, council: Column, sea
 EMPTY = {"tenures": TENURES, "periods": PERIODS, "segments": SEGMENTS, "link_conflicts": LINK_CONFLICTS}
 
 
-def roster(spark: SparkSession, members: DataFrame, **parts: DataFrame) -> Roster:
-    return Roster(members, **{n: parts.get(n, empty(spark, s)) for n, s in EMPTY.items()})
+def roster(spark: SparkSession, members: DataFrame, watched: Watched | None = None, **parts: DataFrame) -> Roster:
+    return Roster(members, **{n: parts.get(n, empty(spark, s)) for n, s in EMPTY.items()}, watched=watched)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from rosterloom.functions import dates, text
 from rosterloom.operators import chains, dedup
+from rosterloom.operators.profile import Watched
 from rosterloom.schema import PERIODS, TENURES
 from rosterloom.sources import base
 
@@ -17,6 +18,12 @@ def _in_councils(df: DataFrame, councils: Sequence[str]) -> Column:
     return F.upper(F.trim("CouncilAbbreviation")).isin(*[c.strip().upper() for c in councils])
 
 
+def stages(rows: DataFrame, councils: Sequence[str], active_only: bool = True) -> list[tuple[str, Column]]:
+    """What a row has to pass to become a member, in order."""
+    active = [("active", text.as_bool(F.col("Active")))] if active_only else []
+    return [*active, ("person_number", F.col("PersonNumber").isNotNull()), ("council", _in_councils(rows, councils))]
+
+
 def members(rows: DataFrame, councils: Sequence[str], active_only: bool = True) -> DataFrame:
     """One member for each person and council, the latest seat; rows without a person number are dropped."""
     df = base.with_order(rows).filter(_in_councils(rows, councils) & F.col("PersonNumber").isNotNull())
@@ -71,5 +78,6 @@ def with_tenure_starts(found: DataFrame, tenures: DataFrame) -> DataFrame:
 
 def read(rows: DataFrame, history: DataFrame, period_rows: DataFrame, councils: Sequence[str], active_only: bool = True) -> base.Roster:
     spells = tenures(history, councils)
-    people = with_tenure_starts(members(rows, councils, active_only), spells)
-    return base.roster(rows.sparkSession, people, tenures=spells, periods=periods(period_rows), segments=base.shaped(segments(history, councils), base.SEGMENTS))
+    watched = Watched(rows, stages(rows, councils, active_only))
+    people = with_tenure_starts(members(watched.rows, councils, active_only), spells)
+    return base.roster(rows.sparkSession, people, watched, tenures=spells, periods=periods(period_rows), segments=base.shaped(segments(history, councils), base.SEGMENTS))

@@ -17,7 +17,7 @@ from collections.abc import Callable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 #: Statuses worth another try, how often, and the first pause between tries (it doubles).
 RETRIED = (429, 500, 502, 503, 504)
@@ -122,17 +122,23 @@ def _literal(value) -> str:
 class _ODataReader(DataSourceReader):
     """Counts the rows that the pushed filters leave, then reads a page a task."""
 
-    def __init__(self, options: dict, columns: list[str]):
-        self.url, self.size, self.delay, self.columns = options["url"], int(options.get("size", "1000")), float(options.get("delay", "1.0")), columns
+    def __init__(self, options: dict, columns: dict[str, str]):
+        self.url, self.size, self.delay, self.columns, self.kinds = options["url"], int(options.get("size", "1000")), float(options.get("delay", "1.0")), list(columns), columns
         self.first = int(options["first"]) if "first" in options else None
         self.where: list[str] = []
 
     def pushFilters(self, filters):
         for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1:
-                self.where.append(f"{f.attribute[0]} eq {_literal(f.value)}")
+            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.value is not None:
+                self.where.append(self._equal(f.attribute[0], f.value))
+            elif isinstance(f, In) and len(f.attribute) == 1 and f.value and None not in f.value:
+                self.where.append("(" + " or ".join(self._equal(f.attribute[0], v) for v in f.value) + ")")
             yield f  # Spark checks every filter again, so a service that ignores one changes nothing
 
+    def _equal(self, column: str, value) -> str:
+        """A column that the service holds as a number or a truth value is compared with a bare literal."""
+        return f"{column} eq {value if self.kinds.get(column) in ('number', 'boolean') else _literal(value)}"
+
     def _address(self, path: str = "", **more: int) -> str:
         query = {"$filter": " and ".join(self.where)} if self.where else {}
         query |= {f"${k}": str(v) for k, v in more.items()}
@@ -148,19 +154,21 @@ class _ODataReader(DataSourceReader):
         found = found.get("d", found) if isinstance(found, dict) else found
         rows = found if isinstance(found, list) else found.get("results", found.get("value", []))
         for record in rows:
-            yield tuple(None if record.get(c) is None else str(record[c]) for c in self.columns)
+            yield tuple(None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for v in (record.get(c) for c in self.columns))
 
 
 class ODataTable(DataSource):
     """A table of an OData service. Options: url, columns (by commas; all are text), size of a page, first (rows to read at most, asked
-    of the service), delay. Only the named columns are asked for; equality filters go to the service."""
+    of the service), delay. Only the named columns are asked for; filters for one value or one of several go to the service. A column that
+it doesn't hold as text is named with its kind, as in ``Active:boolean`` or ``ID:number``; here it is text all the same."""
 
     @classmethod
     def name(cls) -> str:
         return "odata"
 
-    def _columns(self) -> list[str]:
-        return [c.strip() for c in self.options["columns"].split(",")]
+    def _columns(self) -> dict[str, str]:
+        own = (c.strip().partition(":") for c in self.options["columns"].split(","))
+        return {name: kind or "text" for name, _, kind in own}
 
     def schema(self) -> str:
         return ", ".join(f"`{c}` string" for c in self._columns())

@@ -11,8 +11,11 @@ import io
 import re
 import xml.etree.ElementTree as ET
 import zipfile
+from array import array
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import groupby, islice
+from typing import IO
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +25,7 @@ from rosterloom.sources.base import leaf_of
 
 OOXML, BIFF, HTML, DELIMITED, UNKNOWN = "ooxml", "biff", "html", "delimited", "unknown"
 Grid = list[list[str]]
+BATCH_ROWS = 5_000
 
 
 def sniff(content: bytes, content_type: str = "") -> str:
@@ -66,21 +70,67 @@ def _sheets(book: zipfile.ZipFile) -> list[tuple[str, str]]:
     return found
 
 
-def xlsx(content: bytes) -> dict[str, Grid]:
-    """All sheets in the workbook's order; shared and inline strings; missing cells are not filled in."""
+class Shared:
+    """The shared strings of a workbook as one run of bytes and where each ends: far less than a string object each."""
+
+    def __init__(self):
+        self.bytes, self.ends = bytearray(), array("Q")
+
+    @classmethod
+    def of(cls, book: zipfile.ZipFile) -> Shared:
+        out = cls()
+        if "xl/sharedStrings.xml" in book.namelist():
+            with book.open("xl/sharedStrings.xml") as part:
+                for element in _pulled(part, "si"):
+                    out.bytes += _texts(element).encode()
+                    out.ends.append(len(out.bytes))
+        return out
+
+    def get(self, index: str) -> str:
+        """The string of an index; an index that is no number or out of range stays as it stands."""
+        if not index.isascii() or not index.isdigit() or int(index) >= len(self.ends):
+            return index
+        k = int(index)
+        return self.bytes[self.ends[k - 1] if k else 0 : self.ends[k]].decode()
+
+
+def _pulled(part: IO[bytes], tag: str) -> Iterator[ET.Element]:
+    """The elements of a tag one after the other, each dropped when the next is asked for."""
+    root = None
+    for event, element in ET.iterparse(part, ("start", "end")):
+        if root is None:
+            root = element
+            parents = [root]
+        if event == "start":
+            parents.append(element)
+            continue
+        parents.pop()
+        if _tag(element) == tag:
+            yield element
+            element.clear()
+            parents[-1].remove(element) if element in parents[-1] else None
+
+
+def xlsx_rows(content: bytes) -> Iterator[tuple[str, list[str]]]:
+    """(sheet, cells) of all rows in the workbook's order, pulled one at a time; shared and inline strings; missing cells are not
+    filled in."""
     book = zipfile.ZipFile(io.BytesIO(content))
-    names = set(book.namelist())
-    shared = [_texts(s) for s in ET.fromstring(book.read("xl/sharedStrings.xml"))] if "xl/sharedStrings.xml" in names else []
-    out: dict[str, Grid] = {}
+    shared = Shared.of(book)
     for name, path in _sheets(book):
-        grid: Grid = []
-        for row in (e for e in ET.fromstring(book.read(path)).iter() if _tag(e) == "row"):
-            cells = []
-            for cell in (c for c in row if _tag(c) == "c"):
-                value = next((v.text or "" for v in cell if _tag(v) == "v"), "")
-                cells.append(shared[int(value)] if cell.get("t") == "s" and value else _texts(cell) if cell.get("t") == "inlineStr" else value)
-            grid.append(cells)
-        out[name] = grid
+        with book.open(path) as part:
+            for row in _pulled(part, "row"):
+                cells = []
+                for cell in (c for c in row if _tag(c) == "c"):
+                    value = next((v.text or "" for v in cell if _tag(v) == "v"), "")
+                    cells.append(shared.get(value) if cell.get("t") == "s" else _texts(cell) if cell.get("t") == "inlineStr" else value)
+                yield name, cells
+
+
+def xlsx(content: bytes) -> dict[str, Grid]:
+    """All sheets of a small workbook; sheets without rows too."""
+    out: dict[str, Grid] = {name: [] for name, _ in _sheets(zipfile.ZipFile(io.BytesIO(content)))}
+    for name, cells in xlsx_rows(content):
+        out[name].append(cells)
     return out
 
 
@@ -126,20 +176,36 @@ def delimited(text: str) -> Grid:
     return list(csv.reader(io.StringIO(text, newline=""), delimiter=max(";\t,", key=first.count)))
 
 
-def named(grid: Grid) -> tuple[list[str], list[dict[str, str]]]:
-    """Column names from the first row with more than one filled cell, and the rows after it that have
-    any value. Names are lower case with ``_`` for white space; blank ones are numbered, repeated ones get their column's number."""
-    at = next((k for k, row in enumerate(grid) if sum(bool(c.strip()) for c in row) > 1), None)
-    if at is None:
-        return [], []
+def _names(cells: list[str]) -> list[str]:
     names: list[str] = []
-    for k, cell in enumerate(grid[at], 1):
+    for k, cell in enumerate(cells, 1):
         name = re.sub(r"\s+", "_", cell.strip().lower()) or f"column_{k}"
         while name in names:
             name += f"_{k}"
         names.append(name)
-    rows = [dict(zip(names, [c.strip() for c in row] + [""] * len(names))) for row in grid[at + 1 :] if any(c.strip() for c in row)]
-    return names, rows
+    return names
+
+
+class Header:
+    """Makes rows of cells into named rows, as they come: names are those of the first row with more than one filled cell, lower
+    case with ``_`` for white space; blank ones are numbered, repeated ones get their column's number. Rows without any value are left out."""
+
+    def __init__(self):
+        self.names: list[str] = []
+
+    def row(self, cells: list[str]) -> dict[str, str] | None:
+        if not self.names:
+            if sum(bool(c.strip()) for c in cells) > 1:
+                self.names = _names(cells)
+            return None
+        return dict(zip(self.names, [c.strip() for c in cells] + [""] * len(self.names))) if any(c.strip() for c in cells) else None
+
+
+def named(grid: Grid) -> tuple[list[str], list[dict[str, str]]]:
+    """The column names of a grid, and the rows after them that have any value."""
+    header = Header()
+    rows = [row for row in map(header.row, grid) if row is not None]
+    return header.names, rows
 
 
 def parse(content: bytes, content_type: str = "") -> tuple[str, dict[str, tuple[list[str], list[dict[str, str]]]], str | None]:
@@ -156,15 +222,37 @@ def parse(content: bytes, content_type: str = "") -> tuple[str, dict[str, tuple[
     return kind, {}, f"{kind} can't be read"
 
 
+def records(content: bytes) -> Iterator[tuple[str, str | None, int | None, dict[str, str] | None, str | None]]:
+    """(format, sheet, row, values, error) of an export, row by row; an export never raises: what stops it, or that it has no
+    data, is a last row with an error."""
+    kind, found = sniff(content), 0
+    try:
+        if kind not in (OOXML, HTML, DELIMITED):
+            raise ValueError("can't be read")
+        text = "" if kind == OOXML else content.decode("utf-8-sig", "replace")
+        rows = xlsx_rows(content) if kind == OOXML else (("", cells) for cells in (html_table(text) if kind == HTML else delimited(text)))
+        for sheet_name, own in groupby(rows, key=lambda r: r[0]):
+            header = Header()
+            for k, values in enumerate(v for v in (header.row(cells) for _, cells in own) if v is not None):
+                found += 1
+                yield kind, sheet_name, k, values, None
+        if not found:
+            raise ValueError("without data rows")
+    except (zipfile.BadZipFile, ET.ParseError, KeyError, IndexError, ValueError, csv.Error) as error:
+        yield kind, None, None, None, f"{kind}: {error}"
+
+
 def read(spark: SparkSession, path: str) -> DataFrame:
-    """file, format, sheet, row, values (map of column name to text) and error for all exports under ``path``."""
+    """file, format, sheet, row, values (map of column name to text) and error for all exports under ``path``. Rows leave the task in
+    batches of ``BATCH_ROWS``, so a sheet of any length takes the memory of its file, its shared strings and a batch."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in batches:
             for file, content in zip(frame["path"], frame["content"]):
-                kind, sheets, error = parse(content)
-                rows = [(file, kind, s, k, v, None) for s, (_, own) in sheets.items() for k, v in enumerate(own)]
-                yield pd.DataFrame(rows or [(file, kind, None, None, None, error)], columns=["file", "format", "sheet", "row", "values", "error"])
+                rows = ((file, *r) for r in records(content))
+                while own := list(islice(rows, BATCH_ROWS)):
+                    out = pd.DataFrame(own, columns=["file", "format", "sheet", "row", "values", "error"])
+                    yield out.astype({"row": "Int64"})
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInPandas(run, "file string, format string, sheet string, row bigint, values map<string,string>, error string")
