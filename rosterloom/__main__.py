@@ -60,9 +60,9 @@ def _source(spark: SparkSession, config: configuration.Config, place: str, delay
     if "://" not in place or place.startswith("file:"):
         return lambda name: spark.read.parquet(f"{place}/{name}")
     if config.source == "federal":
-        return live.federal(spark, place, [b.council for b in config.bodies], config.language.upper(), delay=delay)
+        return live.federal(spark, place, [b.council for b in config.bodies], config.language.upper(), delay=delay, agent=config.user_agent)
     if config.source == "mandates":
-        return live.mandates(spark, *place.split(), delay=delay)
+        return live.mandates(spark, *place.split(), delay=delay, agent=config.user_agent)
     raise ValueError(f"there is no live source for {config.source!r}")
 
 
@@ -77,6 +77,9 @@ def main(arguments: list[str] | None = None) -> int:
     parser.add_argument("--delay", type=float, default=1.0, help="seconds before each request")
     given = parser.parse_args(arguments)
     config = configuration.load(given.config)
+    if "://" in given.source or given.validate_periods:
+        if wrong := config.problems():  # a service is asked only by a run that names itself and can work
+            parser.error("; ".join(wrong))
     votes = text.vote_ids((given.validate_periods or [])[1:])
     spark = SparkSession.builder.appName("rosterloom").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     tables = lambda folder: lambda name: spark.read.parquet(f"{folder}/{name}")

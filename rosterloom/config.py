@@ -46,7 +46,21 @@ class Body:
         return {"council": self.council, "label": self.label or self.council, "position_qid": self.position_qid}
 
 
+@dataclass(frozen=True)
+class Enrich:
+    """A second source: its kind, its body, and the group of each council there."""
+
+    source: str
+    body_key: str = ""
+    groups: dict[str, int] = field(default_factory=dict)
+
+
 GROUPINGS = ("constituency", "group")
+#: Kinds of sources, and those whose own person ids are values of an identifier on the graph.
+SOURCES = ("federal", "directory", "register", "mandates")
+WITH_IDENTIFIER = ("federal", "register")
+#: Agents that name nobody.
+PLACEHOLDERS = ("example", "your-name", "changeme", "todo")
 
 
 @dataclass(frozen=True)
@@ -67,6 +81,9 @@ class Config:
     parl_groups: dict[str, str] = field(default_factory=dict)
     terms: dict[int, str] = field(default_factory=dict)
     person_data: tuple[Check, ...] = ()
+    body_key: str = ""
+    user_agent: str = ""
+    enrich: Enrich | None = None
 
     def __post_init__(self):
         wrong = [p for p in (self.identifier_property, *self.other_identifiers, *(c.property_id for c in self.person_data)) if not _PROPERTY.fullmatch(p)]
@@ -93,6 +110,41 @@ class Config:
         if any(isinstance(n, bool) or not isinstance(n, int) for n in self.terms):
             raise ValueError("terms are keyed by period numbers")
 
+    def problems(self) -> list[str]:
+        """What keeps a run from its services, a sentence each; none means that it can be run."""
+        found = []
+        if not self.bodies:
+            found.append("bodies names no chamber")
+        if self.source not in SOURCES:
+            found.append(f"source is {self.source!r}; it can be {', '.join(SOURCES)}")
+        if self.source == "mandates" and (bare := [b.council for b in self.bodies if not (b.group_name or b.label)]):
+            found.append(f"mandates are told apart by the exact name of their body, which {', '.join(bare)} has not")
+        if self.source == "directory" and not self.body_key:
+            found.append("source directory needs a body_key, the parliament that its groups belong to")
+        if self.identifier_from_source and self.source in SOURCES and self.source not in WITH_IDENTIFIER:
+            found.append(f"identifier_from_source: source {self.source} gives no value of {self.identifier_property}")
+        if self.identifier_verified and not self.identifier_from_source:
+            found.append("identifier_verified says that the source's ids are the identifier's values, and identifier_from_source that it gives none")
+        if not self.user_agent.strip():
+            found.append("user_agent has to name who asks, with an address")
+        elif any(p in self.user_agent.lower() for p in PLACEHOLDERS):
+            found.append(f"user_agent {self.user_agent!r} is a placeholder")
+        elif not re.search(r"https?://|@", self.user_agent):
+            found.append("user_agent has no address to write to")
+        return found + (self._enrich_problems() if self.enrich else [])
+
+    def _enrich_problems(self) -> list[str]:
+        found = []
+        if self.enrich.source != "directory":
+            found.append(f"enrich.source is {self.enrich.source!r}; only a directory can be the second source")
+        if not self.enrich.groups:
+            found.append("enrich.groups names no council's group")
+        if stray := sorted(set(self.enrich.groups) - {b.council for b in self.bodies}):
+            found.append(f"enrich.groups has councils that bodies hasn't: {', '.join(stray)}")
+        if self.enrich.source == self.source and self.enrich.body_key == self.body_key:
+            found.append("enrich is the source itself, which would always agree")
+        return found
+
     @classmethod
     def of(cls, raw: dict) -> Config:
         """From a parsed configuration file; unknown keys are an error, not a silence."""
@@ -100,6 +152,13 @@ class Config:
         if unknown := sorted(set(raw) - known):
             raise ValueError(f"unknown configuration keys: {', '.join(unknown)}")
         own = dict(raw)
+        for kind, said, names in ((list | tuple, "list", ("bodies", "person_data", "roles", "other_identifiers")), (dict, "mapping", ("constituencies", "parties", "parl_groups", "terms"))):
+            if wrong := [n for n in names if n in own and not isinstance(own[n], kind)]:
+                raise ValueError(f"{wrong[0]} has to be a {said}")
+        if own.get("enrich") is not None and not isinstance(own["enrich"], Enrich):
+            if not isinstance(own["enrich"], dict):
+                raise ValueError("enrich has to be a mapping")
+            own["enrich"] = Enrich(**own["enrich"]) if own["enrich"] else None
         if "person_data" in own:
             own["person_data"] = tuple(c if isinstance(c, Check) else Check(**c) for c in own["person_data"])
         if "bodies" in own:

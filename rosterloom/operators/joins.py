@@ -70,6 +70,11 @@ def two_signal_align(left: DataFrame, right: DataFrame, left_key: str, right_key
     return met.select(left_key, F.when(verdict == "matched", F.coalesce("by_first", "by_second")).alias(right_key), verdict.alias("verdict"))
 
 
+def spare_right(aligned: DataFrame, right: DataFrame, right_key: str) -> DataFrame:
+    """The right rows that ``two_signal_align`` gave to no left row."""
+    return right.join(aligned.select(right_key).filter(F.col(right_key).isNotNull()).distinct(), right_key, "left_anti")
+
+
 def column_hunt(records: DataFrame, person: str, wanted: DataFrame, value: str, columns: Sequence[str]) -> DataFrame:
     """For each column, how many people's wanted value stands in it."""
     long = records.select(person, *[F.col(c).cast("string").alias(c) for c in columns]).unpivot([person], list(columns), "column_name", "cell")

@@ -20,6 +20,13 @@ def column_coverage(df: DataFrame) -> DataFrame:
     return counts.unpivot([], df.columns, "column_name", "filled")
 
 
+def column_samples(df: DataFrame) -> DataFrame:
+    """column_name, filled and the first filled value in the order of the rows, for every column, in one pass."""
+    cells = df.select(F.monotonically_increasing_id().alias("_at"), *[F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias(c) for c in df.columns])
+    counts = cells.agg(*[F.struct(F.count(c).alias("filled"), F.min_by(c, F.when(F.col(c).isNotNull(), F.col("_at"))).alias("first")).alias(c) for c in df.columns])
+    return counts.unpivot([], df.columns, "column_name", "x").select("column_name", "x.filled", "x.first")
+
+
 def histogram(df: DataFrame, column: str, n: int) -> DataFrame:
     """The n most frequent values, ties in the order of the values."""
     return df.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column).limit(n)

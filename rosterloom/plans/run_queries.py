@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from rosterloom import schema
 from rosterloom.config import Config
 from rosterloom.functions import text
-from rosterloom.operators import dedup, intervals
+from rosterloom.operators import dedup, intervals, profile
 from rosterloom.plans import departures, resolve, rules, verdicts
 from rosterloom.plans.queries import Tables, day, query, registered
 from rosterloom.plans.roster_queries import BODY, TODAY
@@ -142,3 +142,34 @@ SELECT 'Q' || k AS qid, s::VARCHAR AS ours, CASE WHEN k % 4 <> 0 AND k % 6 <> 0
         people, items, statements, tenures, spans, members = _left(t)
         met = verdicts.same_source_pairs(members, items, statements, spans)
         return met.select("qid", *[F.col(c).cast("string").alias(c) for c in ("ours", "graph", "other")])
+
+    @query("""WITH e AS (SELECT user_id % 60 AS source, value > 20 AS a, event_type <> 'view' AND user_id % 60 <> 7 AS b, user_id % 60 NOT IN (11, 13) AS c FROM events),
+n AS (SELECT source, count(*)::BIGINT AS n_rows, count_if(a)::BIGINT AS active, count_if(a AND b)::BIGINT AS person_number, count_if(a AND b AND c)::BIGINT AS council FROM e GROUP BY 1)
+SELECT *, CASE WHEN active = 0 THEN 'active' WHEN person_number = 0 THEN 'person_number' WHEN council = 0 THEN 'council' END AS emptied_by FROM n""")
+    def fetch_stages(t):
+        source = F.col("user_id") % 60
+        stages = [("active", F.col("value") > 20), ("person_number", (F.col("event_type") != "view") & (source != 7)), ("council", ~source.isin(11, 13))]
+        return profile.stage_verdicts(t.events.withColumn("source", source), ["source"], stages)
+
+    @query("""WITH x AS (SELECT p_name AS name, p_partkey AS k, CASE WHEN p_size % 4 = 0 THEN NULL ELSE p_size END AS v FROM part), e AS (SELECT name, list_distinct(list(v) FILTER (v IS NOT NULL)) AS held FROM x GROUP BY 1),
+w AS (SELECT DISTINCT name, k % 40 AS v FROM x WHERE k % 3 = 0), m AS (SELECT w.*, held FROM w JOIN e USING (name) WHERE NOT list_contains(held, v)),
+n AS (SELECT count_if(len(held) = 1)::BIGINT AS undecided, count_if(len(held) <> 1)::BIGINT AS artefacts, (SELECT count(*) FROM w)::BIGINT AS matched FROM m)
+SELECT 0::BIGINT AS differ, artefacts, undecided, matched, matched - artefacts - undecided AS agree, CASE WHEN undecided > 0 THEN 'INCONCLUSIVE' ELSE 'CONFIRMED' END AS verdict FROM n""")
+    def verdict_misses(t):
+        k, v = F.col("p_partkey"), F.col("p_size")
+        export = t.part.select(F.col("p_name").alias("name"), F.when(v % 4 != 0, v).alias("v"))
+        wanted = t.part.filter(k % 3 == 0).select(F.col("p_name").alias("name"), (k % 40).cast("int").alias("v")).distinct()
+        total = wanted.agg(F.count("*").alias("matched")).first()["matched"]
+        return verdicts.miss_verdict(verdicts.miss_reasons(wanted, export, "name", "v"), F.lit(total))
+
+    @query("""WITH d AS (SELECT *, row_number() OVER () AS pos FROM pages) SELECT 'page_id' AS column_name, count(page_id)::BIGINT AS filled, arg_min(page_id::VARCHAR, pos) AS first FROM d
+UNION ALL SELECT 'url', count(nullif(trim(url, ' '), ''))::BIGINT, arg_min(nullif(trim(url, ' '), ''), pos) FILTER (nullif(trim(url, ' '), '') IS NOT NULL) FROM d""")
+    def column_samples(t):
+        return profile.column_samples(t.pages.select("page_id", "url"))
+
+    @query("""SELECT p_partkey AS k, format('id={}', p_partkey) || CASE WHEN p_size % 3 <> 0 THEN ', body_key=' || chr(39) || p_brand || chr(39) ELSE '' END
+|| CASE WHEN p_size % 2 = 0 THEN ', name_de=' || chr(39) || p_name ELSE ', title=' || chr(39) || p_type END || chr(39) AS line FROM part""")
+    def described_rows(t):
+        size = F.col("p_size")
+        line = verdicts.described(F.col("p_partkey"), F.when(size % 3 != 0, F.col("p_brand")), ("name_de", F.when(size % 2 == 0, F.col("p_name")).otherwise(" ")), ("title", F.col("p_type")))
+        return t.part.select(F.col("p_partkey").alias("k"), line.alias("line"))

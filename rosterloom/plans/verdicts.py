@@ -65,6 +65,31 @@ def misses(rows: DataFrame, reason: str) -> DataFrame:
     return top.withColumn("verdict", verdict((F.coalesce("judged", F.lit(0)) == 0, INCONCLUSIVE), (F.col("most") < EXPLAINED * F.col("judged"), INCONCLUSIVE)))
 
 
+#: The share of people that have to agree, in percent, for a column and a property to be one kind of number.
+AGREEING = 85
+#: Misses that say something of the match by name, not of the identifier.
+ARTEFACTS = ("different person", "ambiguous name", "no value in export")
+
+
+def miss_verdict(found: DataFrame, matched: Column) -> DataFrame:
+    """What misses (``reason`` as ``miss_reasons`` gives it) mean for joining on an identifier, ``matched`` being the people compared: without
+    values that differ all is explained unless some people can't be decided; with some, the share that agrees decides whether both
+    sides hold one kind of number."""
+    n = lambda c, name: F.count_if(c).alias(name)
+    reason = F.col("reason")
+    row = found.agg(n(reason == "value differs", "differ"), n(reason.isin(*ARTEFACTS), "artefacts"), n(reason == "undecided", "undecided")).withColumn("matched", matched.cast("bigint"))
+    row = row.withColumn("agree", F.col("matched") - F.col("differ") - F.col("artefacts") - F.col("undecided"))
+    enough = 100 * F.col("agree") >= AGREEING * F.col("matched")
+    return row.withColumn("verdict", verdict(((F.col("differ") > 0) & ~enough, CONTRADICTED), ((F.col("differ") == 0) & (F.col("undecided") > 0), INCONCLUSIVE)))
+
+
+def described(id_: Column, body: Column, *names: tuple[str, Column]) -> Column:
+    """A row as one line: its id, its body if it has one, and the first of its names that is filled."""
+    quoted = lambda name, x: F.concat(F.lit(f"{name}='"), x.cast("string"), F.lit("'"))
+    first = [F.when(text.blank_to_null(x.cast("string")).isNotNull(), quoted(name, x)) for name, x in names]
+    return F.concat_ws(", ", F.concat(F.lit("id="), F.coalesce(id_.cast("string"), F.lit("None"))), F.when(body.isNotNull(), quoted("body_key", body)), *([F.coalesce(*first)] if first else []))
+
+
 def labels(source: DataFrame, used: DataFrame, name: str, label: str) -> DataFrame:
     """Source names matched with labels in use, as they are and then without a leading numeral; unique
     matches only. Columns: name, label, how (exact, numeral, unmatched) and, for labels nothing took, unused."""
@@ -241,4 +266,4 @@ def same_source_pairs(members: DataFrame, items: DataFrame, statements: DataFram
     return met.join(other, F.col("_q") == other["qid"], "left").select(F.col("_q").alias("qid"), "ours", "graph", "other")
 
 
-__all__ = ["CONFIRMED", "CONTRADICTED", "INCONCLUSIVE", "config_items", "configured", "count_agreement", "dated_column", "findings_by_property", "first_variant", "graph_reach", "id_columns", "identifier_columns", "identifier_gain", "identifier_values", "joinability", "judged", "labels", "link_coverage", "miss_reasons", "misses", "position_item", "property_coverage", "qualifier_readiness", "same_source_pairs", "seat_count", "source_identifier", "start_dates", "tenure_dates", "volume_note", "yaml_block"]
+__all__ = ["CONFIRMED", "CONTRADICTED", "INCONCLUSIVE", "config_items", "configured", "count_agreement", "dated_column", "findings_by_property", "first_variant", "graph_reach", "id_columns", "identifier_columns", "identifier_gain", "identifier_values", "joinability", "judged", "labels", "link_coverage", "described", "miss_reasons", "miss_verdict", "misses", "position_item", "property_coverage", "qualifier_readiness", "same_source_pairs", "seat_count", "source_identifier", "start_dates", "tenure_dates", "volume_note", "yaml_block"]

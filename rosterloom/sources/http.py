@@ -56,13 +56,13 @@ class Page(InputPartition):
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.template, self.field = options["url"], options.get("field", "")
-        self.pages, self.delay = int(options.get("pages", "1")), float(options.get("delay", "1.0"))
+        self.pages, self.delay, self.agent = int(options.get("pages", "1")), float(options.get("delay", "1.0")), options.get("agent", AGENT)
 
     def partitions(self) -> list[Page]:
         return [Page(self.template.replace("{page}", str(k))) for k in range(self.pages)]
 
     def read(self, partition: Page) -> Iterator[tuple[str]]:
-        found = get_json(partition.url, least_delay=self.delay)
+        found = get_json(partition.url, least_delay=self.delay, agent=self.agent)
         for name in filter(None, self.field.split(".")):
             found = found[name]
         for record in found if isinstance(found, list) else [found]:
@@ -86,10 +86,10 @@ class PagedJson(DataSource):
 class _XmlReader(DataSourceReader):
     def __init__(self, options: dict):
         self.template, self.tag, self.total = options["url"], options.get("record", "Hit"), options.get("total", "numHits")
-        self.size, self.delay = int(options.get("size", "500")), float(options.get("delay", "1.0"))
+        self.size, self.delay, self.agent = int(options.get("size", "500")), float(options.get("delay", "1.0")), options.get("agent", AGENT)
 
     def _page(self, start: int) -> ET.Element:
-        return get_json(self.template.replace("{start}", str(start)).replace("{size}", str(self.size)), least_delay=self.delay, parse=ET.fromstring)
+        return get_json(self.template.replace("{start}", str(start)).replace("{size}", str(self.size)), least_delay=self.delay, agent=self.agent, parse=ET.fromstring)
 
     def partitions(self) -> list[Page]:
         return [Page(str(k)) for k in range(0, int(self._page(0).get(self.total, "0")), self.size)]
@@ -126,6 +126,7 @@ class _ODataReader(DataSourceReader):
         self.url, self.size, self.delay, self.columns, self.kinds = options["url"], int(options.get("size", "1000")), float(options.get("delay", "1.0")), list(columns), columns
         self.first = int(options["first"]) if "first" in options else None
         self.where: list[str] = []
+        self.agent = options.get("agent", AGENT)
 
     def pushFilters(self, filters):
         for f in filters:
@@ -145,12 +146,12 @@ class _ODataReader(DataSourceReader):
         return self.url + path + ("?" + urllib.parse.urlencode(query) if query else "")
 
     def partitions(self) -> list[Page]:
-        total = int(get_json(self._address("/$count"), least_delay=self.delay, parse=lambda x: int(x.decode("utf-8-sig"))))
+        total = int(get_json(self._address("/$count"), least_delay=self.delay, agent=self.agent, parse=lambda x: int(x.decode("utf-8-sig"))))
         total = total if self.first is None else min(total, self.first)
         return [Page(self._address(skip=k, top=min(self.size, total - k), select=",".join(self.columns))) for k in range(0, total, self.size)]
 
     def read(self, partition: Page) -> Iterator[tuple]:
-        found = get_json(partition.url, least_delay=self.delay)
+        found = get_json(partition.url, least_delay=self.delay, agent=self.agent)
         found = found.get("d", found) if isinstance(found, dict) else found
         rows = found if isinstance(found, list) else found.get("results", found.get("value", []))
         for record in rows:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from rosterloom.functions import text
-from rosterloom.sources.http import _literal, get_json
+from rosterloom.sources.http import AGENT, _literal, get_json
 
 #: Tables of the service and the columns of a vote's number, the best first.
 VOTE_TABLE, BALLOT_TABLE = "Vote", "Voting"
@@ -65,7 +65,7 @@ class _KeyedReader(DataSourceReader):
         self.url, self.table, self.key = options["url"], options["table"], options["key"]
         self.keys, self.equal = json.loads(options["keys"]), json.loads(options.get("equal", "{}"))
         self.size, self.delay, self.count = int(options.get("size", "1000")), float(options.get("delay", "1.0")), options.get("count", "false") == "true"
-        self.columns = columns
+        self.columns, self.agent = columns, options.get("agent", AGENT)
 
     def partitions(self) -> list[KeyPartition]:
         return [KeyPartition(k) for k in self.keys]
@@ -75,12 +75,12 @@ class _KeyedReader(DataSourceReader):
         equal = self.equal | {self.key: partition.key}
         try:
             if self.count:
-                n = get_json(address(self.url, f"{self.table}/$count", equal), least_delay=self.delay, parse=lambda x: int(x.decode("utf-8-sig")))
+                n = get_json(address(self.url, f"{self.table}/$count", equal), least_delay=self.delay, agent=self.agent, parse=lambda x: int(x.decode("utf-8-sig")))
                 yield (str(partition.key), None, n)
                 return
             at, following = 0, address(self.url, self.table, equal, skip=0, top=self.size)
             while following:
-                rows, named = records(get_json(following, least_delay=self.delay))
+                rows, named = records(get_json(following, least_delay=self.delay, agent=self.agent))
                 for row in rows:
                     yield (str(partition.key), None, *[None if row.get(c) is None else str(row[c]) for c in self.columns])
                 at += len(rows)

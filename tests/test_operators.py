@@ -126,3 +126,62 @@ def test_joins_refuse_to_arbitrate(spark):
 def test_numbered_without_gathering(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x"))
     assert sorted((r["x"], r["n"]) for r in profile.numbered(df, ["x"], "n").collect()) == [(k, k + 1) for k in range(1000)]
+
+
+def test_a_sweep_meets_each_pair_once(spark):
+    rng = random.Random(9)
+
+    def rows(n, long):
+        out = []
+        for k in range(n):
+            start = D(2000, 1, 1) + dt.timedelta(rng.choice([7, rng.randrange(400)]))
+            out.append((k, start, None if rng.random() < 0.02 else start + dt.timedelta(rng.randrange(-1, long if rng.random() < 0.05 else 6))))
+        return out
+
+    a, b = rows(400, 300), rows(300, 300)
+    last = lambda e: e or D.max
+    want = sorted((i, j) for i, s1, e1 in a for j, s2, e2 in b if s1 <= last(e1) and s2 <= last(e2) and s1 <= last(e2) and s2 <= last(e1))
+    left, right = spark.createDataFrame(a, "i int, s date, e date"), spark.createDataFrame(b, "j int, s2 date, e2 date")
+    for size in (50, 10_000):
+        got = intervals.sweep(left, right, ("s", "e"), ("s2", "e2"), cell_rows=size)
+        assert got.columns == ["i", "s", "e", "j", "s2", "e2"] and sorted((r["i"], r["j"]) for r in got.collect()) == want
+    assert intervals.sweep(left.limit(0), right, ("s", "e"), ("s2", "e2")).count() == 0
+
+
+def fold(pairs, pick):
+    taken, out = set(), {}
+    for m in sorted({m for m, *_ in pairs}):
+        got = pick(sorted(p for p in pairs if p[0] == m and p[1] not in taken))
+        if got is not None:
+            taken.add(got)
+            out[m] = got
+    return out
+
+
+def test_parallel_assignment_is_the_fold(spark):
+    from rosterloom.plans import resolve
+
+    def ladder(free):
+        agree, seated = [p for p in free if p[3]], [p for p in free if p[2]]
+        if agree:
+            return agree[0][1] if len(agree) == 1 else None
+        if len(seated) == 1:
+            return seated[0][1]
+        return free[0][1] if not seated and len(free) == 1 else None
+
+    rng = random.Random(10)
+    for members, items, most in ((40, 30, 4), (60, 12, 3)):
+        pairs = sorted({(m, f"Q{rng.randrange(items)}") for m in range(members) for _ in range(rng.randrange(1, most + 1))})
+        rows = [(m, q, rng.random() < 0.3, rng.random() < 0.2, rng.randrange(5)) for m, q in pairs]
+        df = spark.createDataFrame(rows, "ord long, _q string, _seated boolean, _agrees boolean, score int")
+        got = {r["ord"]: r["_q"] for r in resolve.settled(df, "ord", "_q", resolve._picks, whole=True).collect()}
+        assert got == fold(rows, ladder)
+        best = fold(rows, lambda free: max(free, key=lambda p: (p[4], -int(p[1][1:])))[1] if free else None)
+        wanted = df.select(F.lit(1).alias("g"), "ord", F.substring("_q", 2, 9).cast("int").alias("i"), "score", F.col("ord").alias("o"))
+        assert {r["ord"]: f"Q{r['i']}" for r in joins.greedy_assign(wanted, "g", "ord", "o", "i", "score").collect()} == best
+
+
+def test_spare_rows_of_an_alignment(spark):
+    left, right = spark.createDataFrame([(1, "a", "x"), (2, "b", "y")], "l int, f string, s string"), spark.createDataFrame([(10, "a", "x"), (11, "c", "z")], "r int, f2 string, s2 string")
+    met = joins.two_signal_align(left, right, "l", "r", ("f", "f2"), ("s", "s2"))
+    assert [r["r"] for r in joins.spare_right(met, right, "r").collect()] == [11]

@@ -72,6 +72,26 @@ def test_configurations_that_cannot_be_used(wrong):
         Config.of(wrong)
 
 
+def test_configurations_that_no_service_should_see():
+    good = dict(bodies=[dict(council="NR", position_qid="Q1")], user_agent="roster check (mailto:a@b.ch)")
+    assert Config.of(good).problems() == []
+    enrich = dict(source="directory", body_key="CHE", groups={"NR": 1})
+    assert Config.of(good | {"enrich": enrich}).problems() == []
+    no_ids = dict(identifier_from_source=False, identifier_verified=False)
+    wrong = [
+        (dict(bodies=[]), "no chamber"), (no_ids | dict(source="other"), "source is"), (no_ids | dict(source="mandates"), "exact name"), (no_ids | dict(source="directory"), "body_key"),
+        (dict(source="directory", body_key="ZH"), "gives no value"), (dict(identifier_from_source=False), "identifier_verified"), (dict(user_agent=" "), "name who asks"),
+        (dict(user_agent="Example bot https://x.ch"), "placeholder"), (dict(user_agent="somebody"), "no address"), (dict(enrich=enrich | {"source": "register"}), "only a directory"),
+        (dict(enrich=enrich | {"groups": {}}), "no council's group"), (dict(enrich=enrich | {"groups": {"SR": 2}}), "bodies hasn't"), (no_ids | dict(source="directory", body_key="CHE", enrich=enrich), "always agree"),
+    ]
+    for change, said in wrong:
+        (problem,) = Config.of(good | change).problems()
+        assert said in problem
+    for change in (dict(enrich=[1]), dict(bodies={"a": 1}), dict(parties=["x"]), dict(roles="Mitglied")):
+        with pytest.raises(ValueError, match="has to be"):
+            Config.of(good | change)
+
+
 def test_scans(spark):
     source, _ = tables(spark)
     made = []

@@ -124,3 +124,20 @@ def test_columns_across_sheets():
     assert workbook.find_column(headers, ["datum_eintritt_jahr", "jahr"]) == [("Einsitze", "datum_eintritt_jahr")]
     assert workbook.find_column(headers, ["beruf"]) == [("Einsitze", "person_beruf")]
     assert workbook.find_column(headers, ["gnd"]) == []
+
+
+def test_a_long_sheet_comes_in_batches(spark, tmp_path):
+    import tracemalloc
+
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("xl/sharedStrings.xml", "<sst>" + "".join(f"<si><t>s{k}</t></si>" for k in range(1000)) + "</sst>")
+        z.writestr("xl/worksheets/sheet1.xml", "<worksheet><sheetData><row><c><v>id</v></c><c><v>name</v></c></row>" + "".join(f"<row><c><v>{k}</v></c><c t='s'><v>{k % 1000 if k % 7 else 99999}</v></c></row>" for k in range(60_000)) + "</sheetData></worksheet>")
+    tracemalloc.start()
+    assert sum(1 for r in workbook.records(out.getvalue()) if r[3]) == 60_000 and tracemalloc.get_traced_memory()[1] < 20e6
+    tracemalloc.stop()
+    (tmp_path / "long.xlsx").write_bytes(out.getvalue())
+    (tmp_path / "broken.xlsx").write_bytes(out.getvalue()[:5000])
+    rows = workbook.read(spark, str(tmp_path))
+    assert rows.filter("error IS NULL").count() == 60_000 and rows.filter("error IS NOT NULL").count() == 1
+    assert {r["row"]: r["values"]["name"] for r in rows.filter("row IN (7, 8)").collect()} == {7: "99999", 8: "s8"}
