@@ -55,7 +55,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for name, stage in STAGES:
         docs = store.written(spark, stage(spark, docs, sf_dir), name)
+        if before is not None:
+            store.removed(spark, before)  # the next stage has read it to the end
+        before = docs
     return docs

@@ -15,7 +15,7 @@ hundred KB) is all that the driver gets; it is broadcast, scoring is one pass wi
 bounded by a slice of windows.
 
 Cases: null texts and texts without a letter are ``und`` with score 0; null or repeated doc_ids are
-predicted like others and are not held out when null; rows with a null lang are never learned from;
+predicted like others; a row with a null doc_id is neither held out nor learned from, one with a null lang never learned from;
 without any labelled row all texts are ``und``; with one language all are that language; an empty
 table gives no rows; other columns are not read.
 """

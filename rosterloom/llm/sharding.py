@@ -10,7 +10,8 @@ a task reads its part sorted by bucket, each bucket is in a canonical order, is
 own seed, and its records take consecutive places; each shard is an equal share of the places. A task holds one
 bucket at a time, at any number of buckets. The shards are written as folders of files in the shared
 folder, one for each shard, so a lost executor repeats a part and nothing else, and a reader of one shard reads
-no other. Law: ``rows``.
+no other. Law: ``rows``, under which equal texts are spread like any others: counts at most one apart cannot keep a group in one shard, so
+groups of equal texts have no meaning of their own here.
 
 The scatter is written out as a table before it is used twice; its size is that of the input.
 

@@ -1,6 +1,6 @@
 """Exact top-k search by inner product with a KD-tree for each shard.
 
-Vectors are scaled to integers floor(scale * x). A coarse KD-tree, median splits of a bounded sample
+Vectors count as integers floor(scale * x); they are held as they are and scaled where they are compared. A coarse KD-tree, median splits of a bounded sample
 (``SAMPLE_VALUES`` numbers), deals all rows into cells; each cell's tight box is taken from all its
 rows, and a cell with more than ``shard_rows`` rows is cut into shards by a hash of the row, so equal
 vectors, however many, spread. Queries are rows of the same table. A box bounds the inner product of a
@@ -20,8 +20,8 @@ below 2 ** 53, otherwise in whole numbers of any size; the k-th score is handed
 
 Cases: a vector that is null, or holds a null or non-finite component, and a row with a null id take
 no part; vectors of different lengths are never compared; ties go to the smaller id, then to the
-earlier row; rows that repeat an id are rows of their own, each a candidate of the other; scores are held to the range of a
-long; with fewer than k candidates all are returned; a query without candidates has no rows; an empty table gives no rows; other
+earlier row; rows that repeat an id are rows of their own, each a candidate of the other; scores are whole numbers of any size
+until the result, which holds them to the range of a long in their true order; with fewer than k candidates all are returned; a query without candidates has no rows; an empty table gives no rows; other
 columns are not read.
 """
 
@@ -111,17 +111,38 @@ def _matrix(column: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), lists.flatten().to_numpy(zero_copy_only=False)
 
 
-def _exact(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Both as doubles if every sum of products of their numbers is exact in doubles, else as whole numbers of any size."""
-    top = lambda m: max(abs(int(m.max())), abs(int(m.min()))) if m.size else 0
-    kind = np.float64 if top(x) * top(y) * max(x.shape[1], 1) < 1 << 53 else object
-    return x.astype(kind), y.astype(kind)
+def _scaled(x: np.ndarray, scale: int, wide: bool) -> np.ndarray:
+    """floor(scale * x) as doubles, or if ``wide`` as whole numbers of any size."""
+    if not wide:
+        return np.floor(x * scale)
+    one = lambda v: int(np.floor(v * scale)) if abs(v) * scale < 1 << 53 else int(v) * scale + int(np.floor((v % 1) * scale)) if v % 1 else int(v) * scale
+    return np.array([one(v) for v in x.reshape(-1).tolist()], object).reshape(x.shape)
+
+
+def _exact(x: np.ndarray, y: np.ndarray, scale: int) -> tuple[np.ndarray, np.ndarray]:
+    """Both scaled: as doubles if every sum of products of their numbers is exact in doubles, else as whole numbers of any size."""
+    top = lambda m: int(np.abs(m).max(initial=0)) * scale + scale
+    wide = top(x) * top(y) * max(x.shape[1], 1) >= 1 << 53
+    return _scaled(x, scale, wide), _scaled(y, scale, wide)
+
+
+def _key(score: int) -> bytes:
+    """Bytes that are in the order of whole numbers of any size."""
+    size = abs(score).to_bytes(-(-abs(score).bit_length() // 8) or 1)
+    own = len(size).to_bytes(2) + size
+    return b"\1" + own if score >= 0 else b"\0" + bytes(255 - b for b in own)
+
+
+def _score(key: bytes) -> int:
+    if key[:1] == b"\1":
+        return int.from_bytes(key[3:])
+    return -int.from_bytes(bytes(255 - b for b in key[3:]))
 
 
 def split(rows: np.ndarray, cells: int, first: int) -> tuple:
     """A coarse tree: (axis, threshold, below, not below) or the number of a cell, at most ``cells`` from ``first`` on."""
     if cells > 1 and len(rows) > 1:
-        axis = int(np.argmax(rows.max(0).astype(object) - rows.min(0).astype(object))) if rows.shape[1] else -1
+        axis = int(np.argmax(rows.max(0) / 2 - rows.min(0) / 2)) if rows.shape[1] else -1
         values = np.sort(rows[:, axis]) if axis >= 0 else np.zeros(1)
         at = values[len(values) // 2]
         if at == values[0]:
@@ -129,7 +150,7 @@ def split(rows: np.ndarray, cells: int, first: int) -> tuple:
             at = more[0] if len(more) else None
         if at is not None and axis >= 0:
             low = rows[:, axis] < at
-            return axis, int(at), split(rows[low], cells // 2, first), split(rows[~low], cells - cells // 2, first + cells // 2)
+            return axis, float(at), split(rows[low], cells // 2, first), split(rows[~low], cells - cells // 2, first + cells // 2)
     return (first,)
 
 
@@ -171,30 +192,30 @@ def _boxes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = flat[starts[own][:, None] + np.arange(sizes[own[0]])]
             n, low, high = held.get(c, (0, rows[0], rows[0]))
             held[c] = [n + len(own), np.minimum(low, rows.min(0)), np.maximum(high, rows.max(0))]
-    lists = [pa.array([x[k] for x in held.values()], pa.list_(pa.int64())) for k in (1, 2)]
+    lists = [pa.array([x[k] for x in held.values()], pa.list_(pa.float64())) for k in (1, 2)]
     yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), pa.array([x[0] for x in held.values()], pa.int64()), *lists], ["cell", "n", "low", "high"])
 
 
 def _joined_boxes(table: pa.Table) -> pa.Table:
-    low, high = (np.stack(table[c].to_pylist()).astype(np.int64) if table.num_rows else None for c in ("low", "high"))
-    return pa.table({"cell": table["cell"][:1], "n": [sum(table["n"].to_pylist())], "low": pa.array([low.min(0)], pa.list_(pa.int64())), "high": pa.array([high.max(0)], pa.list_(pa.int64()))})
+    low, high = (np.stack(table[c].to_pylist()).astype(np.float64) if table.num_rows else None for c in ("low", "high"))
+    return pa.table({"cell": table["cell"][:1], "n": [sum(table["n"].to_pylist())], "low": pa.array([low.min(0)], pa.list_(pa.float64())), "high": pa.array([high.max(0)], pa.list_(pa.float64()))})
 
 
-def _routed(shared, home: bool):
+def _routed(shared, home: bool, scale: int):
     """Queries with the shards they go to: the one with the best bound, or all but that one whose bound isn't below ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sizes, flat = _matrix(batch.column(2))
             starts = np.cumsum(sizes) - sizes
-            uids, least = batch.column(0).to_numpy(), batch.column(3).to_pylist()
+            uids, least = batch.column(0).to_numpy(), [None if k is None else _score(k) for k in batch.column(3).to_pylist()]
             cut = (uids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)
             row, cell, piece = [], [], []
             for size in np.unique(sizes).tolist():
                 own = np.flatnonzero(sizes == size)
                 cells, low, high, pieces = shared.value[size]
                 q = flat[starts[own][:, None] + np.arange(size)]
-                x, both = _exact(q, np.concatenate((low, high)))
+                x, both = _exact(q, np.concatenate((low, high)), scale)
                 low, high = both[: len(low)], both[len(low) :]
                 bounds = np.stack([np.maximum(x * a, x * b).sum(1) for a, b in zip(low, high)], 1)
                 for r, b in zip(own.tolist(), bounds):
@@ -210,15 +231,15 @@ def _routed(shared, home: bool):
     return run
 
 
-def _searched(k: int):
-    names = ["uid", "query_id", "vec_id", "vec_uid", "score"]
+def _searched(k: int, scale: int):
+    names = ["uid", "query_id", "vec_id", "vec_uid", "key"]
 
     def run(vectors: pa.Table, queries: pa.Table) -> pa.Table:
         out: list[tuple] = []
         if vectors.num_rows and queries.num_rows:
             ids, uids = vectors["vec_id"].to_numpy(), vectors["uid"].to_numpy()
             sizes, flat = _matrix(vectors["v"])
-            q_ids, q_uids, least = queries["vec_id"].to_numpy(), queries["uid"].to_numpy(), queries["least"].to_pylist()
+            q_ids, q_uids, least = queries["vec_id"].to_numpy(), queries["uid"].to_numpy(), [None if x is None else _score(x) for x in queries["least"].to_pylist()]
             q_sizes, q_flat = _matrix(queries["v"])
             starts, q_starts = np.cumsum(sizes) - sizes, np.cumsum(q_sizes) - q_sizes
             for size in np.unique(q_sizes).tolist():
@@ -227,19 +248,25 @@ def _searched(k: int):
                     continue
                 x = flat[starts[rows][:, None] + np.arange(size)]
                 y = q_flat[q_starts[asked][:, None] + np.arange(size)]
-                x, y = _exact(x, y)
+                x, y = _exact(x, y, scale)
                 tree = Tree(x)
                 for at, q in zip(asked.tolist(), y):
                     low = -np.inf if least[at] is None else least[at]
                     for score, i, u in tree.search(q, k, ids[rows], uids[rows], q_uids[at], low):
-                        out.append((int(q_uids[at]), int(q_ids[at]), -i, -u, max(-_LONG - 1, min(_LONG, int(score)))))
-        return pa.table([pa.array([r[n] for r in out], pa.int64()) for n in range(5)], names)
+                        out.append((int(q_uids[at]), int(q_ids[at]), -i, -u, _key(int(score))))
+        return pa.table([*[pa.array([r[n] for r in out], pa.int64()) for n in range(4)], pa.array([r[4] for r in out], pa.binary())], names)
 
     return run
 
 
+def _held_to_longs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        scores = [max(-_LONG - 1, min(_LONG, _score(k))) for k in batch.column(3).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(scores, pa.int64())], ["query_id", "rank", "vec_id", "score"])
+
+
 def _best(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("uid").orderBy(F.desc("score"), "vec_id", "vec_uid")
+    order = Window.partitionBy("uid").orderBy(F.desc("key"), "vec_id", "vec_uid")
     return found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
 
 
@@ -264,40 +291,41 @@ def search(spark: SparkSession, vectors: DataFrame, every: int, k: int = K, scal
     x = F.col("embedding").cast("array<double>")
     finite = F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf")))
     scaled = vectors.filter(F.col("vec_id").isNotNull() & F.col("embedding").isNotNull() & finite)
-    scaled = scaled.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.transform(x, lambda e: F.floor(e * F.lit(float(scale)))).alias("v"), F.monotonically_increasing_id().alias("uid"))
+    scaled = scaled.select(F.col("vec_id").cast("bigint").alias("vec_id"), x.alias("v"), F.monotonically_increasing_id().alias("uid"))
     held = store.written(spark, scaled, "vectors")
     widest = held.agg(F.max(F.size("v")).alias("w")).first()["w"] or 1
     shard_rows, block_queries = shard_rows or max(1, SHARD_VALUES // widest), block_queries or max(1, BLOCK_VALUES // widest)
     trees = spark.sparkContext.broadcast(_cells(held, shard_rows))
-    dealt = store.written(spark, held.mapInArrow(_dealt(trees), "vec_id bigint, v array<bigint>, uid bigint, cell int"), "dealt")
-    box = "cell int, n bigint, low array<bigint>, high array<bigint>"
+    dealt = store.written(spark, held.mapInArrow(_dealt(trees), "vec_id bigint, v array<double>, uid bigint, cell int"), "dealt")
+    box = "cell int, n bigint, low array<double>, high array<double>"
     boxes = dealt.select("cell", "v").mapInArrow(_boxes, box).groupBy("cell").applyInArrow(_joined_boxes, box).orderBy("cell").collect()
     pieces = {b["cell"]: -(-b["n"] // shard_rows) for b in boxes}
     by_size: dict[int, tuple] = {}
     for size in {len(b["low"]) for b in boxes}:
         own = [b for b in boxes if len(b["low"]) == size]
-        by_size[size] = ([b["cell"] for b in own], *[np.array([b[c] for b in own], np.int64).reshape(len(own), size) for c in ("low", "high")], [pieces[b["cell"]] for b in own])
+        by_size[size] = ([b["cell"] for b in own], *[np.array([b[c] for b in own], np.float64).reshape(len(own), size) for c in ("low", "high")], [pieces[b["cell"]] for b in own])
     shared = spark.sparkContext.broadcast(by_size)
     cut = F.broadcast(spark.createDataFrame(list(pieces.items()), "cell int, pieces bigint"))  # a row a cell
     shards = dealt.join(cut, "cell").withColumn("piece", F.pmod(F.xxhash64("uid"), "pieces").cast("int")).drop("pieces")
     asked = dealt.filter(F.col("vec_id") % every == 0).select("uid", "vec_id", "v")
-    schema = "uid bigint, query_id bigint, vec_id bigint, vec_uid bigint, score bigint"
-    goes = "uid bigint, vec_id bigint, v array<bigint>, least bigint, cell int, piece int"
+    schema = "uid bigint, query_id bigint, vec_id bigint, vec_uid bigint, key binary"
+    goes = "uid bigint, vec_id bigint, v array<double>, least binary, cell int, piece int"
 
     def met(queries: DataFrame, home: bool) -> DataFrame:
-        routed = store.written(spark, queries.mapInArrow(_routed(shared, home), goes), "routed")
+        routed = store.written(spark, queries.mapInArrow(_routed(shared, home, scale), goes), "routed")
         blocks = routed.groupBy("cell", "piece").agg(F.ceil(F.count("*") / block_queries).cast("int").alias("blocks"))
         blocks = store.written(spark, blocks, "blocks")
         each = shards.join(blocks, ["cell", "piece"]).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
         mine = routed.join(blocks.toDF(*blocks.columns), ["cell", "piece"]).withColumn("block", F.pmod(F.xxhash64(F.lit(1), "uid"), "blocks").cast("int"))
         keys = ["cell", "piece", "block"]
-        return each.groupBy(*keys).cogroup(mine.groupBy(*keys)).applyInArrow(_searched(k), schema)
+        return each.groupBy(*keys).cogroup(mine.groupBy(*keys)).applyInArrow(_searched(k, scale), schema)
 
-    first = store.written(spark, met(asked.withColumn("least", F.lit(None).cast("bigint")), True), "home")
+    first = store.written(spark, met(asked.withColumn("least", F.lit(None).cast("binary")), True), "home")
     if sum(pieces.values()) > 1:
-        least = first.groupBy("uid").agg(F.count("*").alias("n"), F.min("score").alias("least")).filter((F.col("n") >= k) & (F.col("least") > -_LONG - 1)).select("uid", "least")
+        least = first.groupBy("uid").agg(F.count("*").alias("n"), F.min("key").alias("least")).filter(F.col("n") >= k).select("uid", "least")
         first = first.unionByName(met(asked.join(least, "uid", "left"), False))
-    return _best(first, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+    found = _best(first, k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "key")
+    return found.mapInArrow(_held_to_longs, "query_id bigint, rank int, vec_id bigint, score bigint")
 
 
 #: The same in DuckDB SQL over the table embeddings.

@@ -212,7 +212,7 @@ def clean(docs: DataFrame, labels: DataFrame, folds: int = 5) -> DataFrame:
     """The rows of ``docs`` that the classifier doesn't take for toxic, with their columns as they are."""
     model = fit(docs, labels, fold(F.col("doc_id"), folds) != 0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    at = docs.columns.index("text")
+    at = docs.columns.index(next((c for c in docs.columns if c == "text"), None) or next(c for c in docs.columns if c.lower() == "text"))  # as Spark resolves it
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value

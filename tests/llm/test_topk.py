@@ -49,7 +49,11 @@ def test_odd_vectors(spark):
 def test_large_components_stay_exact(spark):
     rows = [(0, [float(1 << 20), 1 / 256]), (1, [float(1 << 20), 1 / 256]), (2, [float(1 << 20), 2 / 256]), (3, [-1.0, 1.0])]
     assert got(spark, rows) == brute(rows, 10, 5)
-    assert [r[2] for r in got(spark, [(0, [3e38, 1.0]), (1, [3e38, 1.0]), (2, [3e38, 2.0])])] == [1, 2]
+    assert [r[2] for r in got(spark, [(0, [3e38, 1.0]), (1, [3e38, 1.0]), (2, [3e38, 2.0])])] == [2, 1]
+    far = [(0, [1e17, -1e17]), (1, [1e17, -1e17]), (2, [2e17, -1e17]), (3, [3e17, -1e17]), (4, [-3e38, 1.5]), (5, [1e17, 1e17 + 64])]
+    assert [(r[2], r[3]) for r in got(spark, far)][:3] == [(3, (1 << 63) - 1), (2, (1 << 63) - 1), (1, (1 << 63) - 1)] and [r[2] for r in got(spark, far)][3:] == [5, 4]
+    keys = [-(1 << 90), -300, -1, 0, 1, 255, 256, 1 << 70]
+    assert sorted(keys, key=topk._key) == keys and [topk._score(topk._key(k)) for k in keys] == keys
 
 
 def test_scores_beyond_doubles_over_many_shards(spark):
