@@ -8,6 +8,7 @@ import pyarrow as pa
 import pyarrow.parquet as pq
 
 import __spark_entry__
+from rosterloom.operators import intervals
 
 
 def same(spark, folder, name, tables):
@@ -38,3 +39,14 @@ def test_first_values_are_those_of_the_first_file(spark, tmp_path):
     pages = lambda ids, url: pa.table({"page_id": pa.array(ids, pa.int64()), "url": pa.array([url(k) for k in ids], pa.string())})
     files = [pages([], str), pages([7], lambda k: "  "), pages([5, 6], lambda k: None if k == 5 else f" http://{k}"), pages(list(range(100, 20_000)), lambda k: f"http://{k}")]
     same(spark, tmp_path, "column_samples", {"pages": files})
+
+
+def test_intervals_of_many_rows_are_swept_once(spark, tmp_path, monkeypatch):
+    sizes, plain = [], intervals.overlap_join
+    monkeypatch.setattr(intervals, "overlap_join", lambda a, b, *more: sizes.append((a.count(), b.count())) or plain(a, b, *more))
+    day, n = datetime.datetime(1996, 5, 4), 3_000
+    later = [day + datetime.timedelta(k) for k in (0, 1, 4)]
+    orders = pa.table({"o_orderkey": [*range(1, n + 1), None], "o_orderdate": pa.array([later[k % 3] for k in range(n)] + [day], pa.timestamp("us")), "o_orderstatus": [*("PFO"[k % 2] for k in range(n)), None]})
+    lineitem = pa.table({"l_orderkey": [*range(n)], "l_shipdate": pa.array([later[k % 2] if k % 9 else None for k in range(n)], pa.timestamp("us")), "l_linenumber": pa.array([k % 4 if k % 7 else None for k in range(n)], pa.int32()), "l_quantity": [float(k % 40) for k in range(n)]})
+    same(spark, tmp_path, "interval_overlap_sweep", {"orders": [orders], "lineitem": [lineitem]})
+    assert max(sizes[0]) < 20
