@@ -9,6 +9,7 @@ import pyarrow.parquet as pq
 
 import __spark_entry__
 from rosterloom.operators import intervals
+from rosterloom.plans import resolve
 
 
 def same(spark, folder, name, tables):
@@ -50,3 +51,15 @@ def test_intervals_of_many_rows_are_swept_once(spark, tmp_path, monkeypatch):
     lineitem = pa.table({"l_orderkey": [*range(n)], "l_shipdate": pa.array([later[k % 2] if k % 9 else None for k in range(n)], pa.timestamp("us")), "l_linenumber": pa.array([k % 4 if k % 7 else None for k in range(n)], pa.int32()), "l_quantity": [float(k % 40) for k in range(n)]})
     same(spark, tmp_path, "interval_overlap_sweep", {"orders": [orders], "lineitem": [lineitem]})
     assert max(sizes[0]) < 20
+
+
+def test_members_of_one_name_and_birth_date_are_resolved_as_one_kind(spark, tmp_path, monkeypatch):
+    sizes, plain = [], resolve.settled_alike
+    monkeypatch.setattr(resolve, "settled_alike", lambda m, pairs, *more: sizes.append((m.count(), pairs.count())) or plain(m, pairs, *more))
+    keys = [125 * k + n for k in range(60) for n in (1, 7, 30)]
+    parts = [125 * k + n for k in range(4) for n in (1, 7, 30, 18)]
+    customer = pa.table({"c_custkey": keys})
+    part = pa.table({"p_partkey": parts, "p_size": pa.array([4 if k % 3 == 0 else k % 7 for k in parts], pa.int32()), "p_brand": [f"Brand#{k % 4}" for k in parts]})
+    same(spark, tmp_path, "resolve_names", {"customer": [customer], "part": [part]})
+    ((members, pairs),) = sizes
+    assert members == len(keys) and pairs <= 3 * 8 * len(parts)
