@@ -97,14 +97,34 @@ def _log_share(x: np.ndarray) -> np.ndarray:
 def estimate(more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, count: int = REGISTERS) -> np.ndarray:
     """Jaccard similarities that maximise the joint likelihood, from the counts of registers (of ``count``) that
     are larger and smaller in a than in b and the sizes of the sets (arrays of one length)."""
-    u = (n_a / (n_a + n_b))[:, None]
-    most = np.minimum(u / (1 - u), (1 - u) / u)
-    j = _GRID * most
+    u = n_a / (n_a + n_b)
+    j = _GRID * _most(u)[:, None]
+    return np.take_along_axis(j, _likelihood(j, u[:, None], more[:, None], less[:, None], count).argmax(1)[:, None], 1)[:, 0]
+
+
+def _most(u: np.ndarray) -> np.ndarray:
+    return np.minimum(u / (1 - u), (1 - u) / u)
+
+
+def _likelihood(j: np.ndarray, u: np.ndarray, more: np.ndarray, less: np.ndarray, count: int) -> np.ndarray:
     p, q = _log_share(u - (1 - u) * j), _log_share((1 - u) - u * j)
     tiny = 1e-12
     same = count - more - less
-    likely = more[:, None] * np.log(np.maximum(p, tiny)) + less[:, None] * np.log(np.maximum(q, tiny)) + same[:, None] * np.log(np.maximum(1 - p - q, tiny))
-    return np.take_along_axis(j, likely.argmax(1)[:, None], 1)[:, 0]
+    return more * np.log(np.maximum(p, tiny)) + less * np.log(np.maximum(q, tiny)) + same * np.log(np.maximum(1 - p - q, tiny))
+
+
+def reaches(least: float, more: np.ndarray, less: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, count: int = REGISTERS) -> np.ndarray:
+    """Whether ``estimate`` is at least ``least``. The likelihood is concave in the similarity, so two steps of the grid
+    tell on which side of ``least`` its maximum lies."""
+    u = n_a / (n_a + n_b)
+    fits = _GRID * _most(u)[:, None] >= least
+    at = np.where(fits.any(1), fits.argmax(1), len(_GRID))
+    out = at == 0
+    k = np.flatnonzero((at > 0) & (at < len(_GRID)))
+    j = _GRID[at[k, None] + np.array([-1, 0])] * _most(u[k])[:, None]
+    f = _likelihood(j, u[k, None], more[k, None], less[k, None], count)
+    out[k] = f[:, 1] > f[:, 0]
+    return out
 
 
 def linked(inter: np.ndarray, n_a: np.ndarray, n_b: np.ndarray, percent: int = PERCENT) -> np.ndarray:
@@ -184,8 +204,10 @@ def _cross(table: pa.Table, percent: int) -> pa.Table:
         if not len(others):
             continue
         more, less = (sketch[k] > sketch[others]).sum(1), (sketch[k] < sketch[others]).sum(1)
+        close = reaches(percent / 100 - MARGIN, more, less, np.full(len(others), float(n[k])), n[others].astype(float), sketch.shape[1])
+        others, more, less = others[close], more[close], less[close]
         likely = estimate(more, less, np.full(len(others), float(n[k])), n[others].astype(float), sketch.shape[1])
-        for o in others[likely >= percent / 100 - MARGIN][np.argsort(-likely[likely >= percent / 100 - MARGIN], kind="stable")].tolist():
+        for o in others[np.argsort(-likely, kind="stable")].tolist():
             a, b = root(int(comps[k])), root(int(comps[o]))
             if a == b:
                 continue

@@ -135,3 +135,14 @@ def test_clean_keeps_one_row_of_each_class(spark):
     assert kept.columns == df.columns
     want = [(3, near), (None, "alone here"), (None, "more alone"), (None, None), (4, ""), (5, "five"), (5, "six")]
     assert sorted([(r["doc_id"], r["text"]) for r in kept.collect()], key=str) == sorted(want, key=str)
+
+
+def test_two_steps_tell_whether_an_estimate_reaches_a_threshold():
+    rng = np.random.default_rng(5)
+    for count in (80, 108):
+        more = rng.integers(0, count // 2 + 1, 40_000)
+        less, n_a, n_b = rng.integers(0, count - more + 1), rng.integers(1, 3_000, 40_000).astype(float), rng.integers(1, 3_000, 40_000).astype(float)
+        n_b[::2] = np.maximum(n_a[::2] + rng.integers(-20, 20, 20_000), 1)
+        for least in (0.55, 0.6, 0.9):
+            want = np.concatenate([neardup.estimate(*(x[k : k + 4_000] for x in (more, less, n_a, n_b)), count) for k in range(0, 40_000, 4_000)]) >= least
+            assert 100 < want.sum() < 39_000 and (neardup.reaches(least, more, less, n_a, n_b, count) == want).all()
